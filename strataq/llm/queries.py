@@ -8,7 +8,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import exact_dedup as _exact
-from . import mixing, packing, token_io
+from . import line_dedup as _lines
+from . import minhash, mixing, packing, token_io
 from .common import Scratch, checkpoint, documents
 from .tokens import BYTE_BPE, WORD_BPE
 
@@ -17,6 +18,16 @@ def op4_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix_sources(documents(spark, sf_dir))
 
 
+def op6_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """doc_id, n_lines_gone, lines_gone (their numbers from 0, as text) and the digest of the text that is left."""
+    out = _lines.line_dedup(documents(spark, sf_dir), gone_col="gone")
+    return out.select("doc_id", F.size("gone").cast("long").alias("n_gone"), F.array_join("gone", ",").alias("lines_gone"), F.sha2(F.coalesce("text", F.lit("")).cast("binary"), 256).alias("text_sha256"))
+
+
+def op8_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return minhash.near_duplicates(documents(spark, sf_dir))
+
+
 def op7_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _exact.exact_dedup(documents(spark, sf_dir))
 
@@ -38,11 +49,28 @@ def op10_pack(spark: SparkSession, sf_dir: str) -> DataFrame:
         return checkpoint(pieces.select("doc_id", "start", "length", F.crc32("ids").alias("ids_crc32"), "doc_tokens", "sequence_id", "offset"))
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op4_mix_sources, op7_exact_dedup, op9_token_files, op10_pack)}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op4_mix_sources, op6_line_dedup, op7_exact_dedup, op8_near_duplicates, op9_token_files, op10_pack)}
 
 _NORM = r"regexp_replace(coalesce(text, ''), '[\x20\x09-\x0D]+', ' ', 'g')"
 
+_WORD = r"[^\x20\x09-\x0D]+"
+
 ORACLES: dict[str, str] = {
+    "op6_line_dedup": f"""
+        WITH raw AS (SELECT doc_id, string_split(coalesce(text, ''), chr(10)) AS ls FROM documents),
+        l AS (SELECT doc_id, unnest(ls) AS line, unnest(range(len(ls))) AS ln FROM raw),
+        c AS (SELECT doc_id, ln, line, len(regexp_extract_all(line, '{_WORD}')) AS w FROM l),
+        p AS (SELECT *, row_number() OVER d AS pos, sum(w) OVER d AS cum FROM c WHERE w > 0 WINDOW d AS (PARTITION BY doc_id ORDER BY ln)),
+        e AS (SELECT a.doc_id, a.pos, min(b.pos) AS last FROM p a JOIN p b ON a.doc_id = b.doc_id AND b.pos BETWEEN a.pos AND a.pos + 24
+              WHERE b.cum - a.cum + a.w >= 25 GROUP BY ALL),
+        s AS (SELECT e.doc_id, e.pos, e.last, string_agg(b.line, chr(10) ORDER BY b.pos) AS run
+              FROM e JOIN p b ON e.doc_id = b.doc_id AND b.pos BETWEEN e.pos AND e.last GROUP BY ALL),
+        r AS (SELECT *, row_number() OVER (PARTITION BY run ORDER BY doc_id, pos) AS nth FROM s),
+        g AS (SELECT DISTINCT p.doc_id, p.ln FROM r JOIN p ON r.doc_id = p.doc_id AND p.pos BETWEEN r.pos AND r.last WHERE nth > 1),
+        t AS (SELECT l.doc_id, count(g.ln) AS n_gone, coalesce(string_agg(g.ln, ',' ORDER BY g.ln), '') AS lines_gone,
+                     coalesce(string_agg(l.line, chr(10) ORDER BY l.ln) FILTER (WHERE g.ln IS NULL), '') AS kept
+              FROM l LEFT JOIN g ON l.doc_id = g.doc_id AND l.ln = g.ln GROUP BY 1)
+        SELECT doc_id, n_gone, lines_gone, sha256(kept) AS text_sha256 FROM t""",
     "op7_exact_dedup": f"""
         WITH n AS (SELECT doc_id, {_NORM} AS t FROM documents)
         SELECT doc_id, min(doc_id) OVER w AS keep_id, count(*) OVER w AS group_size,
