@@ -7,6 +7,7 @@ add_special_tokens=False)``; ``tests/llm/test_tokens.py`` holds the two against
 
 from __future__ import annotations
 
+import os
 import re
 from collections.abc import Iterable
 
@@ -16,11 +17,11 @@ BYTE_BPE = "byte_bpe_50k.json"
 WORD_BPE = "word_bpe_49k.json"
 END_ID = 1
 #: Distinct units and letter runs kept per Python worker; beyond it the memo starts anew (results don't change).
-MEMO_UNITS = 900_000
+MEMO_UNITS = 1_300_000
 
 _RISKY = re.compile(r" \s| \Z")
 _SAFE_CUT = re.compile(r"(?<=\S)(?= \S)")
-_PLAIN = re.compile(r"( ?[A-Za-zÀ-ÖØ-öø-ɏ]+)([!-&(-/:-@\[-`{-~]*)\Z")
+_MARKS = "!\"#$%&()*+,-./:;<=>?@[\\]^_`{|}~"
 
 
 def vocabulary(name: str) -> str:
@@ -36,13 +37,23 @@ class Encoder:
     """ids of whole texts as little-endian unsigned integers, 16 bit where the vocabulary allows it."""
 
     def __init__(self, name: str):
-        from tokenizers import Tokenizer
+        from tokenizers import Tokenizer, pre_tokenizers
 
+        os.environ["TOKENIZERS_PARALLELISM"] = "false"  # a task has one core
         self.tokenizer = Tokenizer.from_file(vocabulary(name))
         self.spaced = "word_bpe" not in name
+        self.letters = self.tokenizer
+        if not self.spaced:  # for runs of letters that are lower-cased already, the same model without the costly steps
+            self.letters = Tokenizer.from_file(vocabulary(name))
+            self.letters.normalizer = None
+            self.letters.pre_tokenizer = pre_tokenizers.Sequence([pre_tokenizers.WhitespaceSplit(), pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False)])
         self.size = self.tokenizer.get_vocab_size(with_added_tokens=True)
         self.dtype = np.dtype("<u2") if self.size <= 1 << 16 else np.dtype("<u4")
         self.end = np.array([END_ID], self.dtype).tobytes()
+        #: ids that begin a word with its blank, or that end a word: where joined runs of letters are cut again
+        self.edge = np.zeros(self.size, bool)
+        for token, i in self.tokenizer.get_vocab().items():
+            self.edge[i] = token.startswith("\u0120") if self.spaced else token.endswith("</w>")
         self.memo: dict[str, bytes] = {}
         self.runs: dict[str, bytes] = {}
         self.special = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
@@ -63,36 +74,44 @@ class Encoder:
         first, *rest = text.split(" ")
         return [first, *[" " + x for x in rest]]
 
+    def _split(self, unit: str) -> tuple[str, str] | None:
+        """A unit of Latin letters and then ASCII marks, which are separate pieces for either vocabulary; else None."""
+        run = unit.rstrip(_MARKS)
+        letters = run[1:] if self.spaced else run
+        if not letters.isalpha() or (self.spaced and run[0] != " ") or (not letters.isascii() and (max(letters) > "\u024f" or "\u0130" in letters)):
+            return None
+        return run if self.spaced else run.lower(), unit[len(run) :]
+
     def _learn(self, missing: Iterable[str]) -> None:
-        plain: dict[str, tuple[str, str]] = {}
+        memo, all_runs, plain, new = self.memo, self.runs, [], {}
         for unit in missing:
-            m = _PLAIN.match(unit)
-            if m and (self.spaced is False or unit[0] == " "):
-                plain[unit] = m.groups()
+            if (cut := self._split(unit)) is None:
+                memo[unit] = self._one(unit)
             else:
-                self.memo[unit] = self._one(unit)
-        runs = sorted({a for a, _ in plain.values() if a not in self.runs})
-        step = 4000
-        for i in range(0, len(runs), step):
-            own = runs[i : i + step]
-            found = self.tokenizer.encode(("" if self.spaced else " ").join(own), add_special_tokens=False)
-            ids, words = np.array(found.ids, self.dtype), np.array(found.word_ids, dtype=np.float64)
-            cuts = np.searchsorted(words, np.arange(len(own) + 1)).tolist()
-            if len(words) and words[-1] == len(own) - 1 and len(set(cuts)) == len(own) + 1:
-                raw, width = ids.tobytes(), self.dtype.itemsize
-                for k, run in enumerate(own):
-                    self.runs[run] = raw[cuts[k] * width : cuts[k + 1] * width]
+                plain.append((unit, cut))
+                if cut[0] not in all_runs:
+                    new[cut[0]] = None
+        runs, step, width = list(new), 200, self.dtype.itemsize
+        groups = [runs[i : i + step] for i in range(0, len(runs), step)]
+        found = self.letters.encode_batch_fast([("" if self.spaced else " ").join(x) for x in groups], add_special_tokens=False)
+        for own, e in zip(groups, found):
+            ids = np.array(e.ids, self.dtype)
+            marked = np.flatnonzero(self.edge[ids])
+            cuts = ([*marked.tolist(), len(ids)] if self.spaced else [0, *(marked + 1).tolist()]) if len(ids) else [0]
+            if len(cuts) == len(own) + 1 and cuts[0] == 0 and cuts[-1] == len(ids):
+                raw = ids.tobytes()
+                for run, a, b in zip(own, cuts, cuts[1:]):
+                    all_runs[run] = raw[a * width : b * width]
             else:
                 for run in own:
-                    self.runs[run] = self._one(run)
-        memo, all_runs = self.memo, self.runs
-        for unit, (a, b) in plain.items():
-            if not b:
-                memo[unit] = all_runs[a]
+                    all_runs[run] = self._one(run)
+        for unit, (run, marks) in plain:
+            if not marks:
+                memo[unit] = all_runs[run]
             else:
-                if b not in memo:
-                    memo[b] = self._one(b)
-                memo[unit] = all_runs[a] + memo[b]
+                if marks not in memo:
+                    memo[marks] = self._one(marks)
+                memo[unit] = all_runs[run] + memo[marks]
 
     def encode(self, texts: list[str | None]) -> list[bytes]:
         """The ids of each text, without an end id; a null text has none."""
