@@ -9,11 +9,34 @@ from pyspark.sql import functions as F
 
 from . import exact_dedup as _exact
 from . import line_dedup as _lines
-from . import minhash, mixing, packing, token_io
-from .common import Scratch, checkpoint, documents
+from . import language, minhash, mixing, packing, quality, token_io
+from .common import Scratch, checkpoint, crc_bucket, documents
 from .tokens import BYTE_BPE, WORD_BPE
 
 
+def op1_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Rows of remainder 1 calibrate, those of 2 to 4 fit, those of 0 are held out."""
+    docs, labels = documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/labels.parquet")
+    with Scratch(spark) as s:
+        x = s.table(quality.features(docs, "doc_id", "text"), "x")
+        fold = crc_bucket("id", 5)
+        labelled = labels.where("quality is not null").select(F.col("doc_id").alias("id"), F.col("quality").cast("double").alias("y")).where(fold != 0)
+        share = min(1.0, quality.MAX_ROWS / max(1, labelled.count()))
+        labelled = labelled.where(F.pmod(F.xxhash64("id", F.lit(9)), F.lit(1_000_000)) < int(share * 1_000_000)).withColumn("calibrate", fold == 1)
+        rows = s.table(labelled.join(x, "id").select("x", "y", "calibrate"), "labelled")
+        model = quality.fit(rows)
+        out = quality.score(x, model).select(F.col("id").alias("doc_id"), (fold == 0).alias("held_out"), "score", (F.col("score") >= 0.3).cast("int").alias("predicted"))
+        return checkpoint(out)
+
+
+def op5_language(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = documents(spark, sf_dir)
+    fold = crc_bucket("doc_id", 3)
+    model = language.learn(docs.where(fold != 1))
+    out = language.identify(docs, model)
+    return out.select("doc_id", (fold == 1).alias("held_out"), "lang_pred", "score")
+
+
 def op4_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix_sources(documents(spark, sf_dir))
 
@@ -49,7 +72,7 @@ def op10_pack(spark: SparkSession, sf_dir: str) -> DataFrame:
         return checkpoint(pieces.select("doc_id", "start", "length", F.crc32("ids").alias("ids_crc32"), "doc_tokens", "sequence_id", "offset"))
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op4_mix_sources, op6_line_dedup, op7_exact_dedup, op8_near_duplicates, op9_token_files, op10_pack)}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_quality, op4_mix_sources, op5_language, op6_line_dedup, op7_exact_dedup, op8_near_duplicates, op9_token_files, op10_pack)}
 
 _NORM = r"regexp_replace(coalesce(text, ''), '[\x20\x09-\x0D]+', ' ', 'g')"
 
