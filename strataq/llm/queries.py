@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from . import exact_dedup as _exact
 from . import line_dedup as _lines
-from . import language, minhash, mixing, packing, quality, token_io
+from . import hamming, language, minhash, mixing, packing, quality, token_io, warc
 from .common import Scratch, checkpoint, crc_bucket, documents
 from .tokens import BYTE_BPE, WORD_BPE
 
@@ -37,6 +37,37 @@ def op5_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", (fold == 1).alias("held_out"), "lang_pred", "score")
 
 
+def op2_hamming_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The 10 nearest rows of each row whose id is divisible by 50, by Hamming distance of sign codes."""
+    rows = spark.read.parquet(f"{sf_dir}/embeddings.parquet").select(F.col("vec_id").alias("id"), hamming.sign_code(F.col("embedding")).alias("code"))
+    return hamming.top_k(rows, rows.where("id % 50 = 0"))
+
+
+def captures(pages: DataFrame) -> DataFrame:
+    """A capture log made of `pages`: every page is a response at 100 s * its id, and is revisited 50 s later under another
+    form of its URL.  Of 7 revisits one carries another ETag, one only a date and one no validator; every 11th page also
+    has a revisit before its response."""
+    url, t = F.col("url"), F.col("page_id") * 100
+    etag = F.concat(F.lit('"'), F.md5(F.col("html").cast("binary")), F.lit('"'))
+    day = F.concat(F.lit("day "), F.col("page_id").cast("string"))
+    response = pages.select(
+        F.concat(F.lit("r"), F.col("page_id").cast("string")).alias("record_id"), F.lit("response").alias("type"), url, t.alias("ts"), F.lit(200).alias("status"),
+        F.create_map(F.lit("ETag"), etag, F.lit("Last-Modified"), day, F.lit("Content-Length"), F.octet_length("html").cast("string"), F.lit("Cache-Control"), F.lit("max-age=60")).alias("headers"),
+    )
+    kind = F.pmod("page_id", F.lit(7))
+    own = F.when(kind == 1, F.create_map(F.lit("ETag"), F.lit('"other"'))).when(kind == 2, F.create_map(F.lit("Last-Modified"), day)).when(kind == 3, F.create_map(F.lit("Vary"), F.lit("*")))
+    own = own.otherwise(F.create_map(F.lit("etag"), F.concat(F.lit("W/"), etag)))
+    headers = F.map_concat(own, F.create_map(F.lit("Cache-Control"), F.lit("max-age=99"), F.lit("Content-Length"), F.lit("0"), F.lit("Age"), F.col("page_id").cast("string")))
+    again = lambda name, at: pages.select(F.concat(F.lit(name), F.col("page_id").cast("string")).alias("record_id"), F.lit("revisit").alias("type"), F.concat(url, F.lit("#seen")).alias("url"), (t + at).alias("ts"), F.lit(304).alias("status"), headers.alias("headers"))
+    return response.unionByName(again("v", 50)).unionByName(again("e", -50).where(F.pmod(F.substring("record_id", 2, 20).cast("long"), F.lit(11)) == 0))
+
+
+def op3_warc_revisits(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = warc.resolve(captures(spark.read.parquet(f"{sf_dir}/pages.parquet")))
+    shown = F.array_join(F.array_sort(F.transform(F.map_entries("headers"), lambda e: F.concat(e["key"], F.lit("="), e["value"]))), ";")
+    return out.select("record_id", "ts", "outcome", "response_id", shown.alias("headers"))
+
+
 def op4_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix_sources(documents(spark, sf_dir))
 
@@ -72,13 +103,36 @@ def op10_pack(spark: SparkSession, sf_dir: str) -> DataFrame:
         return checkpoint(pieces.select("doc_id", "start", "length", F.crc32("ids").alias("ids_crc32"), "doc_tokens", "sequence_id", "offset"))
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_quality, op4_mix_sources, op5_language, op6_line_dedup, op7_exact_dedup, op8_near_duplicates, op9_token_files, op10_pack)}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_quality, op2_hamming_top_k, op3_warc_revisits, op4_mix_sources, op5_language, op6_line_dedup, op7_exact_dedup, op8_near_duplicates, op9_token_files, op10_pack)}
 
 _NORM = r"regexp_replace(coalesce(text, ''), '[\x20\x09-\x0D]+', ' ', 'g')"
 
 _WORD = r"[^\x20\x09-\x0D]+"
 
 ORACLES: dict[str, str] = {
+    "op2_hamming_top_k": """
+        WITH d AS (SELECT q.vec_id AS query_id, b.vec_id AS neighbor_id,
+                          list_sum(list_transform(range(1, 65), lambda i: ((q.embedding[i] > 0) <> (b.embedding[i] > 0))::INT))::INT AS distance
+                   FROM embeddings q JOIN embeddings b ON q.vec_id <> b.vec_id WHERE q.vec_id % 50 = 0),
+        r AS (SELECT *, (row_number() OVER (PARTITION BY query_id ORDER BY distance, neighbor_id))::INT AS rank FROM d)
+        SELECT query_id, rank, neighbor_id, distance FROM r WHERE rank <= 10""",
+    "op3_warc_revisits": r"""
+        WITH p AS (SELECT page_id, md5(html) AS tag, strlen(html) AS size,
+                     regexp_replace(regexp_replace(lower(regexp_extract(regexp_replace(regexp_replace(url, '#.*$', ''), '^[A-Za-z][A-Za-z0-9+.-]*://', ''), '^([^/?]*)', 1)), ':(80|443)$', ''), '^www\.', '') AS host,
+                     regexp_replace(regexp_replace(regexp_replace(url, '#.*$', ''), '^[A-Za-z][A-Za-z0-9+.-]*://', ''), '^[^/?]*', '') AS rest FROM pages),
+        u AS (SELECT page_id, tag, size, host || regexp_replace(regexp_replace(regexp_replace(regexp_replace(rest,
+                '([?&])(?:TRACK)=[^&]*(&|$)', '\1', 'g'), '([?&])(?:TRACK)=[^&]*(&|$)', '\1', 'g'), '[?&]+$', ''), '/+(\?|$)', '\1', 'g') AS canonical FROM p),
+        v AS (SELECT 'v' || page_id AS record_id, page_id * 100 + 50 AS ts, * FROM u
+              UNION ALL SELECT 'e' || page_id, page_id * 100 - 50, * FROM u WHERE page_id % 11 = 0),
+        r AS (SELECT page_id AS rid, page_id * 100 AS rts, tag AS rtag, size AS rsize, canonical FROM u),
+        j AS (SELECT * FROM v ASOF LEFT JOIN r ON v.canonical = r.canonical AND v.ts >= r.rts),
+        o AS (SELECT *, CASE WHEN rid IS NULL THEN 'no_response' WHEN page_id % 7 = 1 THEN 'mismatch' WHEN page_id % 7 = 3 THEN 'no_validator'
+                        WHEN page_id % 7 = 2 THEN CASE WHEN rid = page_id THEN 'resolved' ELSE 'mismatch' END
+                        WHEN tag = rtag THEN 'resolved' ELSE 'mismatch' END AS outcome FROM j)
+        SELECT record_id, ts, outcome, 'r' || rid AS response_id,
+               CASE WHEN outcome = 'resolved' THEN 'age=' || page_id || ';cache-control=max-age=99;content-length=' || rsize || ';etag=' ||
+                 CASE WHEN page_id % 7 = 2 THEN '"' || rtag || '"' ELSE 'W/"' || tag || '"' END || ';last-modified=day ' || rid END AS headers
+        FROM o""".replace("TRACK", warc.TRACKING),
     "op6_line_dedup": f"""
         WITH raw AS (SELECT doc_id, string_split(coalesce(text, ''), chr(10)) AS ls FROM documents),
         l AS (SELECT doc_id, unnest(ls) AS line, unnest(range(len(ls))) AS ln FROM raw),
