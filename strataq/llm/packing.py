@@ -121,8 +121,8 @@ def lay_out(lengths: Iterator[tuple[object, int]], length: int) -> Iterator[tupl
         seq += 1
 
 
-def pack(tokens: DataFrame, length: int = LENGTH, per_part: int = 8_000_000, width: str = "<u2") -> DataFrame:
-    """doc_id, start, length, doc_tokens, sequence_id, offset, ids (binary, 32 bit) of each piece.
+def pack(tokens: DataFrame, length: int = LENGTH, per_part: int = 8_000_000, width: str = "<u2", out: str = "<u4") -> DataFrame:
+    """doc_id, start, length, doc_tokens, sequence_id, offset, ids (binary, as `out`) of each piece.
 
     `tokens`: id, key, n_tokens, ids, to be read twice.  Ties in key go by id, then ids.  No documents: no pieces.
     """
@@ -151,7 +151,7 @@ def pack(tokens: DataFrame, length: int = LENGTH, per_part: int = 8_000_000, wid
                 for i in range(b.num_rows):
                     yield b.column(0)[i].as_py(), b.column(1)[i].as_py(), np.frombuffer(b.column(2)[i].as_py(), width)
 
-        out: list[tuple] = []
+        pieces: list[tuple] = []
         held = 0
         source, ahead = docs(), []
 
@@ -171,19 +171,19 @@ def pack(tokens: DataFrame, length: int = LENGTH, per_part: int = 8_000_000, wid
                 break
             ahead.append(first)
             for (p, doc_id, ids), start, n, seq, at in lay_out(one(first[0]), length):
-                out.append((doc_id, start, n, len(ids), (p << 32) + seq, at, ids[start : start + n].astype("<u4").tobytes()))
+                pieces.append((doc_id, start, n, len(ids), (p << 32) + seq, at, ids[start : start + n].astype(out).tobytes()))
                 held += n
                 if held > 2_000_000:
-                    yield _rows(out)
-                    out, held = [], 0
-        if out:
-            yield _rows(out)
+                    yield _rows(pieces)
+                    pieces, held = [], 0
+        if pieces:
+            yield _rows(pieces)
 
     schema = "doc_id long, start long, length long, doc_tokens long, sequence_id long, offset long, ids binary"
     return placed.select("part", "key", "id", "ids").repartition(parts, "part").sortWithinPartitions("part", "key", "id", "ids").select("part", "id", "ids").mapInArrow(run, schema)
 
 
-def _rows(out: list[tuple]) -> pa.RecordBatch:
+def _rows(pieces: list[tuple]) -> pa.RecordBatch:
     kinds = [pa.int64()] * 6 + [pa.binary()]
     names = ["doc_id", "start", "length", "doc_tokens", "sequence_id", "offset", "ids"]
-    return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*out), kinds)], names)
+    return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*pieces), kinds)], names)
