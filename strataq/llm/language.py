@@ -131,8 +131,7 @@ class Parser:
             block = np.ascontiguousarray(grid[i : i + 8192].T)
             for k, root in enumerate(self.roots):
                 state = np.full(block.shape[1], root, np.int32)
-                count = np.ones(block.shape[1], np.int32)  # the phrase that the segment's end cuts off
-                count -= self.table[state * self.width + block[0]] & 1
+                count = np.ones(block.shape[1], np.int32)  # the phrase that the segment's end cuts off; a symbol foreign to the sample ends the phrase before it
                 for step in block:
                     v = self.table[state * np.int32(self.width) + step]
                     count += v & 1
