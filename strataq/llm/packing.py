@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .tokens import BYTE_BPE, encoder
+from .tokens import BYTE_BPE, encoded, encoder
 
 DIMS, BITS = 4, 15
 LENGTH = 2048
@@ -78,11 +78,9 @@ def keyed(docs: DataFrame, vocabulary: str = BYTE_BPE, id_col: str = "doc_id", t
         e = encoder(vocabulary)
         table = projection(e.size)
         for b in batches:
-            for i in range(0, b.num_rows, 512):
-                part = b.slice(i, 512)
-                raw = [x + e.end for x in e.encode(part.column(1).to_pylist())]
+            for at, raw in encoded(b.column(1), vocabulary):
                 ids = [np.frombuffer(x, e.dtype) for x in raw]
-                yield pa.RecordBatch.from_arrays([part.column(0), pa.array(document_keys([x[:-1] for x in ids], table), pa.int64()), pa.array([len(x) for x in ids], pa.int64()), pa.array(raw, pa.binary())], ["id", "key", "n_tokens", "ids"])
+                yield pa.RecordBatch.from_arrays([b.column(0).slice(at, len(raw)), pa.array(document_keys([x[:-1] for x in ids], table), pa.int64()), pa.array([len(x) for x in ids], pa.int64()), pa.array(raw, pa.binary())], ["id", "key", "n_tokens", "ids"])
 
     return docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text")).mapInArrow(run, "id long, key long, n_tokens long, ids binary")
 

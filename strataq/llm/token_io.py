@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .tokens import END_ID, WORD_BPE, encoder
+from .tokens import END_ID, WORD_BPE, encoded, encoder
 
 MAGIC = b"SQRANS01"
 LANES, PRECISION, BLOCK = 1024, 20, 1 << 18
@@ -198,12 +198,10 @@ def tokenised(docs: DataFrame, vocabulary: str, id_col: str = "doc_id", text_col
     """id, n_tokens, ids (binary, little-endian, 16 or 32 bit by vocabulary), with the end id last; null text is empty."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        e = encoder(vocabulary)
+        width = encoder(vocabulary).dtype.itemsize
         for b in batches:
-            for i in range(0, b.num_rows, 512):
-                part = b.slice(i, 512)
-                ids = [x + e.end for x in e.encode(part.column(1).to_pylist())]
-                yield pa.RecordBatch.from_arrays([part.column(0), pa.array([len(x) // e.dtype.itemsize for x in ids], pa.int64()), pa.array(ids, pa.binary())], ["id", "n_tokens", "ids"])
+            for at, ids in encoded(b.column(1), vocabulary):
+                yield pa.RecordBatch.from_arrays([b.column(0).slice(at, len(ids)), pa.array([len(x) // width for x in ids], pa.int64()), pa.array(ids, pa.binary())], ["id", "n_tokens", "ids"])
 
     return docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text")).mapInArrow(run, "id long, n_tokens long, ids binary")
 

@@ -1,27 +1,32 @@
-"""Exact, memoised use of the public ``tokenizers`` vocabularies.
+"""Exact, de-duplicated use of the public ``tokenizers`` vocabularies.
 
-A text is cut into *units* at blanks where a cut provably can't change the ids (see ``units``); each distinct unit is
-encoded once per Python worker and looked up after that.  The ids are those of ``Tokenizer.encode(text,
-add_special_tokens=False)``; ``tests/llm/test_tokens.py`` holds the two against each other.
+Texts are cut into *units* at blanks where a cut provably can't change the ids.  The distinct units of a batch are found by
+Arrow; those of Latin letters and then ASCII marks are two pieces for either vocabulary, so the distinct runs of letters
+are encoded together, in joined strings that are cut again at ids which only begin (or end) a word.  Every id comes from the
+library; only repeated work is left out.  ``tests/llm`` holds the result against ``Tokenizer.encode(text,
+add_special_tokens=False)``.
 """
 
 from __future__ import annotations
 
 import os
 import re
-from collections.abc import Iterable
+from collections.abc import Iterator
 
 import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 
 BYTE_BPE = "byte_bpe_50k.json"
 WORD_BPE = "word_bpe_49k.json"
 END_ID = 1
-#: Distinct units and letter runs kept per Python worker; beyond it the memo starts anew (results don't change).
-MEMO_UNITS = 1_300_000
+#: Texts are encoded in groups of about so many bytes; a longer text is a group of its own.
+GROUP_BYTES = 16 << 20
 
-_RISKY = re.compile(r" \s| \Z")
-_SAFE_CUT = re.compile(r"(?<=\S)(?= \S)")
 _MARKS = "!\"#$%&()*+,-./:;<=>?@[\\]^_`{|}~"
+_PLAIN = r"^[A-Za-zÀ-ÖØ-öø-įı-ɏ]+$"  # Latin letters but for the one whose lower case is two characters
+_RISKY = re.compile(r" \s|\s \Z| \Z")
+_SAFE_CUT = re.compile(r"(?<=\S)(?= \S)")
 
 
 def vocabulary(name: str) -> str:
@@ -33,6 +38,13 @@ def vocabulary(name: str) -> str:
     return public_tokenizers.path(name)
 
 
+def _spread(lengths: np.ndarray, starts: np.ndarray) -> np.ndarray:
+    """Indices of the items of slices (starts, lengths), one slice after another."""
+    ends = np.cumsum(lengths)
+    total = int(ends[-1]) if len(ends) else 0
+    return np.repeat(starts - (ends - lengths), lengths) + np.arange(total)
+
+
 class Encoder:
     """ids of whole texts as little-endian unsigned integers, 16 bit where the vocabulary allows it."""
 
@@ -53,88 +65,120 @@ class Encoder:
         #: ids that begin a word with its blank, or that end a word: where joined runs of letters are cut again
         self.edge = np.zeros(self.size, bool)
         for token, i in self.tokenizer.get_vocab().items():
-            self.edge[i] = token.startswith("\u0120") if self.spaced else token.endswith("</w>")
-        self.memo: dict[str, bytes] = {}
-        self.runs: dict[str, bytes] = {}
+            self.edge[i] = token.startswith("Ġ") if self.spaced else token.endswith("</w>")
         self.special = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
 
-    def _one(self, text: str) -> bytes:
-        return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, self.dtype).tobytes()
-
-    def units(self, text: str) -> list[str]:
-        """Pieces that the tokenizer treats alone.
+    def _each(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """ids and their number for each text, by the library alone."""
+        ids = [x.ids for x in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
+        flat = np.fromiter((i for x in ids for i in x), self.dtype)
+        return flat, np.fromiter(map(len, ids), np.int64, len(ids))
 
-        A vocabulary that drops white space may be cut at each blank.  The byte-level one attaches a single blank to
-        the word that follows; a cut before such a blank is safe, but runs of white space must stay whole.
-        """
-        if not self.spaced:
-            return text.split(" ")
-        if _RISKY.search(text):
-            return _SAFE_CUT.split(text)
-        first, *rest = text.split(" ")
-        return [first, *[" " + x for x in rest]]
-
-    def _split(self, unit: str) -> tuple[str, str] | None:
-        """A unit of Latin letters and then ASCII marks, which are separate pieces for either vocabulary; else None."""
-        run = unit.rstrip(_MARKS)
-        letters = run[1:] if self.spaced else run
-        if not letters.isalpha() or (self.spaced and run[0] != " ") or (not letters.isascii() and (max(letters) > "\u024f" or "\u0130" in letters)):
-            return None
-        return run if self.spaced else run.lower(), unit[len(run) :]
-
-    def _learn(self, missing: Iterable[str]) -> None:
-        memo, all_runs, plain, new = self.memo, self.runs, [], {}
-        for unit in missing:
-            if (cut := self._split(unit)) is None:
-                memo[unit] = self._one(unit)
-            else:
-                plain.append((unit, cut))
-                if cut[0] not in all_runs:
-                    new[cut[0]] = None
-        runs, step, width = list(new), 200, self.dtype.itemsize
+    def _runs(self, runs: list[str], step: int = 200) -> tuple[np.ndarray, np.ndarray]:
+        """ids and their number for each run of letters (for a spaced vocabulary, with the blank before it)."""
         groups = [runs[i : i + step] for i in range(0, len(runs), step)]
-        found = self.letters.encode_batch_fast([("" if self.spaced else " ").join(x) for x in groups], add_special_tokens=False)
-        for own, e in zip(groups, found):
+        between = " "
+        flat, counts = [], []
+        for own, e in zip(groups, self.letters.encode_batch_fast([(between if self.spaced else "") + between.join(x) for x in groups], add_special_tokens=False)):
             ids = np.array(e.ids, self.dtype)
             marked = np.flatnonzero(self.edge[ids])
-            cuts = ([*marked.tolist(), len(ids)] if self.spaced else [0, *(marked + 1).tolist()]) if len(ids) else [0]
+            cuts = np.append(marked, len(ids)) if self.spaced else np.append(0, marked + 1)
             if len(cuts) == len(own) + 1 and cuts[0] == 0 and cuts[-1] == len(ids):
-                raw = ids.tobytes()
-                for run, a, b in zip(own, cuts, cuts[1:]):
-                    all_runs[run] = raw[a * width : b * width]
+                n = np.diff(cuts)
             else:
-                for run in own:
-                    all_runs[run] = self._one(run)
-        for unit, (run, marks) in plain:
-            if not marks:
-                memo[unit] = all_runs[run]
+                ids, n = self._each([(between if self.spaced else "") + x for x in own])
+            flat.append(ids)
+            counts.append(n)
+        return np.concatenate([np.zeros(0, self.dtype), *flat]), np.concatenate([np.zeros(0, np.int64), *counts])
+
+    def _units(self, units: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """ids and their number for each distinct unit (without its blank)."""
+        run = pc.ascii_rtrim(units, characters=_MARKS)
+        plain = pc.match_substring_regex(run, _PLAIN)
+        is_plain = plain.to_numpy(zero_copy_only=False).astype(bool)
+        run = pc.filter(run, plain)
+        rest = pc.binary_length(run).to_numpy(zero_copy_only=False)
+        whole = pc.filter(units, plain)
+        marks_n = pc.binary_length(whole).to_numpy(zero_copy_only=False) - rest
+        marked = np.flatnonzero(marks_n)
+        marks = [x[-n:] for x, n in zip(pc.take(whole, pa.array(marked)).to_pylist(), marks_n[marked].tolist())]
+        if not self.spaced:
+            run = pc.utf8_lower(run)
+        coded = pc.dictionary_encode(run)
+        run_ids, run_n = self._runs(coded.dictionary.to_pylist())
+        kinds = {m: k for k, m in enumerate(dict.fromkeys(marks))}
+        mark_ids, mark_n = self._each(list(kinds))
+        odd_ids, odd_n = self._each([" " + x if self.spaced and x else x for x in pc.filter(units, pc.invert(plain)).to_pylist()])
+        # every unit as two slices of one pool: its run (or the odd unit as a whole), and its marks
+        pool = np.concatenate([run_ids, odd_ids, mark_ids])
+        starts = np.concatenate([np.cumsum(run_n) - run_n, len(run_ids) + np.cumsum(odd_n) - odd_n, len(run_ids) + len(odd_ids) + np.cumsum(mark_n) - mark_n]).astype(np.int64)
+        lengths = np.concatenate([run_n, odd_n, mark_n])
+        first = np.zeros((len(units), 2), np.int64)
+        n = np.zeros((len(units), 2), np.int64)
+        which = np.empty(len(units), np.int64)
+        which[is_plain] = coded.indices.to_numpy(zero_copy_only=False)
+        which[~is_plain] = len(run_n) + np.arange(len(odd_n))
+        first[:, 0], n[:, 0] = starts[which], lengths[which]
+        if len(marked):
+            at = np.flatnonzero(is_plain)[marked]
+            k = len(run_n) + len(odd_n) + np.fromiter((kinds[m] for m in marks), np.int64, len(marks))
+            first[at, 1], n[at, 1] = starts[k], lengths[k]
+        return pool[_spread(n.ravel(), first.ravel())], n.sum(1)
+
+    def _group(self, texts: pa.Array) -> Iterator[bytes]:
+        """The ids of texts without nulls."""
+        slow = np.zeros(len(texts), bool)
+        for s in self.special:
+            slow |= pc.match_substring(texts, s).to_numpy(zero_copy_only=False).astype(bool)
+        if self.spaced:
+            slow |= np.fromiter((_RISKY.search(t) is not None for t in texts.to_pylist()), bool, len(texts))
+            fast = texts
+        else:
+            fast = pc.replace_substring(texts, "\n", " ")  # white space only separates here
+        if slow.any():
+            fast = pc.if_else(pa.array(slow), "", fast)
+        parts = pc.split_pattern(fast, " ")
+        counts = pc.list_value_length(parts).to_numpy(zero_copy_only=False).astype(np.int64)
+        ends = np.cumsum(counts)
+        words = parts.flatten()
+        coded = pc.dictionary_encode(words)
+        ids, n = self._units(coded.dictionary)
+        index = coded.indices.to_numpy(zero_copy_only=False)
+        starts = np.cumsum(n) - n
+        take, length = starts[index], n[index]
+        if self.spaced and len(texts):  # the first unit of a text has no blank before it
+            heads = ends - counts
+            head_ids, head_n = self._each(pc.take(words, pa.array(heads)).to_pylist())
+            take[heads], length[heads] = len(ids) + np.cumsum(head_n) - head_n, head_n
+            ids = np.concatenate([ids, head_ids])
+        flat = ids[_spread(length, take)]
+        total = np.cumsum(length)
+        cuts = np.concatenate([[0], total[ends - 1]]) if len(texts) else np.zeros(1, np.int64)
+        raw, width = flat.tobytes(), self.dtype.itemsize
+        for k in range(len(texts)):
+            if slow[k]:
+                yield self._slow(texts[k].as_py())
             else:
-                if marks not in memo:
-                    memo[marks] = self._one(marks)
-                memo[unit] = all_runs[run] + memo[marks]
+                yield raw[cuts[k] * width : cuts[k + 1] * width]
+
+    def _slow(self, text: str) -> bytes:
+        """A text with runs of white space or the name of a special token: cut only between words, or not at all."""
+        units = [text] if any(s in text for s in self.special) else _SAFE_CUT.split(text)
+        return self._each(units)[0].tobytes()
 
-    def encode(self, texts: list[str | None]) -> list[bytes]:
+    def encode(self, texts: pa.Array | list[str | None]) -> Iterator[bytes]:
         """The ids of each text, without an end id; a null text has none."""
-        if len(self.memo) > MEMO_UNITS or len(self.runs) > MEMO_UNITS:
-            self.memo, self.runs = {}, {}
-        out = []
-        for i in range(0, len(texts), 64):
-            own = texts[i : i + 64]
-            flat: list[str] = []
-            ends = []
-            for text in own:
-                if text and not any(x in text for x in self.special):
-                    flat += self.units(text)
-                ends.append(len(flat))
-            found = list(map(self.memo.get, flat))
-            if None in found:
-                self._learn({u for u, x in zip(flat, found) if x is None})
-                found = list(map(self.memo.get, flat))
-            begin = 0
-            for text, end in zip(own, ends):
-                out.append(b"".join(found[begin:end]) if end > begin or not text else self._one(text))
-                begin = end
-        return out
+        if isinstance(texts, list):
+            texts = pa.array(texts, pa.string())
+        texts = pc.fill_null(texts, "")
+        if len(texts):
+            ends = np.cumsum(pc.binary_length(texts).to_numpy(zero_copy_only=False).astype(np.int64))
+            at = 0
+            while at < len(texts):
+                before = ends[at - 1] if at else 0
+                to = max(at + 1, int(np.searchsorted(ends, before + GROUP_BYTES, "right")))
+                yield from self._group(texts.slice(at, to - at))
+                at = to
 
 
 _ENCODERS: dict[str, Encoder] = {}
@@ -145,3 +189,16 @@ def encoder(name: str) -> Encoder:
     if name not in _ENCODERS:
         _ENCODERS[name] = Encoder(name)
     return _ENCODERS[name]
+
+
+def encoded(column: pa.Array, name: str, rows: int = 512) -> Iterator[tuple[int, list[bytes]]]:
+    """First row and ids, with the end id, of successive runs of `rows` texts of a column."""
+    e = encoder(name)
+    at, held = 0, []
+    for ids in e.encode(column):
+        held.append(ids + e.end)
+        if len(held) == rows:
+            yield at, held
+            at, held = at + rows, []
+    if held:
+        yield at, held

@@ -46,7 +46,7 @@ def test_encoder_equals_the_library(name):
     odd += ["".join(rng.choices("ab .,!\n\t'é1 ", k=60)) for _ in range(200)]
     for text, got in zip(odd, e.encode(odd)):
         assert np.frombuffer(got, e.dtype).tolist() == e.tokenizer.encode(text, add_special_tokens=False).ids, repr(text)
-    assert e.encode([None]) == [b""]
+    assert list(e.encode([None, ""])) == [b"", b""] and list(e.encode([])) == []
 
 
 def test_exact_dedup_with_collisions(spark, texts):
