@@ -12,6 +12,7 @@ from __future__ import annotations
 import os
 import re
 from collections.abc import Iterator
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -25,7 +26,7 @@ GROUP_BYTES = 16 << 20
 
 _MARKS = "!\"#$%&()*+,-./:;<=>?@[\\]^_`{|}~"
 _PLAIN = r"^[A-Za-zÀ-ÖØ-öø-įı-ɏ]+$"  # Latin letters but for the one whose lower case is two characters
-_RISKY = re.compile(r" \s|\s \Z| \Z")
+_RISKY = r" [\s\x0b\x1c-\x1f\x{85}\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}]| \z"
 _SAFE_CUT = re.compile(r"(?<=\S)(?= \S)")
 
 
@@ -54,11 +55,11 @@ class Encoder:
         os.environ["TOKENIZERS_PARALLELISM"] = "false"  # a task has one core
         self.tokenizer = Tokenizer.from_file(vocabulary(name))
         self.spaced = "word_bpe" not in name
-        self.letters = self.tokenizer
-        if not self.spaced:  # for runs of letters that are lower-cased already, the same model without the costly steps
-            self.letters = Tokenizer.from_file(vocabulary(name))
-            self.letters.normalizer = None
-            self.letters.pre_tokenizer = pre_tokenizers.Sequence([pre_tokenizers.WhitespaceSplit(), pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False)])
+        # for runs of letters (lower-cased already), the same model without the costly steps
+        cut = pre_tokenizers.Split(" ", "merged_with_next") if self.spaced else pre_tokenizers.WhitespaceSplit()
+        self.letters = Tokenizer.from_file(vocabulary(name))
+        self.letters.normalizer = None
+        self.letters.pre_tokenizer = pre_tokenizers.Sequence([cut, pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False)])
         self.size = self.tokenizer.get_vocab_size(with_added_tokens=True)
         self.dtype = np.dtype("<u2") if self.size <= 1 << 16 else np.dtype("<u4")
         self.end = np.array([END_ID], self.dtype).tobytes()
@@ -71,8 +72,8 @@ class Encoder:
     def _each(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
         """ids and their number for each text, by the library alone."""
         ids = [x.ids for x in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
-        flat = np.fromiter((i for x in ids for i in x), self.dtype)
-        return flat, np.fromiter(map(len, ids), np.int64, len(ids))
+        n = np.fromiter(map(len, ids), np.int64, len(ids))
+        return np.fromiter(chain.from_iterable(ids), self.dtype, int(n.sum())), n
 
     def _runs(self, runs: list[str], step: int = 200) -> tuple[np.ndarray, np.ndarray]:
         """ids and their number for each run of letters (for a spaced vocabulary, with the blank before it)."""
@@ -131,7 +132,7 @@ class Encoder:
         for s in self.special:
             slow |= pc.match_substring(texts, s).to_numpy(zero_copy_only=False).astype(bool)
         if self.spaced:
-            slow |= np.fromiter((_RISKY.search(t) is not None for t in texts.to_pylist()), bool, len(texts))
+            slow |= pc.match_substring_regex(texts, _RISKY).to_numpy(zero_copy_only=False).astype(bool)
             fast = texts
         else:
             fast = pc.replace_substring(texts, "\n", " ")  # white space only separates here
