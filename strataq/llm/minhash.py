@@ -130,33 +130,83 @@ def estimate(a: Column, b: Column) -> Column:
     return ((1 - differ / HASHES) - chance) / (1 - chance)
 
 
-def _block_pairs(least: float, percent: int, best: int | None):
-    def compare(pdf: pd.DataFrame) -> pd.DataFrame:
-        a, b = pdf[pdf["side"] == 0], pdf[pdf["side"] == 1]
-        out = pd.DataFrame({"hub": pd.Series(dtype="int64"), "rep": pd.Series(dtype="int64")})
-        if not len(a) or not len(b):
-            return out
-        sa, sb = (np.stack(x["sig"].to_numpy()).astype(np.int64).view(np.uint64) for x in (a, b))
-        differ = np.zeros((len(a), len(b)), np.uint16)
+def _compare(group: np.ndarray, side: np.ndarray, rep: np.ndarray, comp: np.ndarray, n: np.ndarray, sig: np.ndarray, least: float, percent: int, best: int | None) -> pd.DataFrame:
+    """hub, rep, group, more: pairs of the two sides of each group, of different components, that the estimate admits.
+
+    Rows are sorted by group, then side.  Of two components, a group gives its `best` pairs at most; `more`: it had others.
+    """
+    start = np.flatnonzero(np.r_[True, group[1:] != group[:-1]])
+    size = np.diff(np.r_[start, len(group)])
+    ones = np.add.reduceat(side, start) if len(start) else np.zeros(0, np.int64)
+    of = np.repeat(np.arange(len(start)), size)
+    left = np.flatnonzero(side == 0)
+    many, first = ones[of[left]], (start + size - ones)[of[left]]
+    out = []
+    edges = np.cumsum(many)
+    at = 0
+    while at < len(left):
+        to = max(at + 1, int(np.searchsorted(edges, (edges[at - 1] if at else 0) + 2_000_000, "right")))
+        m = many[at:to]
+        a = np.repeat(left[at:to], m)
+        ends = np.cumsum(m)
+        b = np.repeat(first[at:to] - (ends - m), m) + np.arange(int(ends[-1]))
+        ok = (comp[a] != comp[b]) & (rep[a] != rep[b]) & (100 * np.minimum(n[a], n[b]) >= percent * np.maximum(n[a], n[b]))
+        a, b = a[ok], b[ok]
+        differ = np.zeros(len(a), np.uint16)
         for i in range(LONGS):
-            x = sa[:, i, None] ^ sb[None, :, i]
+            x = sig[a, i] ^ sig[b, i]
             x |= x >> np.uint64(1)
             x |= x >> np.uint64(2)
             differ += np.bitwise_count(x & np.uint64(0x1111111111111111))
         chance = 2.0**-BITS
         like = ((1 - differ / HASHES) - chance) / (1 - chance)
-        na, nb = a["n"].to_numpy()[:, None], b["n"].to_numpy()[None, :]
-        ca, cb = a["comp"].to_numpy()[:, None], b["comp"].to_numpy()[None, :]
-        ok = (like >= least) & (100 * np.minimum(na, nb) >= percent * np.maximum(na, nb)) & (ca != cb)
-        i, j = np.nonzero(ok)
-        u, v = a["rep"].to_numpy()[i], b["rep"].to_numpy()[j]
-        got = pd.DataFrame({"hub": np.minimum(u, v), "rep": np.maximum(u, v), "x": np.minimum(ca[i, 0], cb[0, j]), "y": np.maximum(ca[i, 0], cb[0, j]), "like": like[i, j]})
-        got = got.drop_duplicates(["hub", "rep"])
-        if best:
-            got = got.sort_values(["like", "hub", "rep"], ascending=[False, True, True]).groupby(["x", "y"]).head(best)
-        return got[["hub", "rep"]]
+        ok = like >= least
+        a, b, like = a[ok], b[ok], like[ok]
+        u, v, x, y = rep[a], rep[b], comp[a], comp[b]
+        out.append(pd.DataFrame({"hub": np.minimum(u, v), "rep": np.maximum(u, v), "x": np.minimum(x, y), "y": np.maximum(x, y), "group": group[a], "like": like}))
+        at = to
+    got = pd.concat(out) if out else pd.DataFrame({k: pd.Series(dtype="int64") for k in ("hub", "rep", "x", "y", "group", "like")})
+    got = got.drop_duplicates(["hub", "rep", "group"])
+    got["more"] = False
+    if best and len(got):
+        got = got.sort_values(["like", "hub", "rep"], ascending=[False, True, True])
+        by = got.groupby(["group", "x", "y"])
+        nth, total = by.cumcount(), by["hub"].transform("size")
+        got["more"] = total > best
+        got = got[nth < best]
+    return got[["hub", "rep", "group", "more"]]
 
-    return compare
+
+def _block_pairs(least: float, percent: int, best: int | None):
+    """Over rows sorted by (key, i, j, side): hub, rep, key, more of the pairs within each (key, i, j)."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: pa.Table | None = None
+
+        def give(t: pa.Table) -> pa.RecordBatch:
+            col = {c: t.column(c).combine_chunks().to_numpy(zero_copy_only=False) for c in ("key", "i", "j", "side", "rep", "comp", "n")}
+            sig = t.column("sig").combine_chunks().flatten().to_numpy().reshape(-1, LONGS).view(np.uint64)
+            new = np.r_[True, (col["key"][1:] != col["key"][:-1]) | (col["i"][1:] != col["i"][:-1]) | (col["j"][1:] != col["j"][:-1])]
+            group = np.cumsum(new) - 1
+            got = _compare(group, col["side"].astype(np.int64), col["rep"], col["comp"], col["n"], sig, least, percent, best)
+            keys = col["key"][new][got["group"].to_numpy(np.int64)]
+            return pa.RecordBatch.from_arrays([pa.array(got["hub"].to_numpy(np.int64)), pa.array(got["rep"].to_numpy(np.int64)), pa.array(keys.astype(np.int64)), pa.array(got["more"].to_numpy(bool))], ["hub", "rep", "key", "more"])
+
+        for b in batches:
+            if not b.num_rows:
+                continue
+            t = pa.Table.from_batches([b])
+            t = t if held is None else pa.concat_tables([held, t])
+            k, i, j = (t.column(c).combine_chunks().to_numpy(zero_copy_only=False) for c in ("key", "i", "j"))
+            last = np.flatnonzero((k != k[-1]) | (i != i[-1]) | (j != j[-1]))
+            cut = int(last[-1]) + 1 if len(last) else 0
+            held = t.slice(cut)
+            if cut:
+                yield give(t.slice(0, cut))
+        if held is not None:
+            yield give(held)
+
+    return run
 
 
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", percent: int = 85, slack: float = 6.0) -> DataFrame:
@@ -200,16 +250,22 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
 
         edges = verify(buckets.where("hub <> rep").select("hub", "rep"), "star")
         comp = checkpoint(components(edges))
+        shortened = None
         for k, best in enumerate((8, None)):
-            named = buckets.select("key", "rep").join(comp.withColumnRenamed("node", "rep"), "rep", "left").withColumn("comp", F.coalesce("component", "rep")).drop("component")
+            if shortened is not None and shortened.isEmpty():
+                break
+            open_buckets = buckets if shortened is None else buckets.join(shortened, "key", "left_semi")
+            named = open_buckets.select("key", "rep").join(comp.withColumnRenamed("node", "rep"), "rep", "left").withColumn("comp", F.coalesce("component", "rep")).drop("component")
             open_ = named.groupBy("key").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi"), F.count("*").alias("c")).where("lo < hi").select("key", F.ceil(F.col("c") / BLOCK).cast("int").alias("parts"))
             own = named.join(open_, "key").withColumn("block", F.pmod(F.xxhash64("rep"), F.col("parts")).cast("int"))
             all_ = F.sequence(F.lit(0), F.col("parts") - 1)
             as_a = own.withColumn("other", F.explode(F.expr("sequence(block, parts - 1)"))).select("key", "rep", "comp", F.col("block").alias("i"), F.col("other").alias("j"), F.lit(0).alias("side"))
             as_b = own.withColumn("other", F.explode(all_)).where("other <= block").select("key", "rep", "comp", F.col("other").alias("i"), F.col("block").alias("j"), F.lit(1).alias("side"))
-            sided = as_a.union(as_b).join(info, "rep")
-            more = sided.groupBy("key", "i", "j").applyInPandas(_block_pairs(least, percent, best), "hub long, rep long")
-            new = verify(more, f"across{k}")
+            sided = as_a.union(as_b).join(info, "rep").select("key", "i", "j", "side", "rep", "comp", "n", "sig")
+            sided = sided.repartition("key", "i", "j").sortWithinPartitions("key", "i", "j", "side")
+            more = s.table(sided.mapInArrow(_block_pairs(least, percent, best), "hub long, rep long, key long, more boolean"), f"found{k}")
+            shortened = s.table(more.where("more").select("key").distinct(), f"shortened{k}")
+            new = verify(more.select("hub", "rep"), f"across{k}")
             edges = edges.union(new)
             if not new.isEmpty():
                 comp = checkpoint(components(edges))

@@ -104,11 +104,39 @@ def test_near_duplicates_equal_brute_force(spark, texts):
 
 def test_blocks_find_what_the_star_misses():
     m = np.stack([minhash.minima(minhash.shingles(" ".join(f"a{i}" for i in range(k, k + 300)).encode())) for k in (0, 10, 200)])
-    import pandas as pd
+    sig = np.concatenate([minhash.packed(m)] * 2).view(np.uint64)
+    rep = np.array([1, 2, 3] * 2)
+    got = minhash._compare(np.zeros(6, int), np.array([0] * 3 + [1] * 3), rep, rep, np.full(6, 296), sig, 0.7, 85, None)
+    assert got.values.tolist() == [[1, 2, 0, False]]
+    comp = np.array([1, 2, 1] * 2)
+    cut = minhash._compare(np.zeros(6, int), np.array([0] * 3 + [1] * 3), rep, comp, np.full(6, 296), sig[[0, 1, 0, 0, 1, 0]], 0.7, 85, 1)
+    assert len(cut) == 1 and cut["more"].all()
+
+
+def test_near_duplicates_of_one_template(spark):
+    """Many texts near each other in one bucket, of which some link only through others."""
+    rng = random.Random(8)
+    base = [f"t{i}" for i in range(90)]
+    rows, w = [], list(base)
+    for i in range(60):
+        w = list(w)
+        w[rng.randrange(90)] = f"z{i}"
+        rows.append((i, " ".join(w if i % 2 else base[: 45 + i % 40] + w[45 + i % 40 :]), "s"))
+    s = _sets(rows)
+    root = {i: i for i in s}
 
-    side = lambda s: pd.DataFrame({"rep": [1, 2, 3], "comp": [1, 2, 3], "n": [296] * 3, "sig": list(minhash.packed(m)), "side": s})
-    got = minhash._block_pairs(0.7, 85, None)(pd.concat([side(0), side(1)]))
-    assert got.values.tolist() == [[1, 2]]
+    def find(x):
+        while root[x] != x:
+            x = root[x]
+        return x
+
+    for a in s:
+        for b in s:
+            if a < b and 100 * len(s[a] & s[b]) >= 85 * len(s[a] | s[b]):
+                x, y = find(a), find(b)
+                root[max(x, y)] = min(x, y)
+    got = {r.doc_id: r.component_id for r in minhash.near_duplicates(docs(spark, rows)).collect()}
+    assert got == {i: find(i) for i in s}
 
 
 def test_line_dedup_equals_brute_force(spark):
