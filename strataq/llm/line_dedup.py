@@ -44,12 +44,12 @@ def repeated_lines(src: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
         ids = s.table(_ranked(twice, ["h", "g"]), "ids")
         known = lines.join(ids, ["h", "g"]).select("id", "fp", "at", "ln", "w", "r").withColumn("seg", F.col("at") - F.row_number().over(doc))
         known = known.withColumn("all", F.sum("w").over(Window.partitionBy("id", "fp", "seg"))).where(F.col("all") >= min_words)
-        known = s.table(known.select("id", "fp", "seg", "at", "ln", "w", "r"), "runs")
         ahead = Window.partitionBy("id", "fp", "seg").orderBy("at").rowsBetween(0, min_words - 1)
         sums = F.collect_list("w").over(ahead)
         upto = F.aggregate(sums, F.struct(F.lit(0).alias("n"), F.lit(0).alias("w")), lambda a, w: F.when(a["w"] >= min_words, a).otherwise(F.struct((a["n"] + 1).alias("n"), (a["w"] + w).alias("w"))))
-        starts = known.withColumn("upto", upto).where(F.col("upto.w") >= min_words).select("id", "fp", "seg", "at", F.col("upto.n").alias("need"))
-        starts = s.table(starts, "starts")
+        known = known.withColumn("upto", upto).withColumn("need", F.when(F.col("upto.w") >= min_words, F.col("upto.n")))
+        known = s.table(known.select("id", "fp", "seg", "at", "ln", "r", "need"), "runs")
+        starts = known.where("need is not null").select("id", "fp", "seg", "at", "need")
         longest = starts.agg(F.max("need")).first()[0] or 0
 
         level = known.select("id", "fp", "seg", "at", "r")
@@ -58,12 +58,11 @@ def repeated_lines(src: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
             own = starts.where((F.col("need") >= 1 << k) & (F.col("need") < 2 << k))
             tail = level.select("id", "fp", F.col("at").alias("at2"), F.col("r").alias("rb"))
             named = own.join(level.drop("seg").withColumnRenamed("r", "ra"), ["id", "fp", "at"]).withColumn("at2", F.col("at") + F.col("need") - (1 << k)).join(tail, ["id", "fp", "at2"])
-            named = s.table(named.select("id", "fp", "at", "need", "ra", "rb"), f"named{k}")
+            named = named.select("id", "fp", "at", "need", "ra", "rb")
             first = named.groupBy("need", "ra", "rb").agg(F.min(F.struct("id", "fp", "at")).alias("first"), F.count("*").alias("c")).where("c > 1").drop("c")
             later.append(named.join(first, ["need", "ra", "rb"]).where(F.struct("id", "fp", "at") > F.col("first")).select("id", "fp", "at", "need"))
             if (2 << k) <= longest:
                 paired = level.withColumn("r2", F.lead("r", 1 << k).over(Window.partitionBy("id", "fp", "seg").orderBy("at"))).where("r2 is not null")
-                paired = s.table(paired, f"pairs{k}")
                 names = _ranked(paired.groupBy("r", "r2").agg(F.count("*").alias("c")).where("c > 1").select(F.col("r").alias("r1"), "r2"), ["r1", "r2"])
                 level = s.table(paired.withColumnRenamed("r", "r1").join(names, ["r1", "r2"]).select("id", "fp", "seg", "at", "r"), f"level{k + 1}")
                 # a level keeps only repeated blocks, so neighbours may be missing: runs are cut anew
