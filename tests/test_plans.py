@@ -105,10 +105,11 @@ def test_streams(spark, tmp_path):
     rows = [(1, 1, "Hello world, this is", "2024-01-01 00:00:00"), (1, 2, "world, this is it", "2024-01-01 00:00:01"), (1, 3, "other words", "2024-01-01 00:00:02"), (1, 3, "other words", "2024-01-01 00:00:02")]
     df = spark.createDataFrame(rows, "k int, n int, content string, at string").withColumn("at", F.to_timestamp("at"))
     df.write.parquet(str(tmp_path / "in"))
+    spark.conf.set("spark.sql.streaming.noDataMicroBatches.enabled", "false")  # else the idle timeout keeps a query going
     source = lambda: spark.readStream.schema(df.schema).parquet(str(tmp_path / "in"))
     for name, out in (("deduped", streams.dedupe(source(), ["n", "content"], "at")), ("stitched", streams.stitch(source(), "k", "n"))):
         q = out.writeStream.format("memory").queryName(name).outputMode("append").option("checkpointLocation", str(tmp_path / name)).trigger(availableNow=True).start()
-        q.awaitTermination(60)
+        assert q.awaitTermination(60), name
         q.stop()
     assert spark.table("deduped").count() == 3
     assert "Hello world, this is it" in [r.text for r in spark.table("stitched").collect()]
