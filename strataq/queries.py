@@ -8,6 +8,9 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .operators import assembly, catalog, chunking, facets, vector
+from .parsers import element_table
+from .plans import jq
+from .sources import detection
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -267,3 +270,51 @@ def unique_by(spark, d):
 @query("SELECT DISTINCT page_id AS source, unnest(regexp_extract_all(html, 'href=\"(https?://[^\"/]+)', 1)) AS target FROM pages")
 def graph_edges(spark, d):
     return table(spark, d, "pages").select(F.col("page_id").alias("source"), F.explode(F.regexp_extract_all("html", F.lit('href="(https?://[^"/]+)'), F.lit(1))).alias("target")).distinct()
+
+
+@query("SELECT event_id, 0 AS pos, props->'$.k' AS output FROM events")
+def jq_path(spark, d):
+    return jq.query_table(table(spark, d, "events"), ".k", "event_id", "props").withColumn("pos", F.col("pos").cast("int"))
+
+
+@query("""SELECT event_id, 0 AS pos, '{"big":' || ((props->>'$.k')::BIGINT > 50) || ',"k":' || ((props->>'$.k')::BIGINT + 1) || '}' AS output FROM events""")
+def jq_object(spark, d):
+    return jq.query_table(table(spark, d, "events"), "{k: (.k + 1), big: (.k > 50)}", "event_id", "props")
+
+
+@query("SELECT event_id, ((props->>'$.k')::BIGINT)::VARCHAR AS output FROM events WHERE (props->>'$.k')::BIGINT % 10 = 3")
+def jq_select(spark, d):
+    return jq.query_table(table(spark, d, "events"), "select(.k % 10 == 3) | .k", "event_id", "props").select("event_id", "output")
+
+
+@query()
+def html_elements(spark, d):
+    p = table(spark, d, "pages").select("page_id", "html", F.lit("html").alias("kind"))
+    return element_table(p, "page_id", "html", "kind").select("doc", "elem_id", "parent_id", "depth", "name", "line_start", "line_end", F.md5(F.col("content").cast("binary")).alias("digest"))
+
+
+@query()
+def markdown_elements(spark, d):
+    p = table(spark, d, "documents").select("doc_id", "text", F.lit("markdown").alias("kind"))
+    return element_table(p, "doc_id", "text", "kind").groupBy("doc", "type").agg(F.count("*").alias("n"))
+
+
+@query("""SELECT page_id, CASE WHEN regexp_matches(lower(url), '[.]html?$') THEN 'html' WHEN regexp_matches(lower(url), '[.]json$') THEN 'json' ELSE 'other' END AS kind FROM pages""")
+def file_types(spark, d):
+    kind = detection.from_path(F.col("url"))
+    return table(spark, d, "pages").select("page_id", F.when(kind.isin("html", "json"), kind).otherwise("other").alias("kind"))
+
+
+@query("""WITH e AS (SELECT DISTINCT conv_id AS source, unnest(['user', 'assistant', 'system']) AS target FROM conversations),
+ n AS (SELECT DISTINCT role AS id FROM conversations) SELECT source, target FROM e WHERE target IN (SELECT id FROM n)""")
+def architecture_prune(spark, d):
+    c = table(spark, d, "conversations")
+    edges = c.select(F.col("conv_id").alias("source"), F.explode(F.array(*[F.lit(x) for x in ("user", "assistant", "system")])).alias("target")).distinct()
+    return edges.join(c.select(F.col("role").alias("target")).distinct(), "target", "left_semi").select("source", "target")
+
+
+@query("""SELECT conv_id, turn, sha256(conv_id || '::' || turn) AS key, length(text) // 4 AS tokens FROM conversations""")
+def token_estimates(spark, d):
+    c = table(spark, d, "conversations")
+    key = F.sha2(F.concat_ws("::", F.col("conv_id").cast("string"), F.col("turn").cast("string")).cast("binary"), 256)
+    return c.select("conv_id", "turn", key.alias("key"), F.floor(F.length("text") / 4).cast("long").alias("tokens"))
