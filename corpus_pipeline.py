@@ -18,10 +18,10 @@ ORACLE_SQL = None
 
 def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents in no language (`und`: null, empty or without a letter) go; `lang` becomes the prediction where null."""
-    cols = docs.columns
-    found = language.identify(docs, language.learn(docs), keep=tuple(c for c in cols if c not in ("doc_id", "text")) + (F.col("text").alias("own_text"),))
-    lang = F.coalesce("lang", "lang_pred").alias("lang")
-    return found.where("lang_pred <> 'und'").select(*(lang if c == "lang" else F.col("own_text").alias("text") if c == "text" else F.col(c) for c in cols))
+    keep = tuple(c for c in docs.columns if c != "doc_id")
+    found = language.identify(docs, language.learn(docs), keep=keep, out=("__lang_pred", "__lang_score"))
+    lang = F.coalesce("lang", "__lang_pred").alias("lang")
+    return found.where("__lang_pred <> 'und'").select(*(lang if c == "lang" else F.col(c) for c in docs.columns))
 
 
 def without_repeated_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -39,9 +39,10 @@ def without_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Da
 
 def mixed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Each document as many times as the mix takes it."""
-    times = mixing.mix_sources(docs).select("doc_id", "times").where("times > 0").withColumn("nth", F.row_number().over(_same("doc_id")))
-    own = docs.withColumn("nth", F.row_number().over(_same("doc_id")))
-    out = own.join(times, ["doc_id", "nth"]).withColumn("nth", F.explode(F.expr("sequence(1L, times)")))
+    nth = F.row_number().over(_same("doc_id"))
+    times = mixing.mix_sources(docs).select("doc_id", F.col("times").alias("__times")).withColumn("__row", nth).where("__times > 0").withColumnRenamed("doc_id", "__id")
+    own = docs.withColumn("__nth", nth)
+    out = own.join(times, F.col("doc_id").eqNullSafe(F.col("__id")) & (F.col("__nth") == F.col("__row"))).withColumn("__copy", F.explode(F.expr("sequence(1L, __times)")))
     return out.select(*docs.columns)
 
 

@@ -166,8 +166,8 @@ def learn(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_
     return Model(tuple(langs), tuple(texts[k] for k in langs))
 
 
-def identify(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str = "text", keep: tuple[str | Column, ...] = ()) -> DataFrame:
-    """id, lang_pred, score of each row of `docs`, and the columns of `keep`.
+def identify(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str = "text", keep: tuple[str | Column, ...] = (), out: tuple[str, str] = ("lang_pred", "score")) -> DataFrame:
+    """id, lang_pred, score (named as in `out`) of each row of `docs`, and the columns of `keep`.
 
     `und` with score 0 where text is null or has no letter, or the model knows no language.  score: 0 to 1, how far the
     winner is ahead.  Ties go to the first language by name.
@@ -198,4 +198,4 @@ def identify(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: st
     src = docs.select(F.col(id_col), *keep, F.col(text_col).cast("string").alias("__text"))
     fields = [f for f in src.schema.fields if f.name != "__text"]
     schema = ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in fields), "__lang string", "__score double"])
-    return src.mapInArrow(run, schema).withColumnRenamed("__lang", "lang_pred").withColumnRenamed("__score", "score")
+    return src.mapInArrow(run, schema).withColumnRenamed("__lang", out[0]).withColumnRenamed("__score", out[1])
