@@ -49,16 +49,16 @@ def _read(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
 def scan(spark: SparkSession, root: str, gitignore: bool = True, extra: tuple[str, ...] = (".ignore", ".vectorignore")) -> DataFrame:
     """path, rel_path, extension, length, modified, content of the files under a local or mounted `root`.
 
-    Hidden files count; `.vecdb` and `.git` directories don't.  Rules are those of the root's ignore files.
+    Hidden files count; `.strataq` and `.git` directories don't.  Rules are those of the root's ignore files.
     """
-    lines = [".vecdb/", ".git/"]
+    lines = [".strataq/", ".git/"]
     for name in (*((".gitignore",) if gitignore else ()), *extra):
         if os.path.exists(f"{root}/{name}"):
             with open(f"{root}/{name}") as f:
                 lines += f.read().splitlines()
     files = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(root)
     # Spark's own listing passes over names that begin with a dot or an underscore
-    hidden = [os.path.join(d, f) for d, dirs, names in os.walk(root) for f in names if any(x[:1] in "._" for x in os.path.relpath(os.path.join(d, f), root).split(os.sep)) and not {".git", ".vecdb"} & set(os.path.relpath(d, root).split(os.sep))]
+    hidden = [os.path.join(d, f) for d, dirs, names in os.walk(root) for f in names if any(x[:1] in "._" for x in os.path.relpath(os.path.join(d, f), root).split(os.sep)) and not {".git", ".strataq"} & set(os.path.relpath(d, root).split(os.sep))]
     if hidden:
         files = files.unionByName(spark.createDataFrame([(h,) for h in hidden], "path string").mapInPandas(_read, files.schema))
     at = F.length(F.lit(os.path.abspath(root))) + 2
