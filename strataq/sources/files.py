@@ -154,3 +154,26 @@ def pack_lines(lines: list[str], size: int) -> list[str]:
             out.append("\n".join(held))
             held, n = [], 0
     return [*out, "\n".join(held)] if held else out
+
+
+def flatten_yaml(text: str, most: int = 100_000) -> list[str]:
+    """`path: value` lines of a YAML text; of several documents each has the prefix `doc[i]`."""
+    try:
+        import yaml
+    except ImportError as e:
+        raise RuntimeError("YAML needs PyYAML") from e
+    docs = [d for d in yaml.safe_load_all(text) if d is not None]
+    plain = json.loads(json.dumps(docs, default=str))
+    if len(plain) == 1:
+        return flatten_json(plain[0], "", most)
+    return [line for i, d in enumerate(plain) for line in flatten_json(d, f"doc[{i}]", most)]
+
+
+def json_items(docs: DataFrame, id_col: str, json_col: str) -> DataFrame:
+    """id, stream_index, item (JSON text), timestamp of the items of JSON arrays; anything but an array has none.
+
+    timestamp: the first of `timestamp`, `time`, `created_at` that is a string.
+    """
+    items = F.from_json(F.col(json_col), "array<string>")
+    out = docs.where(F.regexp_like(F.col(json_col), F.lit(r"^\s*\["))).select(id_col, F.posexplode(items).alias("stream_index", "item"))
+    return out.withColumn("timestamp", F.coalesce(*[F.get_json_object("item", f"$.{k}") for k in ("timestamp", "time", "created_at")]))

@@ -86,3 +86,24 @@ def test_files(spark, tmp_path):
     assert [r.value for r in files.records(spark, str(tmp_path / "r.ndjson")).orderBy("in_pos").collect()] == ['{"a": 1}', '{"a": 2}']
     assert files.flatten_json({"b": [1, {"c": "x"}]}) == ["b[0]: 1", "b[1].c: x"]
     assert files.pack_lines(["aa", "b", "c"], 4) == ["aa\nb", "c"]
+
+
+def test_history_yaml_and_items(spark, tmp_path):
+    import subprocess
+
+    from strataq.sources import history
+
+    repo = tmp_path / "repo"
+    repo.mkdir()
+    git = lambda *a: subprocess.run(["git", "-C", str(repo), "-c", "user.name=t", "-c", "user.email=t@t", *a], check=True, capture_output=True)
+    git("init", "-q")
+    (repo / "a.txt").write_text("one")
+    git("add", ".")
+    git("commit", "-qm", "first")
+    (repo / "a.txt").write_text("two")
+    git("commit", "-qam", "second")
+    row = history.scan(spark, str(repo), "HEAD~1", str(tmp_path / "out")).first()
+    assert bytes(row.content) == b"one" and row.git_ref == "HEAD~1" and len(row.commit_sha) == 40 and history.head(str(repo)) != row.commit_sha
+    assert files.flatten_yaml("a: [1, x]\n---\nb: 2\n") == ["doc[0].a[0]: 1", "doc[0].a[1]: x", "doc[1].b: 2"]
+    df = spark.createDataFrame([(1, '[{"id": 1, "time": "t"}, {"id": 2}]'), (2, '{"a": 1}')], "id long, j string")
+    assert [(r.id, r.stream_index, r.timestamp) for r in files.json_items(df, "id", "j").collect()] == [(1, 0, "t"), (1, 1, None)]
