@@ -31,6 +31,41 @@ def order_by_instant(records: DataFrame, at: Column, order: str = "in_pos") -> D
     return records.orderBy(at.asc_nulls_first(), order)
 
 
+def positions(records: DataFrame, at: Column, order: str = "in_pos", parts: int | None = None) -> DataFrame:
+    """`records` with `pos`, from 1: the place by instant (null first), then `order`.
+
+    No task sees all rows: bounds from a sample by hash cut the order into `parts` ranges (shuffle partitions without it),
+    rows are numbered within their range, and the ranges before it add their counts.  A row's range depends on the row and
+    the bounds alone, so both scans of `records` agree on it.
+    """
+    spark = records.sparkSession
+    parts = parts or int(spark.conf.get("spark.sql.shuffle.partitions"))
+    kind = records.schema[order].dataType
+    place = lambda t, x: F.struct(t.alias("t"), x.alias("x"))
+    own = records.withColumn("__at", F.unix_micros(at))
+    sample = own.select("__at", F.col(order).alias("x")).orderBy(F.xxhash64("__at", "x"), "__at", "x").limit(20 * parts)
+    rows = sample.distinct().orderBy(F.asc_nulls_first("__at"), F.asc_nulls_first("x")).collect()
+    bounds = [rows[i * len(rows) // parts] for i in range(1, min(parts, len(rows)))] if rows else []
+
+    def find(lo: int, hi: int) -> Column:
+        """Bounds that a row isn't before, known to be from `lo` to `hi`."""
+        if lo == hi:
+            return F.lit(lo)
+        mid = (lo + hi) // 2
+        bound = place(F.lit(bounds[mid][0]).cast("long"), F.lit(bounds[mid][1]).cast(kind))
+        return F.when(place(F.col("__at"), F.col(order)) < bound, find(lo, mid)).otherwise(find(mid + 1, hi))
+
+    own = own.withColumn("__part", find(0, len(bounds)))
+    before, total = {}, 0
+    for part, n in sorted(map(tuple, own.groupBy("__part").count().collect())):
+        before[part], total = total, total + n
+    if not before:
+        return records.withColumn("pos", F.lit(None).cast("long"))
+    offset = F.element_at(F.array(*[F.lit(before.get(k, 0)).cast("long") for k in range(len(bounds) + 1)]), F.col("__part") + 1)
+    w = Window.partitionBy("__part").orderBy(F.asc_nulls_first("__at"), F.asc_nulls_first(order))
+    return own.withColumn("pos", offset + F.row_number().over(w)).drop("__at", "__part")
+
+
 def stitch_text(base: str, more: str, least: int = LEAST_OVERLAP, most: int = MOST_OVERLAP) -> str:
     """`base` and `more` joined over the longest suffix of one that begins the other, of `least` to `most` bytes."""
     a, b = base.encode(), more.encode()

@@ -120,11 +120,20 @@ def dedupe_exact(spark, d):
     return assembly.dedupe_exact(e, ["user_id", "event_type", "props"], "event_id").select("event_id")
 
 
+def _positions(events: DataFrame) -> DataFrame:
+    at = assembly.instant(F.col("ts").cast("string"), F.lit(None).cast("string"))
+    return assembly.positions(events, at, "event_id").select("event_id", "pos")
+
+
 @query("SELECT event_id, (row_number() OVER (ORDER BY ts, event_id))::INT AS pos FROM events WHERE user_id < 50")
 def stream_sort(spark, d):
-    e = table(spark, d, "events").where("user_id < 50").withColumn("t", F.col("ts").cast("string"))
-    at = assembly.instant(F.col("t"), F.lit(None).cast("string"))
-    return e.select("event_id", F.row_number().over(Window.orderBy(at.asc_nulls_first(), "event_id")).alias("pos"))
+    return _positions(table(spark, d, "events").where("user_id < 50")).withColumn("pos", F.col("pos").cast("int"))
+
+
+@query("SELECT event_id, row_number() OVER (ORDER BY ts, event_id) AS pos FROM events")
+def stream_sort_whole(spark, d):
+    """`stream_sort` over the whole table."""
+    return _positions(table(spark, d, "events"))
 
 
 @query("SELECT conv_id, turn, lag(text) OVER (PARTITION BY conv_id ORDER BY turn) AS before_text, md5(text) AS digest FROM conversations")
