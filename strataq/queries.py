@@ -58,6 +58,16 @@ def knn_batch(spark, d):
     return vector.search_batch(p, q, 5, "vec_id", "embedding").withColumn("score", F.round("score", 6))
 
 
+@query(f"""WITH s AS (SELECT q.vec_id AS query_id, e.vec_id, {_COS} AS score FROM embeddings e, embeddings q WHERE q.vec_id % 50 = 0),
+ r AS (SELECT *, (row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id))::INT AS rank FROM s)
+ SELECT query_id, rank, vec_id, round(score, 6) AS score FROM r WHERE rank <= 5""")
+def knn_batch_whole(spark, d):
+    """`knn_batch` with the whole query set: every row whose id is divisible by 50, as in op2."""
+    p = table(spark, d, "embeddings")
+    q = p.where("vec_id % 50 = 0").select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("query"))
+    return vector.search_batch(p, q, 5, "vec_id", "embedding").withColumn("score", F.round("score", 6))
+
+
 @query("""WITH t AS (SELECT vec_id, list_slice(embedding::DOUBLE[], 1, 16) AS v FROM embeddings)
  SELECT vec_id, round(v[1] / sqrt(list_inner_product(v, v)), 6) AS first, round(v[16] / sqrt(list_inner_product(v, v)), 6) AS last FROM t""")
 def matryoshka_truncate(spark, d):

@@ -37,3 +37,10 @@ def test_positions_with_ties_and_nulls(spark, parts):
     want = sorted(rows, key=lambda r: (r[1] is not None, r[1] or "", r[0] is not None, r[0] or 0))
     assert got == {(t, i): k + 1 for k, (i, t) in enumerate(want)}
     assert assembly.positions(df.limit(0), F.try_to_timestamp("t"), "id", parts).count() == 0
+
+
+@tables
+def test_every_query_vector_is_searched(spark):
+    n = {r.query_id: r["count"] for r in QUERIES["knn_batch_whole"](spark, D).groupBy("query_id").count().collect()}
+    ids = duckdb.sql(f"SELECT vec_id FROM '{D}/embeddings.parquet' WHERE vec_id % 50 = 0").fetchall()
+    assert n == {i: 5 for (i,) in ids}
