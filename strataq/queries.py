@@ -170,6 +170,13 @@ def points_exists(spark, d):
     return catalog.points_exist(stored, table(spark, d, "orders").select(F.col("o_custkey").alias("id")).distinct())
 
 
+@query("SELECT doc_id AS id FROM documents WHERE doc_id IN (SELECT doc_id FROM labels)")
+def points_exists_whole(spark, d):
+    """`points_exists` over two whole tables whose ids differ: the documents that are labelled."""
+    stored = table(spark, d, "labels").select(F.col("doc_id").alias("id"))
+    return catalog.points_exist(stored, table(spark, d, "documents").select(F.col("doc_id").alias("id")))
+
+
 @query("SELECT c_custkey AS id FROM customer WHERE c_custkey NOT IN (SELECT o_custkey FROM orders)")
 def anti_join_new(spark, d):
     stored = table(spark, d, "orders").select(F.col("o_custkey").alias("id"))

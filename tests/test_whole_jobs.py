@@ -44,3 +44,10 @@ def test_every_query_vector_is_searched(spark):
     n = {r.query_id: r["count"] for r in QUERIES["knn_batch_whole"](spark, D).groupBy("query_id").count().collect()}
     ids = duckdb.sql(f"SELECT vec_id FROM '{D}/embeddings.parquet' WHERE vec_id % 50 = 0").fetchall()
     assert n == {i: 5 for (i,) in ids}
+
+
+@tables
+def test_stored_points_are_a_whole_table(spark):
+    got = sorted(r.id for r in QUERIES["points_exists_whole"](spark, D).collect())
+    both = duckdb.sql(f"SELECT doc_id FROM '{D}/labels.parquet' INTERSECT SELECT doc_id FROM '{D}/documents.parquet' ORDER BY 1").fetchall()
+    assert got == [i for (i,) in both] and 0 < len(got) < spark.read.parquet(f"{D}/documents.parquet").count()
