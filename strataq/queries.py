@@ -186,8 +186,17 @@ def anti_join_new(spark, d):
 @query("""WITH n AS (SELECT user_id, event_type, event_id FROM events QUALIFY row_number() OVER (PARTITION BY user_id ORDER BY event_id DESC) = 1)
  SELECT user_id, event_type, event_id FROM n""")
 def upsert_latest(spark, d):
-    e = table(spark, d, "events").select("user_id", "event_type", "event_id")
-    return catalog.upsert_latest(e.where("event_id < 100").dropDuplicates(["user_id"]), e, "user_id", "event_id")
+    """The last day's events over all before it; users without an event on that day keep their old row."""
+    old, new = _batches(table(spark, d, "events"))
+    return catalog.upsert_latest(catalog.upsert_latest(None, old, "user_id", "event_id"), new, "user_id", "event_id")
+
+
+def _batches(events: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """All events in two batches, cut where the last day begins."""
+    cols = ["user_id", "event_type", "event_id"]
+    last = events.agg(F.date_trunc("day", F.max("ts")).alias("day"))
+    e = events.crossJoin(F.broadcast(last)).withColumn("late", F.coalesce(F.col("ts") >= F.col("day"), F.lit(False)))
+    return e.where(~F.col("late")).select(*cols), e.where("late").select(*cols)
 
 
 @query("SELECT doc_id, sha256(text) AS digest, length(text) AS chars, strlen(text) AS bytes FROM documents")

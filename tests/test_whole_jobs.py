@@ -8,7 +8,7 @@ import duckdb
 import pytest
 from pyspark.sql import functions as F
 
-from strataq.operators import assembly
+from strataq.operators import assembly, catalog
 from strataq.queries import QUERIES
 
 D = "/root/testdata/sf0.001"
@@ -51,3 +51,13 @@ def test_stored_points_are_a_whole_table(spark):
     got = sorted(r.id for r in QUERIES["points_exists_whole"](spark, D).collect())
     both = duckdb.sql(f"SELECT doc_id FROM '{D}/labels.parquet' INTERSECT SELECT doc_id FROM '{D}/documents.parquet' ORDER BY 1").fetchall()
     assert got == [i for (i,) in both] and 0 < len(got) < spark.read.parquet(f"{D}/documents.parquet").count()
+
+
+@tables
+def test_upsert_merges_all_events_and_keeps_old_rows(spark, monkeypatch):
+    calls, merge = [], catalog.upsert_latest
+    monkeypatch.setattr(catalog, "upsert_latest", lambda old, new, *a: (calls.append((old, new)), merge(old, new, *a))[1])
+    got = {r.user_id: r.event_id for r in QUERIES["upsert_latest"](spark, D).collect()}
+    old, new = calls[-1]
+    kept = {r.user_id: r.event_id for r in old.join(new, "user_id", "left_anti").collect()}
+    assert kept and all(got[u] == e for u, e in kept.items())
