@@ -106,42 +106,54 @@ def write_record(r: dict, compress: bool = True) -> bytes:
     return gzip.compress(raw, 6, mtime=0) if compress else raw
 
 
+def is_not_modified(kind: Column, status: Column, profile: Column) -> Column:
+    """By status or profile: a revisit stored without an HTTP block has no status."""
+    return F.coalesce(kind == "revisit", F.lit(False)) & (F.coalesce(status == 304, F.lit(False)) | F.coalesce(profile.rlike("(^|/)server-not-modified/?$"), F.lit(False)))
+
+
 def is_full(kind: Column, status: Column) -> Column:
     return (kind == "response") & (status == 200)
 
 
 def resolve(captures: DataFrame, span: int = 86_400, fixed: tuple[str, ...] = FIXED) -> DataFrame:
-    """One row per not-modified revisit of `captures` (record_id, type, url, ts, status, headers; others are ignored).
+    """One row per not-modified revisit of `captures` (record_id, type, url, ts, status, headers and, if it is
+    there, profile; others are ignored).
 
     Returns record_id, canonical, ts, outcome, response_id, headers.  outcome: `resolved`; `no_response` without an earlier
     full response; `no_validator` where no validator is on both sides; `mismatch` where they differ.  Only a resolved row
     has headers.  Of captures at one time a response comes before a revisit, then record_id decides.  Null URL or time: the
-    revisit is `no_response`, the response is never found.  Repeated rows count once.
+    revisit is `no_response`, the response is never found.  Repeated rows count once; a null record_id is a row of its own unless the whole row is
+    repeated, and a response without one is found, with a null response_id.
     """
-    c = captures.select("record_id", "type", canonical_url(F.col("url")).alias("canonical"), F.col("ts").cast("long").alias("ts"), "status", F.col("headers"))
+    profile = F.col("profile") if "profile" in captures.columns else F.lit(None).cast("string")
+    entries = F.array_sort(F.map_entries("headers"))
+    anon = F.when(F.col("record_id").isNull(), F.sha2(F.to_json(F.struct("type", "url", "ts", "status", profile.alias("profile"), entries.alias("headers"))), 256))
+    c = captures.select("record_id", anon.alias("anon"), profile.alias("profile"), "type", canonical_url(F.col("url")).alias("canonical"), F.col("ts").cast("long").alias("ts"), "status", F.col("headers"))
     c = c.withColumn("full", F.coalesce(is_full(F.col("type"), F.col("status")), F.lit(False))).withColumn("span", F.floor(F.col("ts") / span))
-    revisit = F.coalesce((F.col("type") == "revisit") & (F.col("status") == 304), F.lit(False))
-    narrow = c.where(F.col("full") | revisit).select("record_id", "canonical", "ts", "span", "full").distinct()
+    revisit = is_not_modified(F.col("type"), F.col("status"), F.col("profile"))
+    narrow = c.where(F.col("full") | revisit).select("record_id", "anon", "canonical", "ts", "span", "full").distinct()
     usable = narrow.where("canonical is not null and ts is not null")
-    at = F.struct("ts", "record_id")
+    at = F.struct("ts", "record_id", "anon")
     # every span with a capture gets the last response of the spans before it
     spans = usable.groupBy("canonical", "span").agg(F.max(F.when(F.col("full"), at)).alias("last"))
     before = Window.partitionBy("canonical").orderBy("span").rowsBetween(Window.unboundedPreceding, -1)
     carried = spans.select("canonical", "span", F.last("last", ignorenulls=True).over(before).alias("carried"))
-    within = Window.partitionBy("canonical", "span").orderBy("ts", F.col("full").desc(), "record_id").rowsBetween(Window.unboundedPreceding, 0)
+    within = Window.partitionBy("canonical", "span").orderBy("ts", F.col("full").desc(), "record_id", "anon").rowsBetween(Window.unboundedPreceding, 0)
     found = usable.withColumn("near", F.last(F.when(F.col("full"), at), ignorenulls=True).over(within)).where(~F.col("full"))
-    found = found.join(carried, ["canonical", "span"], "left").select("record_id", "canonical", "ts", F.coalesce("near", "carried").alias("hit"))
-    lost = narrow.where(~F.col("full") & (F.col("canonical").isNull() | F.col("ts").isNull())).select("record_id", "canonical", "ts", F.lit(None).cast("struct<ts:bigint,record_id:string>").alias("hit"))
-    own = c.where(revisit).select("record_id", F.col("headers").alias("new")).dropDuplicates(["record_id"])
-    full = c.where("full").select(F.col("record_id").alias("response_id"), F.col("headers").alias("old")).dropDuplicates(["response_id"])
-    out = found.unionByName(lost).withColumn("response_id", F.col("hit.record_id")).join(own, "record_id").join(full, "response_id", "left")
+    found = found.join(carried, ["canonical", "span"], "left").select("record_id", "anon", "canonical", "ts", F.coalesce("near", "carried").alias("hit"))
+    lost = narrow.where(~F.col("full") & (F.col("canonical").isNull() | F.col("ts").isNull())).select("record_id", "anon", "canonical", "ts", F.lit(None).cast("struct<ts:bigint,record_id:string,anon:string>").alias("hit"))
+    own = c.where(revisit).select(F.col("record_id").alias("own_id"), F.col("anon").alias("own_anon"), F.col("headers").alias("new")).dropDuplicates(["own_id", "own_anon"])
+    full = c.where("full").select(F.col("record_id").alias("full_id"), F.col("anon").alias("full_anon"), F.col("headers").alias("old")).dropDuplicates(["full_id", "full_anon"])
+    out = found.unionByName(lost).withColumn("response_id", F.col("hit.record_id")).withColumn("response_anon", F.col("hit.anon"))
+    out = out.join(own, F.col("record_id").eqNullSafe(F.col("own_id")) & F.col("anon").eqNullSafe(F.col("own_anon")))
+    out = out.join(full, F.col("response_id").eqNullSafe(F.col("full_id")) & F.col("response_anon").eqNullSafe(F.col("full_anon")), "left")
     empty = F.create_map().cast("map<string,string>")
     lower = lambda m: F.transform_keys(F.coalesce(m, empty), lambda k, v: F.lower(k))
     out = out.withColumn("new", lower(F.col("new"))).withColumn("old", lower(F.col("old")))
     tag = lambda m: F.regexp_replace(F.try_element_at(m, F.lit("etag")), "^W/", "")
     since = lambda m: F.try_element_at(m, F.lit("last-modified"))
     same = F.coalesce(tag(F.col("new")) == tag(F.col("old")), since(F.col("new")) == since(F.col("old")))
-    outcome = F.when(F.col("response_id").isNull(), "no_response").when(same.isNull(), "no_validator").when(same, "resolved").otherwise("mismatch")
+    outcome = F.when(F.col("hit").isNull(), "no_response").when(same.isNull(), "no_validator").when(same, "resolved").otherwise("mismatch")
     keep = F.map_filter("new", lambda k, v: ~k.isin(*fixed))
     merged = F.map_concat(F.map_filter("old", lambda k, v: ~F.map_contains_key(keep, k)), keep)
     return out.select("record_id", "canonical", "ts", outcome.alias("outcome"), F.when(outcome.isin("resolved", "mismatch", "no_validator"), F.col("response_id")).alias("response_id"), F.when(outcome == "resolved", merged).alias("headers"))
