@@ -34,6 +34,28 @@ def checkpoint(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+def fresh(columns: list[str], *names: str) -> list[str]:
+    """`names`, each with marks added until it is none of `columns`, whatever the case."""
+    taken, out = {c.lower() for c in columns}, []
+    for n in names:
+        while n.lower() in taken:
+            n += "_"
+        taken.add(n.lower())
+        out.append(n)
+    return out
+
+
+def ranged(df: DataFrame, keys: list[Column], part: str, parts: int | None = None) -> DataFrame:
+    """`df` in ranges of `keys`, sorted within them; `part`: the number of a row's range.
+
+    Ranges follow each other as their numbers do, equal keys share one, and rows are spread by a sample of the keys, so with
+    keys that tell rows apart no value is too frequent for one task.  The number is that of the task: write the result to a
+    table before using it twice.
+    """
+    n = parts or max(1, int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+    return df.repartitionByRange(n, *keys).sortWithinPartitions(*keys).withColumn(part, F.spark_partition_id())
+
+
 class Scratch:
     """Tables written to the shared folder and deleted on exit; what leaves the block must not read them."""
 

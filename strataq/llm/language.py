@@ -4,17 +4,21 @@ For each language a suffix automaton of a bounded sample of labelled text is bui
 longest phrases that occur in that sample.  The language whose phrases, each weighed with the log of its sample's length,
 are fewest per character wins.
 
-Text is lower-cased; runs of anything but letters count as one blank.  Parsing starts anew every `SEGMENT` characters, so
-that many segments advance in step through one dense transition table; whole texts are parsed, whatever their length.
+Text is lower-cased; runs of anything but letters count as one blank.  Every letter of the samples is a symbol of its own,
+whatever its script; a letter that no sample holds continues no phrase.  Parsing starts anew every `SEGMENT` symbols, so that
+many segments advance in step; whole texts are parsed, whatever their length.
 
-The sample: per language, rows in order of a hash of the id, up to `MAX_ROWS` rows and `MAX_CHARS` characters.  Both are
-bounds on what the driver gathers; the number of languages is what the labels hold.
+The automata are stored sparsely, by row displacement: the edges of all states lie in one array, each state's row shifted so
+that rows interleave, with the owner of each cell beside it.  A sample of 30,000 characters takes about 0.9 MB, whatever the
+number of letters, so 200 languages take under 200 MB in a Python worker.
+
+The sample: per language, whole texts in order of a hash of their rows, up to `MAX_ROWS` rows and `MAX_CHARS` characters in
+all.  A text above `MAX_CHARS` is passed over, unless its language has no shorter one: then its shortest text is the sample.
 """
 
 from __future__ import annotations
 
 import math
-from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -24,9 +28,10 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 MAX_ROWS, MAX_CHARS = 200, 30_000
-SEGMENT, ALPHABET = 256, 46
+SEGMENT = 256
 _SLICE = 4_000_000
-_OTHER, _BLANK, _PAD = 0, 1, 2  # classes of characters; letters of the alphabet follow
+_OTHER, _BLANK, _PAD = 0, 1, 2  # classes of characters; the letters of the samples follow
+_CODES = 0x110000
 
 
 def suffix_automaton(s: list[int]) -> list[dict[int, int]]:
@@ -69,47 +74,30 @@ class Model:
 
 
 class Parser:
-    """The automata of a model as one table: next state * 2, plus 1 where a phrase ends before the character."""
+    """The automata of a model in one sparse table."""
 
     def __init__(self, model: Model):
-        letters = Counter(c for t in model.texts for c in t.lower() if c.isalpha())
-        self.letters = [c for c, _ in sorted(letters.items(), key=lambda x: (-x[1], x[0]))[:ALPHABET]]
-        self.classes = np.full(1 << 16, _BLANK, np.uint8)
-        for c in range(1 << 16):
-            if chr(c).isalpha():
-                self.classes[c] = _OTHER
-        for k, c in enumerate(self.letters):
-            if ord(c) < 1 << 16:
-                self.classes[ord(c)] = k + 3
-        self.width = len(self.letters) + 3
-        tables, self.roots, self.bits, base = [], [], [], 0
+        letters = sorted({c for t in model.texts for c in t.lower() if c.isalpha()})
+        self.classes = np.full(_CODES, _BLANK, np.int32)
+        self.classes[[c for c in range(_CODES) if chr(c).isalpha()]] = _OTHER
+        self.classes[[ord(c) for c in letters]] = np.arange(len(letters)) + 3
+        self.width = len(letters) + 3
+        self.kind = np.uint16 if self.width <= 1 << 16 else np.uint32
+        self.tables, self.bits = [], []
         for text in model.texts:
             s = self.symbols(text)
-            nxt = suffix_automaton(s.tolist())
-            own = np.empty((len(nxt), self.width), np.int64)
-            own[:] = [2 * (base + nxt[0].get(c, 0)) + 1 for c in range(self.width)]
-            own[:, _OTHER] = 2 * base + 1
-            own[:, _PAD] = 2 * (base + np.arange(len(nxt)))
-            for k, edges in enumerate(nxt):
-                for c, to in edges.items():
-                    if c != _OTHER:
-                        own[k, c] = 2 * (base + to)
-            tables.append(own)
-            self.roots.append(base)
+            self.tables.append(displaced(suffix_automaton(s.tolist()), self.width))
             self.bits.append(math.log2(max(2, len(s))))
-            base += len(nxt)
-        self.table = np.concatenate(tables).astype(np.int32).ravel()
 
     def symbols(self, text: str) -> np.ndarray:
         """Classes of the characters, a run of non-letters as one blank."""
-        code = np.frombuffer(text.lower().encode("utf-32-le", "surrogatepass"), np.uint32)
-        s = np.where(code < 1 << 16, self.classes[np.minimum(code, 65535)], _OTHER).astype(np.uint8) if len(code) and code.max() > 65535 else self.classes[code]
+        s = self.classes[np.frombuffer(text.lower().encode("utf-32-le", "surrogatepass"), np.uint32)]
         blank = s == _BLANK
         keep = ~blank
         keep[1:] |= ~blank[:-1]
         if len(keep):
             keep[0] = True
-        return s[keep]
+        return s[keep].astype(self.kind)
 
     def phrases(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
         """Phrases per text and language, and symbols per text."""
@@ -118,28 +106,111 @@ class Parser:
             for i in range(0, len(text), _SLICE):
                 s = self.symbols(text[i : i + _SLICE])
                 n = -(-len(s) // SEGMENT)
-                grid = np.full(n * SEGMENT, _PAD, np.uint8)
+                grid = np.full(n * SEGMENT, _PAD, self.kind)
                 grid[: len(s)] = s
                 parts.append(grid.reshape(n, SEGMENT))
                 owner += [k] * n
-        out, size = np.zeros((len(texts), len(self.roots)), np.int64), np.zeros(len(texts), np.int64)
+        out, size = np.zeros((len(texts), len(self.tables)), np.int64), np.zeros(len(texts), np.int64)
         if not owner:
             return out, size
         grid, own = np.concatenate(parts), np.array(owner)
-        np.add.at(size, own, (grid != _PAD).sum(1))
+        lengths = (grid != _PAD).sum(1)
+        np.add.at(size, own, lengths)
+        order = np.argsort(-lengths, kind="stable")  # segments of one length side by side: a step ends where they do
         for i in range(0, len(grid), 8192):
-            block = np.ascontiguousarray(grid[i : i + 8192].T)
-            for k, root in enumerate(self.roots):
-                state = np.full(block.shape[1], root, np.int32)
-                count = np.ones(block.shape[1], np.int32)  # the phrase that the segment's end cuts off; a symbol foreign to the sample ends the phrase before it
-                for step in block:
-                    v = self.table[state * np.int32(self.width) + step]
-                    count += v & 1
-                    state = v >> 1
-                np.add.at(out[:, k], own[i : i + 8192], count)
+            rows = order[i : i + 8192]
+            block = np.ascontiguousarray(grid[rows].T).astype(np.int32)
+            alive = np.searchsorted(-lengths[rows], -np.arange(SEGMENT), "left")
+            for k, table in enumerate(self.tables):
+                np.add.at(out[:, k], own[rows], table.parse(block, alive))
         return out, size
 
 
+@dataclass(frozen=True)
+class Displaced:
+    """A state is the shift of its row.  cells: per place, its owner and the state after the edge, as one number; root: the
+    state after a phrase that begins with a symbol."""
+
+    owner: np.ndarray
+    to: np.ndarray
+    root: np.ndarray
+    first: int
+
+    def parse(self, block: np.ndarray, alive: np.ndarray) -> np.ndarray:
+        """Phrases of each column of `block`, of which step i holds the first `alive[i]` columns."""
+        state = np.full(block.shape[1], self.first, np.int32)
+        count = np.ones(block.shape[1], np.int32)  # the phrase that the segment's end cuts off; a symbol foreign to the sample ends the phrase before it
+        for step, n in zip(block, alive):
+            if not n:
+                break
+            now, s = state[:n], step[:n]
+            at = now + s
+            on = self.owner[at] == now
+            count[:n] += ~on
+            state[:n] = np.where(on, self.to[at], self.root[s])
+        return count
+
+
+def displaced(nxt: list[dict[int, int]], width: int) -> Displaced:
+    """The transitions of an automaton with symbols below `width`, each row at the first shift where its cells are free.
+
+    Shifts are distinct, so a shift is its state.
+    """
+    edges = [sorted(x) for x in nxt]
+    order = sorted(range(len(nxt)), key=lambda k: -len(edges[k]))
+    total = sum(map(len, edges))
+    room = 2 * (total + len(nxt)) + 2 * width
+    free, unused = np.ones(room, bool), np.ones(room, bool)
+    shift = np.zeros(len(nxt), np.int64)
+    low, step = 0, 4096
+    at = 0
+    while at < len(order) and len(edges[order[at]]) > 1:  # rows of several edges, by trial of many shifts at once
+        k = order[at]
+        symbols = edges[k]
+        begin = low
+        while True:
+            while begin + step + width > len(free):
+                free, unused = np.append(free, np.ones(len(free), bool)), np.append(unused, np.ones(len(unused), bool))
+            ok = unused[begin : begin + step].copy()
+            for s in symbols:
+                ok &= free[begin + s : begin + s + step]
+            hit = np.flatnonzero(ok)
+            if len(hit):
+                break
+            begin += step
+        b = begin + int(hit[0])
+        shift[k], unused[b] = b, False
+        free[[b + s for s in symbols]] = False
+        if at % 64 == 0:
+            full = free[low : low + step]
+            if full.sum() < step // 16:
+                low += step
+        at += 1
+    for k in order[at:]:  # one edge or none: the first place that is free
+        s = edges[k][0] if edges[k] else 0
+        b = low
+        while True:
+            while b + step + width > len(free):
+                free, unused = np.append(free, np.ones(len(free), bool)), np.append(unused, np.ones(len(unused), bool))
+            hit = np.flatnonzero(unused[b : b + step] & free[b + s : b + s + step]) if edges[k] else np.flatnonzero(unused[b : b + step])
+            if len(hit):
+                b += int(hit[0])
+                break
+            b += step
+        shift[k], unused[b] = b, False
+        if edges[k]:
+            free[b + s] = False
+    size = int(shift.max()) + width
+    owner, to = np.full(size, -1, np.int32), np.zeros(size, np.int32)
+    for k, x in enumerate(nxt):
+        for s, t in x.items():
+            owner[shift[k] + s], to[shift[k] + s] = shift[k], shift[t]
+    root = np.full(width, shift[0], np.int32)
+    for s, t in nxt[0].items():
+        root[s] = shift[t]
+    return Displaced(owner, to, root, int(shift[0]))
+
+
 _PARSERS: dict[Model, Parser] = {}
 
 
@@ -151,29 +222,42 @@ def parser(model: Model) -> Parser:
 
 
 def learn(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", max_rows: int = MAX_ROWS, max_chars: int = MAX_CHARS) -> Model:
-    """A model of the labelled rows of `docs`; rows without a language or text are passed over."""
+    """A model of the labelled rows of `docs`; rows without a language or a letter are passed over, copies count once.
+
+    A first pass ranks hashes and lengths, without texts; the driver picks at most `max_rows` rows a language, and a second
+    pass fetches those texts.
+    """
     text = F.col(text_col).cast("string")
-    src = docs.select(F.col(id_col).alias("id"), F.col(lang_col).cast("string").alias("lang"), F.substring(text, 1, max_chars).alias("text"))
-    src = src.where("lang is not null and text is not null").withColumn("order", F.xxhash64(F.col("id").cast("string"), F.lit(5)))
-    by = Window.partitionBy("lang").orderBy("order", "id", "text")
-    rows = src.withColumn("nth", F.row_number().over(by)).where(F.col("nth") <= max_rows).select("lang", "nth", "text").collect()
-    texts: dict[str, str] = {}
-    for lang, _, text in sorted(map(tuple, rows)):
-        have = texts.setdefault(lang, "")
-        if len(have) < max_chars:
-            texts[lang] = have + ("\n" if have else "") + text[: max_chars - len(have)]
-    langs = sorted(k for k, t in texts.items() if any(c.isalpha() for c in t))
-    return Model(tuple(langs), tuple(texts[k] for k in langs))
+    src = docs.select(F.col(lang_col).cast("string").alias("lang"), text.alias("text"), F.xxhash64(F.col(id_col).cast("string"), text, F.lit(5)).alias("order"), F.length(text).alias("n"))
+    src = src.where(F.col("lang").isNotNull() & F.regexp_like("text", F.lit(r"\p{L}")))
+    long = F.col("n") > max_chars
+    by = Window.partitionBy("lang").orderBy(long, F.when(long, F.col("n")), "order")
+    ranked = src.select("lang", "order", "n").withColumn("nth", F.row_number().over(by)).where(F.col("nth") <= max_rows)
+    picked, held = set(), {}
+    for r in sorted(ranked.collect(), key=lambda r: (r.lang, r.nth)):  # max_rows narrow rows a language
+        have = held.get(r.lang, 0)
+        if not have or have + r.n <= max_chars:
+            picked.add((r.lang, r.order))
+            held[r.lang] = have + r.n
+    spark = docs.sparkSession
+    wanted = F.broadcast(spark.createDataFrame(sorted(picked), "lang string, order long"))  # as bounded
+    texts: dict[str, dict[int, str]] = {}
+    for lang, order, _, t in src.join(wanted, ["lang", "order"], "left_semi").select("lang", "order", "n", "text").dropDuplicates(["lang", "order"]).collect():
+        texts.setdefault(lang, {})[order] = t
+    own = {lang: "\n".join(t for _, t in sorted(x.items())) for lang, x in texts.items()}
+    langs = sorted(k for k, t in own.items() if any(c.isalpha() for c in t))
+    return Model(tuple(langs), tuple(own[k] for k in langs))
 
 
 def identify(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str = "text", keep: tuple[str | Column, ...] = (), out: tuple[str, str] = ("lang_pred", "score")) -> DataFrame:
-    """id, lang_pred, score (named as in `out`) of each row of `docs`, and the columns of `keep`.
+    """id, the columns of `keep`, lang_pred, score (named as in `out`) of each row of `docs`.
 
     `und` with score 0 where text is null or has no letter, or the model knows no language.  score: 0 to 1, how far the
-    winner is ahead.  Ties go to the first language by name.
+    winner is ahead.  Ties go to the first language by name.  Repeated rows are rows each; names of `docs` never clash with
+    the operator's own, and those of `out` are the caller's choice.
     """
     spark = docs.sparkSession
-    shared = spark.sparkContext.broadcast(model)  # at most max_chars characters a language
+    shared = spark.sparkContext.broadcast(model)  # at most max_chars characters a language, or its shortest text
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         m = shared.value
@@ -181,7 +265,7 @@ def identify(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: st
         for b in batches:
             for i in range(0, b.num_rows, 512):
                 part = b.slice(i, 512)
-                texts = [x or "" for x in part.column("__text").to_pylist()]
+                texts = [x or "" for x in part.column(0).to_pylist()]
                 known = [any(map(str.isalpha, t)) for t in texts]
                 lang, score = ["und"] * len(texts), [0.0] * len(texts)
                 if p is not None:
@@ -192,10 +276,10 @@ def identify(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: st
                     sure = 1 / ((least / np.maximum(cost, 1e-12)) ** 8).sum(1)
                     for k in np.flatnonzero(known):
                         lang[k], score[k] = m.langs[best[k]], float(min(1.0, max(0.0, sure[k])))
-                rest = [c for c in range(part.num_columns) if part.schema.names[c] != "__text"]
-                yield pa.RecordBatch.from_arrays([*(part.column(c) for c in rest), pa.array(lang), pa.array(score, pa.float64())], [*(part.schema.names[c] for c in rest), "__lang", "__score"])
+                rest = [part.column(c) for c in range(1, part.num_columns)]
+                yield pa.RecordBatch.from_arrays([*rest, pa.array(lang), pa.array(score, pa.float64())], names)
 
-    src = docs.select(F.col(id_col), *keep, F.col(text_col).cast("string").alias("__text"))
-    fields = [f for f in src.schema.fields if f.name != "__text"]
-    schema = ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in fields), "__lang string", "__score double"])
-    return src.mapInArrow(run, schema).withColumnRenamed("__lang", out[0]).withColumnRenamed("__score", out[1])
+    own = docs.select(F.col(id_col), *keep)
+    names = [f"c{i}" for i in range(len(own.columns) + 2)]
+    schema = ", ".join([*(f"{n} {f.dataType.simpleString()}" for n, f in zip(names, own.schema.fields)), f"{names[-2]} string", f"{names[-1]} double"])
+    return docs.select(F.col(text_col).cast("string").alias("t"), F.col(id_col), *keep).toDF("t", *names[:-2]).mapInArrow(run, schema).toDF(*own.columns, *out)
