@@ -4,10 +4,11 @@ A document's vector is the mean of one signed random vector per token id (hashed
 squashed to [0, 1) and cut to `BITS` bits each.  Documents are ordered by the Hilbert key of that cell, so neighbours on
 the curve, hence in a sequence, have like content.
 
-The keys' histogram over 4096 cells (bounded, whatever the corpus) splits the curve into parts of about `per_part` tokens;
-a cell above that, such as copies of one text, is split by hash of the id.  Within a part documents are laid end to end in
-(key, id) order and cut every `length` tokens; what is left at a part's end is cut at powers of two, so no sequence needs
-padding.
+The curve is split into ranges of about `per_part` tokens by a histogram of the keys: cells above that are split again by
+more bits of the key, until they are small or hold one key only.  Only documents of one key, such as copies of a text, are
+split by hash of the document.  A pass gives the driver `CELLS` rows at most.  Each range is one task: documents are laid end
+to end in (key, id) order and cut every `length` tokens; what is left at a range's end is cut at powers of two, so no
+sequence needs padding.
 """
 
 from __future__ import annotations
@@ -18,12 +19,14 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_type
 
 from .tokens import BYTE_BPE, encoded, encoder
 
 DIMS, BITS = 4, 15
 LENGTH = 2048
-_CELL_BITS = 12
+#: Rows of one pass of the histogram, and ranges in all: what the driver may hold.
+CELLS, MOST_PARTS = 1 << 18, 50_000
 
 
 def projection(size: int, seed: int = 7, dims: int = DIMS) -> np.ndarray:
@@ -82,10 +85,10 @@ def keyed(docs: DataFrame, vocabulary: str = BYTE_BPE, id_col: str = "doc_id", t
                 ids = [np.frombuffer(x, e.dtype) for x in raw]
                 yield pa.RecordBatch.from_arrays([b.column(0).slice(at, len(raw)), pa.array(document_keys([x[:-1] for x in ids], table), pa.int64()), pa.array([len(x) for x in ids], pa.int64()), pa.array(raw, pa.binary())], ["id", "key", "n_tokens", "ids"])
 
-    return docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text")).mapInArrow(run, "id long, key long, n_tokens long, ids binary")
+    return docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text")).mapInArrow(run, f"id {dict(docs.dtypes)[id_col]}, key long, n_tokens long, ids binary")
 
 
-def _cut(sizes: list[int], rest: int) -> list[int]:
+def _cut(rest: int) -> list[int]:
     """Where a last, incomplete sequence of `rest` tokens is cut: at falling powers of two."""
     return [1 << b for b in range(rest.bit_length() - 1, -1, -1) if rest >> b & 1]
 
@@ -107,7 +110,7 @@ def lay_out(lengths: Iterator[tuple[object, int]], length: int) -> Iterator[tupl
                     yield d, s, k, seq, at
                     at += k
                 held, filled, seq = [], 0, seq + 1
-    for size in _cut([], filled):
+    for size in _cut(filled):
         at = 0
         while at < size:
             d, s, k = held.pop(0)
@@ -119,35 +122,64 @@ def lay_out(lengths: Iterator[tuple[object, int]], length: int) -> Iterator[tupl
         seq += 1
 
 
+def ranges(tokens: DataFrame, per_part: int, cells: int = CELLS) -> list[tuple[int, int, int, int]]:
+    """(bits, prefix, first, many): keys whose first `bits` bits are `prefix` lie in part `first`, or for one hot key in one of
+    `many` parts from it.  Parts follow each other along the curve; keys that no document has belong to none."""
+    full, per_key = DIMS * BITS, tokens.select("key", "n_tokens")
+    open_: list[int] | None = None  # prefixes of `depth` bits to be split
+    depth, leaves = 0, []
+    while open_ is None or open_:
+        more = min(full - depth, max(1, (cells // max(1, len(open_ or [0]))).bit_length() - 1), 12)
+        rows = per_key
+        if open_ is not None:
+            hot = F.broadcast(tokens.sparkSession.createDataFrame([(x,) for x in open_], "hot long"))  # as many as cells of the last pass at most
+            rows = rows.join(hot, F.shiftright("key", full - depth) == F.col("hot"), "left_semi")
+        depth += more
+        sums = rows.groupBy(F.shiftright("key", full - depth).alias("cell")).agg(F.sum("n_tokens").alias("n")).collect()  # cells, or twice as many
+        open_ = sorted(c for c, n in sums if n > per_part and depth < full)
+        again = set(open_)
+        leaves += [(c << (full - depth), depth, c, n) for c, n in sums if c not in again]
+    out, part, room = [], 0, per_part
+    for _, bits, cell, n in sorted(leaves):
+        many = -(-n // per_part)
+        if many > 1 or n > room:
+            part, room = part + (room < per_part), per_part
+        out.append((bits, cell, part, many))
+        part, room = (part + many, per_part) if many > 1 else (part, room - n)
+    return out
+
+
+def placed(tokens: DataFrame, cells: list[tuple[int, int, int, int]]) -> DataFrame:
+    """`tokens` with the part of each row; a hot key's documents go by hash of id and ids."""
+    full = DIMS * BITS
+    found = None
+    for bits in sorted({x[0] for x in cells}):
+        own = tokens.sparkSession.createDataFrame([x[1:] for x in cells if x[0] == bits], f"cell{bits} long, first{bits} int, many{bits} int")
+        tokens = tokens.join(F.broadcast(own), F.shiftright("key", full - bits) == F.col(f"cell{bits}"), "left")
+        spread = F.when(F.col(f"many{bits}") > 1, F.pmod(F.xxhash64("id", "ids"), F.col(f"many{bits}")).cast("int")).otherwise(0)
+        at = F.col(f"first{bits}") + spread
+        found = at if found is None else F.coalesce(found, at)
+    return tokens.withColumn("part", F.coalesce(found, F.lit(0)) if found is not None else F.lit(0))
+
+
 def pack(tokens: DataFrame, length: int = LENGTH, per_part: int = 8_000_000, width: str = "<u2", out: str = "<u4") -> DataFrame:
     """doc_id, start, length, doc_tokens, sequence_id, offset, ids (binary, as `out`) of each piece.
 
-    `tokens`: id, key, n_tokens, ids, to be read twice.  Ties in key go by id, then ids.  No documents: no pieces.
+    `tokens`: id, key, n_tokens, ids, to be read a few times.  Ties in key go by id, then ids; a null id comes first.  Repeated
+    rows are documents each.  No documents: no pieces.  Ranges hold more than `per_part` tokens where there would be more than
+    `MOST_PARTS` of them.
     """
-    shift = DIMS * BITS - _CELL_BITS
-    cell = F.shiftright("key", shift)
-    sums = sorted((r["cell"], r["n"]) for r in tokens.groupBy(cell.alias("cell")).agg(F.sum("n_tokens").alias("n")).collect())  # 4096 rows at most
-    rows, part, room = [], 0, per_part
-    for c, n in sums:
-        k = -(-n // per_part)
-        if k > 1 or n > room:
-            part, room = part + (room < per_part), per_part
-        rows.append((int(c), part, int(k)))
-        if k > 1:
-            part, room = part + k, per_part
-        else:
-            room -= n
-    spark = tokens.sparkSession
-    parts = max([1, *(p + k for _, p, k in rows)])
-    where = F.broadcast(spark.createDataFrame(rows or [(0, 0, 1)], "cell int, first int, many int"))
-    placed = tokens.withColumn("cell", cell.cast("int")).join(where, "cell")
-    placed = placed.withColumn("part", (F.col("first") + F.pmod(F.xxhash64("id"), F.col("many"))).cast("int"))
+    total = tokens.agg(F.sum("n_tokens")).first()[0] or 0
+    cells = ranges(tokens, max(per_part, -(-total // MOST_PARTS)))
+    parts = max([1, *(first + many for _, _, first, many in cells)])
+    kind = dict(tokens.dtypes)["id"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         def docs():
             for b in batches:
-                for i in range(b.num_rows):
-                    yield b.column(0)[i].as_py(), b.column(1)[i].as_py(), np.frombuffer(b.column(2)[i].as_py(), width)
+                for i in range(0, b.num_rows, 4096):
+                    own = b.slice(i, 4096)
+                    yield from zip(own.column(0).to_pylist(), own.column(1).to_pylist(), (np.frombuffer(x, width) for x in own.column(2).to_pylist()))
 
         pieces: list[tuple] = []
         held = 0
@@ -172,16 +204,18 @@ def pack(tokens: DataFrame, length: int = LENGTH, per_part: int = 8_000_000, wid
                 pieces.append((doc_id, start, n, len(ids), (p << 32) + seq, at, ids[start : start + n].astype(out).tobytes()))
                 held += n
                 if held > 2_000_000:
-                    yield _rows(pieces)
+                    yield _rows(pieces, arrow_kind)
                     pieces, held = [], 0
         if pieces:
-            yield _rows(pieces)
+            yield _rows(pieces, arrow_kind)
 
-    schema = "doc_id long, start long, length long, doc_tokens long, sequence_id long, offset long, ids binary"
-    return placed.select("part", "key", "id", "ids").repartition(parts, "part").sortWithinPartitions("part", "key", "id", "ids").select("part", "id", "ids").mapInArrow(run, schema)
+    arrow_kind = to_arrow_type(tokens.schema["id"].dataType)
+    schema = f"doc_id {kind}, start long, length long, doc_tokens long, sequence_id long, offset long, ids binary"
+    own = placed(tokens.select("id", "key", "ids"), cells).select("part", "key", "id", "ids").repartitionById(parts, "part")
+    return own.sortWithinPartitions("part", "key", "id", "ids").select("part", "id", "ids").mapInArrow(run, schema)
 
 
-def _rows(pieces: list[tuple]) -> pa.RecordBatch:
-    kinds = [pa.int64()] * 6 + [pa.binary()]
+def _rows(pieces: list[tuple], kind: pa.DataType) -> pa.RecordBatch:
+    kinds = [kind, *[pa.int64()] * 5, pa.binary()]
     names = ["doc_id", "start", "length", "doc_tokens", "sequence_id", "offset", "ids"]
     return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*pieces), kinds)], names)

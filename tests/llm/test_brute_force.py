@@ -10,7 +10,8 @@ import numpy as np
 
 
 
-from strataq.llm import language
+from strataq.llm import language, packing
+from strataq.llm.common import Scratch
 
 SENTENCES = {
     "cs": "příliš žluťoučký kůň úpěl ďábelské ódy", "el": "η γρήγορη αλεπού πηδά πάνω από το σκυλί", "en": "the quick brown fox jumps over the lazy dog", "he": "דג סקרן שט בים מאוכזב ולפתע מצא חברה",
@@ -92,3 +93,38 @@ def test_sparse_automata_are_the_dense_ones():
         else:
             state, n = nxt[0].get(c, 0), n + 1
     assert d.parse(block, np.full(len(text), 1)).tolist() == [n]
+
+
+def test_packing_splits_a_hot_cell_by_the_curve(spark):
+    """Keys that share their first bits: parts are ranges of keys, and only one hot key is split among parts."""
+    rng = random.Random(6)
+    base, hot = 5 << 40, (5 << 40) + 77_000
+    keys = [base + rng.randrange(100_000) for _ in range(300)] + [hot] * 150 + [rng.randrange(1 << 60) for _ in range(50)]
+    rows = [(i, k, 40, np.full(40, i, "<u2").tobytes()) for i, k in enumerate(keys)] + [(None, hot, 40, bytes(80))] * 3
+    with Scratch(spark) as s:
+        tokens = s.table(spark.createDataFrame(rows, "id long, key long, n_tokens long, ids binary"), "t")
+        cells = packing.ranges(tokens, 1000, cells=64)
+        parts: dict = {}
+        for r in packing.placed(tokens, cells).collect():
+            parts.setdefault(r.part, []).append(r.key)
+        assert max(len(x) for x in parts.values()) * 40 < 3000
+        last = -1
+        for part in sorted(parts):
+            assert min(parts[part]) > last or set(parts[part]) == {hot}
+            last = max(parts[part])
+        shared = [p for p, x in parts.items() if hot in x]
+        assert len(shared) > 3 and all(set(parts[p]) == {hot} for p in shared)
+        got = packing.pack(tokens, length=64, per_part=1000).collect()
+    assert sum(r.length for r in got) == 40 * len(rows)
+    by: dict = {}
+    for r in got:
+        by.setdefault(r.sequence_id, []).append((r.offset, r.length))
+    assert all(sum(n for _, n in x) & (sum(n for _, n in x) - 1) == 0 and sum(n for _, n in x) <= 64 for x in by.values())
+    assert all([o for o, _ in sorted(x)] == list(np.cumsum([0] + [n for _, n in sorted(x)])[:-1]) for x in by.values())
+
+
+def test_packing_takes_ids_of_any_kind(spark):
+    d = spark.createDataFrame([("a", "some words"), (None, None), ("a", "more words here"), ("a", "more words here")], "doc_id string, text string")
+    with Scratch(spark) as s:
+        got = packing.pack(s.table(packing.keyed(d), "t")).collect()
+    assert {r.doc_id for r in got} == {"a", None} and sum(r.length for r in got) == 3 + 1 + 2 * 4
