@@ -156,8 +156,9 @@ class Writer:
         self._put(_TAIL.pack(at, len(index), zlib.crc32(index), len(self.ids), len(self.blocks), self.tokens, MAGIC))
 
 
-def read_index(raw: bytes, table: Table) -> tuple[list[int | None], np.ndarray, np.ndarray]:
-    """ids, lengths and checkpoints (byte offset, first token) of a file."""
+def read_index(raw: bytes, table: Table, index_at: int | None = None) -> tuple[list[int | None], np.ndarray, np.ndarray]:
+    """ids, lengths and checkpoints (byte offset, first token) of a file; `index_at`: where `raw` holds the index, if not
+    where the file does."""
     if len(raw) < _HEAD.size + _TAIL.size:
         raise Damaged("the file is cut off")
     magic, lanes, precision, crc, _ = _HEAD.unpack_from(raw, 0)
@@ -166,6 +167,7 @@ def read_index(raw: bytes, table: Table) -> tuple[list[int | None], np.ndarray,
         raise Damaged("not a file of this format")
     if crc != table.crc:
         raise Damaged("the file was written with another frequency table")
+    at = at if index_at is None else index_at
     packed = raw[at : at + size]
     if zlib.crc32(packed) != index_crc:
         raise Damaged("the index does not match its checksum")
@@ -176,22 +178,43 @@ def read_index(raw: bytes, table: Table) -> tuple[list[int | None], np.ndarray,
     return [None if z else int(x) for x, z in zip(ids, null)], lengths, marks
 
 
-def read_documents(raw: bytes, table: Table) -> Iterator[tuple[int | None, np.ndarray]]:
-    ids, lengths, marks = read_index(raw, table)
-    held, k = np.zeros(0, np.uint32), 0
-    for doc_id, n in zip(ids, lengths.tolist()):
-        parts, have = [held], len(held)
-        while have < n:
-            part, _ = decode_block(raw, int(marks[k][0]), table)
+def index_of(file, table: Table) -> tuple[list[int | None], np.ndarray, np.ndarray, int]:
+    """`read_index` of an open file that can seek, which reads its head, tail and index only; and where the index begins."""
+    size = file.size()
+    head = file.read_at(_HEAD.size, 0)
+    tail = file.read_at(min(size, _TAIL.size), max(0, size - _TAIL.size))
+    if len(head) < _HEAD.size or len(tail) < _TAIL.size:
+        raise Damaged("the file is cut off")
+    at, packed, *_ = _TAIL.unpack(tail)
+    if at + packed + _TAIL.size != size:
+        raise Damaged("the file is cut off")
+    return *read_index(head + file.read_at(packed, at) + tail, table, _HEAD.size), at
+
+
+def read_documents(file, table: Table, first: int = 0, last: int | None = None) -> Iterator[tuple[int | None, int, np.ndarray]]:
+    """id, first token in the file and ids of the documents that begin in the blocks from `first` up to `last` (all without
+    it).  Only those blocks are read, and the ones into which their last document runs on."""
+    ids, lengths, marks, end = index_of(file, table)
+    starts = np.cumsum(lengths) - lengths
+    offsets = np.append(marks[:, 0], end)
+    begin = marks[first:, 1][:1]
+    stop = marks[last, 1] if last is not None and last < len(marks) else None
+    own = np.arange(int(np.searchsorted(starts, begin[0], "left")) if len(begin) else len(ids), int(np.searchsorted(starts, stop, "left")) if stop is not None else len(ids))
+    if not len(own):
+        return
+    k = int(np.searchsorted(marks[:, 1], starts[own[0]], "right")) - 1
+    held, at = np.zeros(0, np.uint32), int(marks[k, 1])
+    for i in own.tolist():
+        start, n = int(starts[i]), int(lengths[i])
+        parts, have = [held], at + len(held)
+        while have < start + n:
+            part, _ = decode_block(file.read_at(int(offsets[k + 1] - offsets[k]), int(offsets[k])), 0, table)
             parts.append(part)
             have += len(part)
             k += 1
         held = np.concatenate(parts) if len(parts) > 1 else held
-        yield doc_id, held[:n]
-        held = held[n:]
-
-
-# ---- Spark ----------------------------------------------------------------------------------------------------------
+        held, at = held[start - at :], start
+        yield ids[i], start, held[:n]
 
 
 def tokenised(docs: DataFrame, vocabulary: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -203,6 +226,8 @@ def tokenised(docs: DataFrame, vocabulary: str, id_col: str = "doc_id", text_col
             for at, ids in encoded(b.column(1), vocabulary):
                 yield pa.RecordBatch.from_arrays([b.column(0).slice(at, len(ids)), pa.array([len(x) // width for x in ids], pa.int64()), pa.array(ids, pa.binary())], ["id", "n_tokens", "ids"])
 
+    if dict(docs.dtypes)[id_col] not in ("tinyint", "smallint", "int", "bigint"):
+        raise TypeError("the files hold integer ids")
     return docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text")).mapInArrow(run, "id long, n_tokens long, ids binary")
 
 
@@ -224,16 +249,36 @@ def frequencies(tokens: DataFrame, size: int, width: str) -> np.ndarray:
     return counts
 
 
-def _open(folder: str):
+#: Hadoop's names of stores that Arrow knows under another one.
+SCHEMES = {"s3a": "s3", "s3n": "s3", "wasb": "abfs", "wasbs": "abfss", "oss": "s3"}
+
+
+def file_system(folder: str):
+    """The file system of a Hadoop folder in Arrow, and the path in it.
+
+    file, hdfs, viewfs, s3, gs and abfs come with Arrow; any other scheme needs an installed fsspec driver.
+    """
     from pyarrow import fs
 
-    return fs.FileSystem.from_uri(folder)
+    scheme, colon, rest = folder.partition(":")
+    if not colon or "/" in scheme:
+        return fs.LocalFileSystem(), folder
+    folder = f"{SCHEMES.get(scheme, scheme)}:{rest}"
+    try:
+        return fs.FileSystem.from_uri("file:///" + rest.lstrip("/") if scheme == "file" else folder)
+    except (pa.ArrowInvalid, pa.ArrowNotImplementedError) as error:
+        try:
+            import fsspec
+        except ImportError:
+            raise ValueError(f"no driver for {scheme}: in Arrow, and fsspec is not installed") from error
+        found, path = fsspec.core.url_to_fs(folder)
+        return fs.PyFileSystem(fs.FSSpecHandler(found)), path
 
 
 def write_files(tokens: DataFrame, folder: str, freq: np.ndarray, width: str, per_file: int = 8_000_000, total: int | None = None) -> DataFrame:
-    """Write `tokens` (id, n_tokens, ids) in ascending id order; returns part, file, docs, tokens, one row per file.
+    """Write `tokens` (id, n_tokens, ids) in ascending id order; returns part, file, docs, tokens, blocks, one row per file.
 
-    A task writes to a name of its own and renames it when complete, so a lost or repeated task does no harm.
+    Rows of one id, such as a null one, may lie in several files that follow each other, ordered by a hash of their ids.  A task writes to a name of its own and renames it when complete, so a lost or repeated task does no harm.
     """
     total = total if total is not None else tokens.agg(F.sum("n_tokens")).first()[0] or 0
     files = max(1, -(-total // per_file))
@@ -247,7 +292,7 @@ def write_files(tokens: DataFrame, folder: str, freq: np.ndarray, width: str, pe
         for b in batches:
             for doc_id, raw in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
                 if w is None:
-                    where, base = _open(folder)
+                    where, base = file_system(folder)
                     where.create_dir(base, recursive=True)
                     name, mine = f"{base}/part-{part:06d}.rans", f"{base}/.part-{part:06d}-{attempt}"
                     stream = where.open_output_stream(mine)
@@ -257,42 +302,47 @@ def write_files(tokens: DataFrame, folder: str, freq: np.ndarray, width: str, pe
             w.close()
             stream.close()
             where.move(mine, name)
-            yield pa.RecordBatch.from_pydict({"part": [part], "file": [f"{folder}/part-{part:06d}.rans"], "docs": [len(w.ids)], "tokens": [w.tokens]})
+            yield pa.RecordBatch.from_pydict({"part": [part], "file": [f"{folder}/part-{part:06d}.rans"], "docs": [len(w.ids)], "tokens": [w.tokens], "blocks": [len(w.blocks)]})
 
-    ordered = tokens.select("id", "ids").repartitionByRange(files, F.col("id").asc_nulls_first()).sortWithinPartitions(F.col("id").asc_nulls_first(), "ids")
-    return ordered.mapInArrow(write, "part long, file string, docs long, tokens long")
+    # the last key tells equal rows apart: a row of the stored tokens has the same number in every task that reads it
+    keys = [F.col("id").asc_nulls_first(), F.xxhash64("ids"), F.monotonically_increasing_id()]
+    ordered = tokens.select("id", "ids", *(k.alias(n) for k, n in zip(keys[1:], ("h", "row")))).repartitionByRange(files, keys[0], "h", "row").sortWithinPartitions(keys[0], "h", "row")
+    return ordered.select("id", "ids").mapInArrow(write, "part long, file string, docs long, tokens long, blocks long")
 
 
-def read_files(manifest: DataFrame, freq: np.ndarray, digest: bool = False) -> DataFrame:
-    """id, start, n_tokens and, of each document, ids (binary, 32 bit) or with `digest` ids_crc32; one task per file."""
+def read_files(manifest: DataFrame, freq: np.ndarray, digest: bool = False, blocks: int = 16) -> DataFrame:
+    """id, start, n_tokens and, of each document, ids (binary, 32 bit) or with `digest` ids_crc32.
+
+    Every `blocks` blocks are a piece of work of their own, which seeks to its blocks by the file's checkpoints.
+    """
     spark: SparkSession = manifest.sparkSession
     table = spark.sparkContext.broadcast(freq)
-    w = Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)  # one row per file
-    starts = manifest.withColumn("first", F.coalesce(F.sum("tokens").over(w), F.lit(0)))
+    w = Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)  # one narrow row per file of 8 million ids
+    starts = manifest.withColumn("before", F.coalesce(F.sum("tokens").over(w), F.lit(0)))
+    work = starts.where("blocks > 0").select("file", "before", F.explode(F.expr(f"sequence(0L, blocks - 1, {blocks}L)")).alias("first"))
 
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         t = Table(table.value)
         for b in batches:
-            for file, at in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
-                where, path = _open(file)
-                with where.open_input_stream(path) as f:
-                    raw = f.read()
+            for file, before, first in zip(*(c.to_pylist() for c in b.columns)):
+                where, path = file_system(file)
                 rows: tuple[list, list, list, list] = ([], [], [], [])
                 held = 0
-                for doc_id, ids in read_documents(raw, t):
-                    own = ids.astype("<u4").tobytes()
-                    for to, x in zip(rows, (doc_id, at, len(ids), zlib.crc32(own) if digest else own)):
-                        to.append(x)
-                    at += len(ids)
-                    held += len(ids)
-                    if held > 4_000_000 or len(rows[0]) >= 20_000:
-                        yield _batch(rows, digest)
-                        rows, held = ([], [], [], []), 0
+                with where.open_input_file(path) as f:
+                    for doc_id, at, ids in read_documents(f, t, first, first + blocks):
+                        own = ids.astype("<u4").tobytes()
+                        for to, x in zip(rows, (doc_id, before + at, len(ids), zlib.crc32(own) if digest else own)):
+                            to.append(x)
+                        held += len(ids)
+                        if held > 4_000_000 or len(rows[0]) >= 20_000:
+                            yield _batch(rows, digest)
+                            rows, held = ([], [], [], []), 0
                 if rows[0]:
                     yield _batch(rows, digest)
 
     last = "ids_crc32 long" if digest else "ids binary"
-    return starts.select("file", "first").repartition(max(1, manifest.count())).mapInArrow(read, f"id long, start long, n_tokens long, {last}")
+    n = manifest.agg(F.sum(F.ceil(F.col("blocks") / blocks))).first()[0] or 1
+    return work.repartitionByRange(int(n), "before", "first").mapInArrow(read, f"id long, start long, n_tokens long, {last}")
 
 
 def _batch(rows: tuple[list, list, list, list], digest: bool) -> pa.RecordBatch:

@@ -2,15 +2,18 @@
 
 from __future__ import annotations
 
+import io
 import math
 import random
 
 
 import numpy as np
+import pyarrow as pa
+import pytest
 
 
 
-from strataq.llm import language, packing
+from strataq.llm import language, packing, token_io
 from strataq.llm.common import Scratch
 
 SENTENCES = {
@@ -128,3 +131,40 @@ def test_packing_takes_ids_of_any_kind(spark):
     with Scratch(spark) as s:
         got = packing.pack(s.table(packing.keyed(d), "t")).collect()
     assert {r.doc_id for r in got} == {"a", None} and sum(r.length for r in got) == 3 + 1 + 2 * 4
+
+
+def test_any_range_of_blocks_is_read_alone():
+    rng = np.random.RandomState(2)
+    table = token_io.Table(token_io.scaled(np.bincount(rng.randint(0, 500, 5000), minlength=500)))
+    docs = [(i if i % 5 else None, rng.randint(0, 500, n).astype(np.uint32)) for i, n in enumerate([1, 3, 250, 40, 99, 1000, 1, 1, 64, 128, 7])]
+    out = io.BytesIO()
+    w = token_io.Writer(out, table, block=100)
+    for i, ids in docs:
+        w.add(i, ids)
+    w.close()
+    file = pa.BufferReader(out.getvalue())
+    n = len(w.blocks)
+    for step in (1, 2, 5, n):
+        got = [x for k in range(0, n, step) for x in token_io.read_documents(file, table, k, k + step)]
+        assert [(i, ids.tolist()) for i, _, ids in got] == [(i, ids.tolist()) for i, ids in docs]
+        assert [s for _, s, _ in got] == np.cumsum([0, *(len(x) for _, x in docs)])[:-1].tolist()
+    with pytest.raises(token_io.Damaged):
+        list(token_io.read_documents(pa.BufferReader(out.getvalue()[:-9]), table))
+
+
+def test_stores_that_hadoop_names_otherwise():
+    assert token_io.file_system("file:/tmp/x")[1] == token_io.file_system("/tmp/x")[1] == token_io.file_system("file:///tmp/x")[1] == "/tmp/x"
+    with pytest.raises((ValueError, OSError)):
+        token_io.file_system("nostore://bucket/x")
+
+
+def test_token_files_split_a_hot_id(spark):
+    rows = [(None, f"text {i}") for i in range(3000)] + [(i, "copy of one text") for i in [7] * 3000] + [(9, "last")]
+    with Scratch(spark) as s:
+        tokens = s.table(token_io.tokenised(spark.createDataFrame(rows, "doc_id long, text string"), "word_bpe_49k.json").repartition(4), "t")
+        freq, width = token_io.shared_table(tokens)
+        manifest = s.table(token_io.write_files(tokens, s.path("f"), freq, width, per_file=3000), "m")
+        assert max(r.docs for r in manifest.collect()) < 3000
+        got = sorted(token_io.read_files(manifest, freq).collect(), key=lambda r: r.start)
+    assert [r.id for r in got] == [None] * 3000 + [7] * 3000 + [9]
+    assert [r.start for r in got] == np.cumsum([0, *(r.n_tokens for r in got)])[:-1].tolist()

@@ -229,6 +229,9 @@ def test_token_files_round_trip(spark, texts):
         manifest = s.table(token_io.write_files(tokens, s.path("f"), freq, width, per_file=5_000), "m")
         assert manifest.count() > 1
         got = token_io.read_files(manifest, freq).collect()
+        assert sorted(map(str, got)) == sorted(map(str, token_io.read_files(manifest, freq, blocks=1).collect()))
+        with pytest.raises(TypeError):
+            token_io.tokenised(docs(spark, rows).withColumn("doc_id", F.lit("a")), WORD_BPE)
     at = 0
     want = sorted((-1 if i is None else i, e.tokenizer.encode(t or "", add_special_tokens=False).ids + [1]) for i, t, _ in rows)
     got.sort(key=lambda r: r.start)
