@@ -63,6 +63,7 @@ def captures(pages: DataFrame) -> DataFrame:
 
 
 def op3_warc_revisits(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Over a capture log made of `pages`, since no table holds WARC bytes; `warc.read_warc` is tested apart."""
     out = warc.resolve(captures(spark.read.parquet(f"{sf_dir}/pages.parquet")))
     shown = F.array_join(F.array_sort(F.transform(F.map_entries("headers"), lambda e: F.concat(e["key"], F.lit("="), e["value"]))), ";")
     return out.select("record_id", "ts", "outcome", "response_id", shown.alias("headers"))

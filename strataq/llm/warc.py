@@ -4,10 +4,11 @@ A revisit with the profile *server-not-modified* has no body: it stands for the
 canonical URL.  `resolve` finds that response with an as-of join, checks the validators (ETag if both have one, else
 Last-Modified) and merges the headers that a 304 may update (RFC 9111, section 3.2).
 
-The as-of join splits each URL's captures at fixed spans of time: the last response of every span is combined first, and
-carried over the spans by a window over that summary; within a span a window finds the last response before a revisit.  So
-a URL that holds a third of all captures is as many tasks as it has spans.  Bodies don't move: the result points at the
-response.
+The as-of join is a scan over ranges: captures are sorted by URL and time into ranges of about equal numbers of rows, whatever
+the URLs.  Within a range a window finds the last response before a revisit; the last response of each URL and range is
+carried to the URL's next ranges by a window over that summary, which has one row per URL and range.  So a URL that holds a
+third of all captures, even of one day, is as many tasks as its rows fill.  Headers travel with their row, so nothing is
+joined by record id; bodies don't move: the result points at the response.
 """
 
 from __future__ import annotations
@@ -15,10 +16,13 @@ from __future__ import annotations
 import gzip
 import zlib
 from collections.abc import Iterator
+from itertools import islice
 
 from pyspark.sql import Column, DataFrame, Row, Window
 from pyspark.sql import functions as F
 
+from .common import Scratch, checkpoint, ranged
+
 #: Headers that describe the body or the connection and stay as stored.
 FIXED = ("content-length", "content-encoding", "content-type", "content-range", "content-md5", "transfer-encoding", "connection", "keep-alive", "proxy-connection", "te", "trailer", "upgrade", "proxy-authenticate", "proxy-authentication-info", "proxy-authorization")
 RECORD = "record_id string, type string, url string, date string, profile string, status int, headers map<string,string>, body binary"
@@ -51,8 +55,13 @@ def _members(raw: bytes) -> bytes:
 
 
 def _head(raw: bytes) -> tuple[str, dict[str, str]]:
+    """First line and headers, names in lower case; lines of one name are combined, as in RFC 9110, section 5.3."""
     first, *lines = raw.decode("utf-8", "replace").split("\r\n")
-    return first, {k.strip().lower(): v.strip() for k, _, v in (x.partition(":") for x in lines if ":" in x)}
+    out: dict[str, str] = {}
+    for k, _, v in (x.partition(":") for x in lines if ":" in x):
+        k, v = k.strip().lower(), v.strip()
+        out[k] = f"{out[k]}, {v}" if k in out else v
+    return first, out
 
 
 def records(raw: bytes) -> Iterator[Row]:
@@ -80,16 +89,16 @@ def records(raw: bytes) -> Iterator[Row]:
 
 
 def read_warc(files: DataFrame) -> DataFrame:
-    """Records of `files` (as of Spark's binaryFile source), one task per file."""
+    """Records of `files` (as of Spark's binaryFile source), one task per file; a file is held whole, its records are not."""
 
     def run(batches):
         import pandas as pd
 
         for pdf in batches:
             for raw in pdf["content"]:
-                rows = [r.asDict() for r in records(bytes(raw))]
-                for i in range(0, len(rows), 500):
-                    yield pd.DataFrame(rows[i : i + 500], columns=["record_id", "type", "url", "date", "profile", "status", "headers", "body"]).astype({"status": "Int32"})
+                own = records(bytes(raw))
+                while rows := [r.asDict() for r in islice(own, 200)]:
+                    yield pd.DataFrame(rows, columns=["record_id", "type", "url", "date", "profile", "status", "headers", "body"]).astype({"status": "Int32"})
 
     return files.select("content").mapInPandas(run, RECORD)
 
@@ -115,45 +124,55 @@ def is_full(kind: Column, status: Column) -> Column:
     return (kind == "response") & (status == 200)
 
 
-def resolve(captures: DataFrame, span: int = 86_400, fixed: tuple[str, ...] = FIXED) -> DataFrame:
+def lower_names(headers: Column) -> Column:
+    """Headers as a sorted array of (key, value) with names in lower case; values of names that differ in case only are
+    combined with `, ` in the map's order, as in RFC 9110, section 5.3.  Null headers are none."""
+    entries = F.coalesce(F.map_entries(headers), F.array().cast("array<struct<key:string,value:string>>"))
+    low = F.transform(entries, lambda e: F.struct(F.lower(e["key"]).alias("key"), e["value"].alias("value")))
+    names = F.array_distinct(F.transform(low, lambda e: e["key"]))
+    of = lambda k: F.array_join(F.transform(F.filter(low, lambda e: e["key"] == k), lambda e: e["value"]), ", ")
+    merged = F.transform(names, lambda k: F.struct(k.alias("key"), of(k).alias("value")))
+    return F.array_sort(F.when(F.size(names) == F.size(low), low).otherwise(merged))
+
+
+def resolve(captures: DataFrame, fixed: tuple[str, ...] = FIXED, parts: int | None = None) -> DataFrame:
     """One row per not-modified revisit of `captures` (record_id, type, url, ts, status, headers and, if it is
     there, profile; others are ignored).
 
     Returns record_id, canonical, ts, outcome, response_id, headers.  outcome: `resolved`; `no_response` without an earlier
     full response; `no_validator` where no validator is on both sides; `mismatch` where they differ.  Only a resolved row
-    has headers.  Of captures at one time a response comes before a revisit, then record_id decides.  Null URL or time: the
-    revisit is `no_response`, the response is never found.  Repeated rows count once; a null record_id is a row of its own unless the whole row is
-    repeated, and a response without one is found, with a null response_id.
+    has headers.  Of captures at one time a response comes before a revisit, then record_id decides, then the headers.  Null
+    URL or time: the revisit is `no_response`, the response is never found.  Rows that are equal in all these columns count
+    once; rows that share a record_id, or have none, are rows of their own otherwise, and a response without one is found,
+    with a null response_id.  Header names that differ in case only are one (`lower_names`).
     """
+    spark = captures.sparkSession
     profile = F.col("profile") if "profile" in captures.columns else F.lit(None).cast("string")
-    entries = F.array_sort(F.map_entries("headers"))
-    anon = F.when(F.col("record_id").isNull(), F.sha2(F.to_json(F.struct("type", "url", "ts", "status", profile.alias("profile"), entries.alias("headers"))), 256))
-    c = captures.select("record_id", anon.alias("anon"), profile.alias("profile"), "type", canonical_url(F.col("url")).alias("canonical"), F.col("ts").cast("long").alias("ts"), "status", F.col("headers"))
-    c = c.withColumn("full", F.coalesce(is_full(F.col("type"), F.col("status")), F.lit(False))).withColumn("span", F.floor(F.col("ts") / span))
-    revisit = is_not_modified(F.col("type"), F.col("status"), F.col("profile"))
-    narrow = c.where(F.col("full") | revisit).select("record_id", "anon", "canonical", "ts", "span", "full").distinct()
-    usable = narrow.where("canonical is not null and ts is not null")
-    at = F.struct("ts", "record_id", "anon")
-    # every span with a capture gets the last response of the spans before it
-    spans = usable.groupBy("canonical", "span").agg(F.max(F.when(F.col("full"), at)).alias("last"))
-    before = Window.partitionBy("canonical").orderBy("span").rowsBetween(Window.unboundedPreceding, -1)
-    carried = spans.select("canonical", "span", F.last("last", ignorenulls=True).over(before).alias("carried"))
-    within = Window.partitionBy("canonical", "span").orderBy("ts", F.col("full").desc(), "record_id", "anon").rowsBetween(Window.unboundedPreceding, 0)
-    found = usable.withColumn("near", F.last(F.when(F.col("full"), at), ignorenulls=True).over(within)).where(~F.col("full"))
-    found = found.join(carried, ["canonical", "span"], "left").select("record_id", "anon", "canonical", "ts", F.coalesce("near", "carried").alias("hit"))
-    lost = narrow.where(~F.col("full") & (F.col("canonical").isNull() | F.col("ts").isNull())).select("record_id", "anon", "canonical", "ts", F.lit(None).cast("struct<ts:bigint,record_id:string,anon:string>").alias("hit"))
-    own = c.where(revisit).select(F.col("record_id").alias("own_id"), F.col("anon").alias("own_anon"), F.col("headers").alias("new")).dropDuplicates(["own_id", "own_anon"])
-    full = c.where("full").select(F.col("record_id").alias("full_id"), F.col("anon").alias("full_anon"), F.col("headers").alias("old")).dropDuplicates(["full_id", "full_anon"])
-    out = found.unionByName(lost).withColumn("response_id", F.col("hit.record_id")).withColumn("response_anon", F.col("hit.anon"))
-    out = out.join(own, F.col("record_id").eqNullSafe(F.col("own_id")) & F.col("anon").eqNullSafe(F.col("own_anon")))
-    out = out.join(full, F.col("response_id").eqNullSafe(F.col("full_id")) & F.col("response_anon").eqNullSafe(F.col("full_anon")), "left")
-    empty = F.create_map().cast("map<string,string>")
-    lower = lambda m: F.transform_keys(F.coalesce(m, empty), lambda k, v: F.lower(k))
-    out = out.withColumn("new", lower(F.col("new"))).withColumn("old", lower(F.col("old")))
-    tag = lambda m: F.regexp_replace(F.try_element_at(m, F.lit("etag")), "^W/", "")
-    since = lambda m: F.try_element_at(m, F.lit("last-modified"))
-    same = F.coalesce(tag(F.col("new")) == tag(F.col("old")), since(F.col("new")) == since(F.col("old")))
-    outcome = F.when(F.col("hit").isNull(), "no_response").when(same.isNull(), "no_validator").when(same, "resolved").otherwise("mismatch")
-    keep = F.map_filter("new", lambda k, v: ~k.isin(*fixed))
-    merged = F.map_concat(F.map_filter("old", lambda k, v: ~F.map_contains_key(keep, k)), keep)
-    return out.select("record_id", "canonical", "ts", outcome.alias("outcome"), F.when(outcome.isin("resolved", "mismatch", "no_validator"), F.col("response_id")).alias("response_id"), F.when(outcome == "resolved", merged).alias("headers"))
+    c = captures.select(F.col("record_id").cast("string").alias("record_id"), profile.alias("profile"), F.col("type").alias("type"), canonical_url(F.col("url")).alias("canonical"), F.col("ts").cast("long").alias("ts"), F.col("status").alias("status"), lower_names(F.col("headers")).alias("h"))
+    placed = F.col("canonical").isNotNull() & F.col("ts").isNotNull()
+    c = c.withColumn("full", F.coalesce(is_full(F.col("type"), F.col("status")), F.lit(False)))
+    c = c.where(F.col("full") & placed | is_not_modified(F.col("type"), F.col("status"), F.col("profile"))).select("canonical", "ts", "full", "record_id", "h", "profile", "status").distinct()
+    order = [F.col("ts"), F.col("full").desc(), F.col("record_id"), F.col("h"), F.col("profile"), F.col("status")]
+    with Scratch(spark) as s:
+        c = s.table(ranged(c, [F.col("canonical"), *order], "part", parts), "ranges")
+        at = F.struct(F.col("record_id"), F.col("h"))
+        near = F.last(F.when(F.col("full"), at), ignorenulls=True).over(Window.partitionBy("part", "canonical").orderBy(*order).rowsBetween(Window.unboundedPreceding, 0))
+        last = F.max_by(at, F.struct("ts", "record_id", "h"))
+        of_part = c.where("full").groupBy("part", "canonical").agg(last.alias("last"))
+        # a URL needs its earlier ranges only where it has any: in the first rows of a range
+        crossing = c.where(placed).select("part", "canonical").distinct().withColumn("n", F.count("*").over(Window.partitionBy("canonical"))).where("n > 1").select("part", "canonical")
+        before = Window.partitionBy("canonical").orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
+        carried = crossing.join(of_part, ["part", "canonical"], "left").withColumn("carried", F.last("last", ignorenulls=True).over(before)).where("carried is not null").select("part", "canonical", "carried")
+        found = c.withColumn("near", near).where(~F.col("full")).join(carried, ["part", "canonical"], "left")
+        hit = F.when(placed, F.coalesce("near", "carried"))
+        out = found.select("record_id", "canonical", "ts", F.col("h").alias("new"), hit.alias("hit"))
+        value = lambda h, k: F.element_at(F.filter(h, lambda e: e["key"] == k), 1)["value"]
+        first = lambda h, k: F.when(F.exists(h, lambda e: e["key"] == k), value(h, k))
+        old = F.col("hit.h")
+        tag = lambda h: F.regexp_replace(first(h, "etag"), "^W/", "")
+        same = F.coalesce(tag(F.col("new")) == tag(old), first(F.col("new"), "last-modified") == first(old, "last-modified"))
+        outcome = F.when(F.col("hit").isNull(), "no_response").when(same.isNull(), "no_validator").when(same, "resolved").otherwise("mismatch")
+        keep = F.filter("new", lambda e: ~e["key"].isin(*fixed))
+        names = F.transform(keep, lambda e: e["key"])
+        merged = F.map_from_entries(F.concat(F.filter(old, lambda e: ~F.array_contains(names, e["key"])), keep))
+        return checkpoint(out.select("record_id", "canonical", "ts", outcome.alias("outcome"), F.col("hit.record_id").alias("response_id"), F.when(outcome == "resolved", merged).alias("headers")))

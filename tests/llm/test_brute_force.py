@@ -10,10 +10,11 @@ import random
 import numpy as np
 import pyarrow as pa
 import pytest
+from pyspark.sql import functions as F
 
 
 
-from strataq.llm import language, packing, token_io
+from strataq.llm import language, packing, token_io, warc
 from strataq.llm.common import Scratch
 
 SENTENCES = {
@@ -168,3 +169,48 @@ def test_token_files_split_a_hot_id(spark):
         got = sorted(token_io.read_files(manifest, freq).collect(), key=lambda r: r.start)
     assert [r.id for r in got] == [None] * 3000 + [7] * 3000 + [9]
     assert [r.start for r in got] == np.cumsum([0, *(r.n_tokens for r in got)])[:-1].tolist()
+
+
+CAPTURE = "record_id string, type string, url string, ts long, status int, headers map<string,string>"
+
+
+def _resolved(rows):
+    """Outcome and response per revisit, by a loop over all captures."""
+    low = lambda h: {k: ", ".join(v for n, v in (h or {}).items() if n.lower() == k) for k in {n.lower() for n in h or {}}}
+    out = []
+    rows = sorted({(u, t, k != "response", i or "", i is None, tuple(sorted(low(h).items()))): (i, k, u, t, low(h)) for i, k, u, t, _, h in rows}.items())
+    for key, (i, kind, url, ts, new) in rows:
+        if kind == "response":
+            continue
+        before = [(k, r) for k, r in rows if r[1] == "response" and r[2] == url and k[:3] < (url, ts, True)]
+        hit = max(before, key=lambda x: (x[0][1], x[0][3], x[0][5]))[1] if before else None
+        old = hit[4] if hit else {}
+        same = None
+        for name in ("etag", "last-modified"):
+            if same is None and name in new and name in old:
+                same = new[name].removeprefix("W/") == old[name].removeprefix("W/")
+        outcome = "no_response" if hit is None else "no_validator" if same is None else "resolved" if same else "mismatch"
+        merged = tuple(sorted((old | {k: v for k, v in new.items() if k not in warc.FIXED}).items())) if outcome == "resolved" else None
+        out.append((i, url, ts, outcome, hit[0] if hit else None, merged))
+    return sorted(out, key=str)
+
+
+@pytest.mark.parametrize("parts", [1, 7])
+def test_revisits_equal_a_loop(spark, parts):
+    """A hot URL within one day, repeated record ids with other headers, null ids, repeated rows, names that differ in case."""
+    rng = random.Random(parts)
+    rows = []
+    for n in range(900):
+        url = "hot.org" if n % 3 else f"u{n % 40}.org/a"
+        kind = rng.choice(["response", "revisit", "revisit"])
+        headers = rng.choice([{"ETag": f'"{rng.randrange(3)}"'}, {"etag": f'W/"{rng.randrange(3)}"', "X": str(n % 5)}, {"ETag": '"1"', "etag": '"1"'}, {"Last-Modified": "d1", "Content-Length": str(n % 9)}, {}, {"last-modified": "d1", "Vary": "*"}])
+        rows.append((rng.choice([None, f"r{rng.randrange(300)}"]), kind, url, rng.randrange(200), 200 if kind == "response" else 304, headers))
+    rows += rng.sample(rows, 60)
+    got = warc.resolve(spark.createDataFrame(rows, CAPTURE), parts=parts).collect()
+    assert sorted([(r.record_id, r.canonical, r.ts, r.outcome, r.response_id, None if r.headers is None else tuple(sorted(r.headers.items()))) for r in got], key=str) == _resolved(rows)
+
+
+def test_revisits_without_url_time_or_headers(spark):
+    rows = [("a", "response", None, 1, 200, None), ("b", "revisit", None, 2, 304, None), ("c", "revisit", "x.org", None, 304, {"etag": "1"}), ("d", "response", "x.org", None, 200, {"etag": "1"}), (None, None, None, None, None, None)]
+    got = {r.record_id: (r.outcome, r.response_id) for r in warc.resolve(spark.createDataFrame(rows, CAPTURE).withColumn("part", F.lit(1)).withColumn("full", F.lit(2))).collect()}
+    assert got == {"b": ("no_response", None), "c": ("no_response", None)}
