@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 
 
 
-from strataq.llm import language, packing, token_io, warc
+from strataq.llm import hamming, language, packing, token_io, warc
 from strataq.llm.common import Scratch
 
 SENTENCES = {
@@ -214,3 +214,31 @@ def test_revisits_without_url_time_or_headers(spark):
     rows = [("a", "response", None, 1, 200, None), ("b", "revisit", None, 2, 304, None), ("c", "revisit", "x.org", None, 304, {"etag": "1"}), ("d", "response", "x.org", None, 200, {"etag": "1"}), (None, None, None, None, None, None)]
     got = {r.record_id: (r.outcome, r.response_id) for r in warc.resolve(spark.createDataFrame(rows, CAPTURE).withColumn("part", F.lit(1)).withColumn("full", F.lit(2))).collect()}
     assert got == {"b": ("no_response", None), "c": ("no_response", None)}
+
+
+def test_flipped_values_are_all_of_a_radius(spark):
+    from itertools import combinations
+
+    for width, s in ((1, 0), (1, 1), (6, 3), (16, 2), (33, 1), (5, 5)):
+        got = spark.range(1).select(hamming._flipped(F.lit(5 % (1 << width)).cast("long"), width, s).alias("x")).first().x
+        want = sorted((5 % (1 << width)) ^ sum(1 << b for b in c) for c in combinations(range(width), s))
+        assert sorted(got) == want
+
+
+@pytest.mark.parametrize("lookup,hot", [(0, 1000), (0, 3), (1e9, 1000), (2, 20)])
+def test_top_k_by_lookups_by_scan_and_around_hot_values(spark, lookup, hot):
+    """Codes with far neighbours, a template that thousands share in one segment, clashing columns, text ids."""
+    rng = random.Random(int(hot))
+    rows = [(f"i{i:04d}", rng.getrandbits(64) - (1 << 63)) for i in range(500)] + [(f"t{i:04d}", (rng.getrandbits(12) << 40) + 12345) for i in range(700)] + [("i0001", 7), ("n", None), ("z", 12345)]
+    rows += rows[:20]
+    base = spark.createDataFrame([(*r, 1, 2, 3) for r in rows], "id string, code long, q int, seg int, key int")
+    queries = base.where("id in ('i0000', 'i0001', 't0000', 't0333', 'z', 'n')")
+    got: dict = {}
+    for r in hamming.top_k(base, queries, k=6, lookup=lookup, hot=hot).collect():
+        got.setdefault(r.query_id, []).append((r["rank"], r.distance, r.neighbor_id))
+    known = set(rows) - {("n", None)}
+    for q in ("i0000", "t0000", "t0333", "z"):
+        code = dict(known)[q]
+        best = sorted((bin((code ^ c) & (1 << 64) - 1).count("1"), i) for i, c in known if i != q)[:6]
+        assert sorted(got[q]) == [(k + 1, *x) for k, x in enumerate(best)]
+    assert set(got) == {"i0000", "i0001", "t0000", "t0333", "z"}
