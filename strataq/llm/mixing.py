@@ -5,10 +5,11 @@ p = r - floor(r).  The cube method picks those: the vector of inclusion probabil
 zero, within the null space of two constraints per source, the number of documents and the number of words, until each
 entry is 0 or 1 but for a few, the landing problem.
 
-Flights run in buckets of about `bucket` documents of one source, by hash of the id, so that a hot source is many tasks;
-each bucket leaves at most 3 fractional documents, which fly again in fewer buckets until one per source remains.  The
-landing there chooses, over all 0/1 choices for at most `landing` documents, the one with the least error in words (then
-documents).  Everything is seeded by source and bucket, so reruns agree.
+Flights run in buckets of about `bucket` documents of one source, by hash of id, size and a number among rows equal in these,
+so that a hot source and a hot id are many tasks; each bucket keeps `_SPARE` documents of all sizes back and leaves at most 3
+others fractional; these fly again in fewer buckets until one per source remains.  The landing there chooses, over all 0/1
+choices for at most `landing` documents, the one with the least error in words (then documents).  Everything is seeded by
+source and bucket, so reruns agree.
 """
 
 from __future__ import annotations
@@ -20,10 +21,11 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import WORD, checkpoint
+from .common import WORD, checkpoint, ranged
 
 _EPS = 1e-9
-_SCHEMA = "id {0}, src string, size long, source_size long, target double, base long, p double"
+_SPARE = 4  # documents that a bucket passes on as they are, so that few buckets leave enough to land with
+_SCHEMA = "id {0}, src string, size long, nth long, source_size long, target double, base long, p double"
 
 
 def _flight(p: np.ndarray, size: np.ndarray, order: list[int], rng: random.Random) -> None:
@@ -64,16 +66,15 @@ def _land(p: np.ndarray, size: np.ndarray, open_: list[int], words: float, docs:
 
 def _mover(level: int, landing: int):
     def move(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values(["size", "id"], ascending=[False, True], kind="stable").reset_index(drop=True)
+        pdf = pdf.sort_values(["size", "id", "nth"], ascending=[False, True, True], kind="stable").reset_index(drop=True)
         p, size = pdf["p"].to_numpy(float).copy(), pdf["size"].to_numpy(float)
         rng = random.Random(f"{pdf['src'].iloc[0]}|{pdf['bucket'].iloc[0]}|{level}")
         order = list(range(len(p)))
-        if not pdf["alone"].iloc[0]:
-            _flight(p, size, order, rng)
-        else:
-            words, docs = float(p @ size), float(p.sum())
-            spread = sorted({int(x) for x in np.linspace(0, len(p) - 1, min(len(p), landing - 3)).round()}) if len(p) else []
-            _flight(p, size, [i for i in order if i not in set(spread)], rng)
+        alone = bool(pdf["alone"].iloc[0])
+        words, docs = float(p @ size), float(p.sum())
+        spread = {int(x) for x in np.linspace(0, len(p) - 1, min(len(p), landing - 3 if alone else _SPARE)).round()} if len(p) else set()
+        _flight(p, size, [i for i in order if i not in spread], rng)
+        if alone:
             open_ = [i for i in order if _EPS < p[i] < 1 - _EPS]
             closed = [i for i in order if not _EPS < p[i] < 1 - _EPS]
             if open_:
@@ -84,34 +85,51 @@ def _mover(level: int, landing: int):
     return move
 
 
-def source_targets(sizes: DataFrame, weights: tuple[float, ...] = (1, 2, 3), most: float = 3.0) -> DataFrame:
+def source_targets(sizes: DataFrame, weights: tuple[float, ...] = (1, 2, 3), most: float = 3.0, parts: int | None = None) -> DataFrame:
     """src, source_size, n, target: all words shared by weight, no target above `most` times its source.
 
-    With sources sorted by cap / weight, those at their cap come first; the rest share what remains by weight.
+    Sources are numbered by code point, null last, in ranges, so that their number has no bound.  The level to which the
+    sources are filled rises as sources reach their cap: each pass caps those below it and shares what remains.
     """
-    per = sizes.groupBy("src").agg(F.sum("size").alias("source_size"), F.count("*").alias("n"))
-    w = Window.orderBy(F.col("src").asc_nulls_last())
-    per = per.withColumn("weight", F.element_at(F.array(*[F.lit(float(x)) for x in weights]), (F.row_number().over(w) - 1) % len(weights) + 1))
-    per = per.withColumn("cap", F.lit(float(most)) * F.col("source_size"))
-    by = Window.orderBy(F.col("cap") / F.col("weight"), F.col("src").asc_nulls_last())
-    before = by.rowsBetween(Window.unboundedPreceding, -1)
-    to_end = by.rowsBetween(0, Window.unboundedFollowing)
-    total = F.sum("source_size").over(Window.partitionBy()).cast("double")
-    per = per.withColumn("level", (total - F.coalesce(F.sum("cap").over(before), F.lit(0.0))) / F.sum("weight").over(to_end))
-    per = per.withColumn("capped", F.col("cap") < F.col("level") * F.col("weight"))
-    per = per.withColumn("level", F.max(F.when(~F.col("capped"), F.col("level"))).over(Window.partitionBy()))
-    return per.select("src", "source_size", "n", F.when(F.col("capped") | F.col("level").isNull(), F.col("cap")).otherwise(F.col("level") * F.col("weight")).alias("target"))
+    spark = sizes.sparkSession
+    n = F.sum("n") if "n" in sizes.columns else F.count("*")
+    size = F.col("size") * F.col("n") if "n" in sizes.columns else F.col("size")
+    per = sizes.groupBy("src").agg(F.sum(size).alias("source_size"), n.alias("n"))
+    # Spark compares strings as UTF-8, that is by code point
+    per = checkpoint(ranged(per, [F.col("src").asc_nulls_last()], "part", parts))
+    before, total = {}, 0
+    for part, k in sorted(map(tuple, per.groupBy("part").count().collect())):  # one row per range
+        before[part], total = total, total + k
+    offset = spark.createDataFrame(sorted(before.items()) or [(0, 0)], "part int, before long")
+    nth = F.row_number().over(Window.partitionBy("part").orderBy(F.col("src").asc_nulls_last())) - 1 + F.col("before")
+    per = per.join(F.broadcast(offset), "part").withColumn("weight", F.element_at(F.array(*[F.lit(float(x)) for x in weights]), (nth % len(weights) + 1).cast("int")))
+    per = checkpoint(per.select("src", "source_size", "n", "weight", (F.lit(float(most)) * F.col("source_size")).alias("cap")))
+    words = float(per.agg(F.sum("source_size")).first()[0] or 0)
+    level, capped = 0.0, F.lit(False)
+    while True:
+        cap, weight, k = per.agg(F.sum(F.when(capped, F.col("cap"))), F.sum(F.when(~capped, F.col("weight"))), F.count(F.when(capped, 1))).first()
+        if not weight:  # all are at their cap
+            break
+        level = (words - (cap or 0.0)) / weight
+        capped = F.col("cap") < F.lit(level) * F.col("weight")
+        if per.where(capped).count() == k:
+            break
+    return per.select("src", "source_size", "n", F.when(capped, F.col("cap")).otherwise(F.lit(level) * F.col("weight")).alias("target"))
 
 
 def mix_sources(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", weights: tuple[float, ...] = (1, 2, 3), most: float = 3.0, bucket: int = 2048, landing: int = 16) -> DataFrame:
-    """One row per row of `docs`: id, size, source_size, target, taken (words the mix takes, repeats counted).
+    """One row per row of `docs`: id, size, source_size, target, taken (words the mix takes, repeats counted), times, source.
 
-    Null text has size 0; a null source is a source of its own, last in order.  Empty table: no rows.
+    Null text has size 0; a null source is a source of its own, last in order.  Rows that repeat an id, or have none, are
+    documents each; of those equal in id, source and size it does not matter which is which.  Empty table: no rows.
     """
     kind = dict(docs.dtypes)[id_col]
     sizes = docs.select(F.col(id_col).alias("id"), F.col(source_col).cast("string").alias("src"), F.coalesce(F.regexp_count(F.col(text_col), F.lit(WORD)), F.lit(0)).cast("long").alias("size"))
-    sizes = checkpoint(sizes)
-    targets = checkpoint(source_targets(sizes, weights, most).withColumnRenamed("src", "s"))
+    # rows that are equal in all that counts are one row until they are numbered
+    alike = checkpoint(sizes.groupBy("id", "src", "size").agg(F.count("*").alias("n")))
+    targets = checkpoint(source_targets(alike, weights, most).withColumnRenamed("src", "s"))
+    step = 1 << 16
+    sizes = alike.withColumn("from", F.explode(F.expr(f"sequence(0L, n - 1, {step}L)"))).select("id", "src", "size", F.explode(F.expr(f"sequence(from, least(n, from + {step}) - 1)")).alias("nth"))
     ratio = F.when(F.col("source_size") > 0, F.col("target") / F.col("source_size")).otherwise(F.lit(0.0))
     all_ = sizes.join(targets, sizes["src"].eqNullSafe(targets["s"])).drop("s").withColumn("base", F.floor(ratio + F.lit(1e-12)).cast("long"))
     all_ = all_.withColumn("p", F.greatest(F.lit(0.0), ratio - F.col("base")))
@@ -123,8 +141,8 @@ def mix_sources(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     while True:
         last = most_n <= bucket
         parts = F.greatest(F.lit(1), F.ceil(F.col("n") / F.lit(bucket)))
-        moving = moving.withColumn("bucket", F.pmod(F.xxhash64(F.coalesce(F.col("id").cast("string"), F.lit("")), F.lit(level)), parts).cast("int"))
-        moved = moving.select("id", "src", "size", "source_size", "target", "base", "p", "bucket", (parts == 1).alias("alone")).groupBy("src", "bucket").applyInPandas(_mover(level, landing), schema)
+        moving = moving.withColumn("bucket", F.pmod(F.xxhash64(F.coalesce(F.col("id").cast("string"), F.lit("")), "size", "nth", F.lit(level)), parts).cast("int"))
+        moved = moving.select("id", "src", "size", "nth", "source_size", "target", "base", "p", "bucket", (parts == 1).alias("alone")).groupBy("src", "bucket").applyInPandas(_mover(level, landing), schema)
         moved = checkpoint(moved)
         if last:
             done.append(moved)
@@ -139,4 +157,4 @@ def mix_sources(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     out = done[0]
     for x in done[1:]:
         out = out.unionByName(x)
-    return out.select(F.col("id").alias(id_col), "size", "source_size", "target", ((F.col("base") + F.round("p").cast("long")) * F.col("size")).alias("taken"), (F.col("base") + F.round("p").cast("long")).alias("times"))
+    return out.select(F.col("id").alias(id_col), "size", "source_size", "target", ((F.col("base") + F.round("p").cast("long")) * F.col("size")).alias("taken"), (F.col("base") + F.round("p").cast("long")).alias("times"), F.col("src").alias("source"))

@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 
 
 
-from strataq.llm import hamming, language, packing, token_io, warc
+from strataq.llm import hamming, language, mixing, packing, token_io, warc
 from strataq.llm.common import Scratch
 
 SENTENCES = {
@@ -242,3 +242,43 @@ def test_top_k_by_lookups_by_scan_and_around_hot_values(spark, lookup, hot):
         best = sorted((bin((code ^ c) & (1 << 64) - 1).count("1"), i) for i, c in known if i != q)[:6]
         assert sorted(got[q]) == [(k + 1, *x) for k, x in enumerate(best)]
     assert set(got) == {"i0000", "i0001", "t0000", "t0333", "z"}
+
+
+def test_mixing_splits_hot_ids_and_counts_their_rows(spark, monkeypatch):
+    """A third of the rows share one id, a third have none; no group that a task gets is above its size."""
+    rows = [(7, "w " * (i % 9), "a") for i in range(900)] + [(None, "w " * 5, "b")] * 900 + [(i, "w " * (i % 50), "c") for i in range(900)]
+    d = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    sizes = []
+    mover = mixing._mover
+
+    def counted(level, landing):
+        move = mover(level, landing)
+
+        def run(pdf):
+            assert len(pdf) < 400
+            return move(pdf)
+
+        return run
+
+    monkeypatch.setattr(mixing, "_mover", counted)
+    got = mixing.mix_sources(d, bucket=256).collect()
+    sizes = sorted((r.doc_id is None, r.doc_id or 0, r.source, r["size"]) for r in got)
+    assert sizes == sorted((i is None, i or 0, s, len(t.split())) for i, t, s in rows)
+    for source in "abc":
+        own = [r for r in got if r.source == source]
+        assert abs(sum(r.taken for r in own) - own[0].target) < 0.005 * own[0].target + 3
+
+
+def test_targets_over_many_sources_in_many_ranges(spark):
+    rng = random.Random(1)
+    sources = [f"h{i:03d}" for i in range(90)] + ["é", "zz", "\U0001F600", "\uffee", None]
+    sizes = [(s, rng.randrange(0, 1000) ** 2) for s in sources]
+    got = {r.src: r.target for r in mixing.source_targets(spark.createDataFrame(sizes, "src string, size long"), parts=7).collect()}
+    order = sorted(sizes, key=lambda x: (x[0] is None, x[0] or ""))
+    weight = {s: 1 + k % 3 for k, (s, _) in enumerate(order)}
+    low, high = 0.0, 1e9
+    total = sum(n for _, n in sizes)
+    for _ in range(200):
+        level = (low + high) / 2
+        low, high = (level, high) if sum(min(3 * n, level * weight[s]) for s, n in sizes) < total else (low, level)
+    assert got == pytest.approx({s: min(3.0 * n, high * weight[s]) for s, n in sizes}, rel=1e-6, abs=1e-3)

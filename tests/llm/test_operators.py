@@ -175,7 +175,7 @@ def test_mixing_meets_targets(spark):
     assert len(again) == len(rows)
     total = sum(len((t or "").split()) for _, t, _ in rows)
     by: dict = {}
-    for _, size, source_size, target, taken, times in again:
+    for _, size, source_size, target, taken, times, _ in again:
         assert taken == times * size and 0 <= taken <= 3 * size
         k = by.setdefault(source_size, [target, 0])
         k[1] += taken
