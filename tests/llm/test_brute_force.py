@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 
 
 
-from strataq.llm import hamming, language, mixing, packing, token_io, warc
+from strataq.llm import hamming, language, line_dedup, mixing, packing, token_io, warc
 from strataq.llm.common import Scratch
 
 SENTENCES = {
@@ -282,3 +282,49 @@ def test_targets_over_many_sources_in_many_ranges(spark):
         level = (low + high) / 2
         low, high = (level, high) if sum(min(3 * n, level * weight[s]) for s, n in sizes) < total else (low, level)
     assert got == pytest.approx({s: min(3.0 * n, high * weight[s]) for s, n in sizes}, rel=1e-6, abs=1e-3)
+
+
+def test_suffix_array_and_its_intervals(spark):
+    """Ranks order the suffixes of all runs; an interval holds exactly the suffixes that share their reach."""
+    rng = random.Random(12)
+    pool = [" ".join(f"w{i}" for _ in range(n)) for i, n in enumerate([1, 2, 3, 7, 9, 26])]
+    rows = [(i, "\n".join(rng.choices(pool, k=rng.randint(20, 60)))) for i in range(25)]
+    src = spark.createDataFrame([(i, 0, t) for i, t in rows], "id long, fp long, text string")
+    with Scratch(spark) as s:
+        runs = line_dedup._suffixes(s, src, 25).collect()
+        by = {(r.id, r.at): r for r in runs}
+        suffix = {}
+        for r in runs:
+            out = []
+            while (x := by.get((r.id, r.at + len(out)))) and x.seg == r.seg:
+                out.append(x.r)
+            suffix[r.id, r.at] = out
+    order = {k: i for i, k in enumerate(sorted(suffix, key=lambda k: suffix[k][:64]))}
+    captured = {}
+    inner = line_dedup._intervals
+
+    def spy(s, suffixes):
+        captured["ranks"] = {(r.id, r.at): r["rank"] for r in suffixes.collect()}
+        out = inner(s, suffixes)
+        captured["first"] = {r["rank"]: (r.first.id, r.first.at) for r in out.collect()}
+        return out
+
+    line_dedup._intervals = spy
+    try:
+        line_dedup.repeated_lines(src)
+    finally:
+        line_dedup._intervals = inner
+    ranks = captured["ranks"]
+    assert set(ranks) == set(suffix)
+    keys = sorted(ranks)
+    for _ in range(4000):
+        a, b = rng.choice(keys), rng.choice(keys)
+        assert (ranks[a] < ranks[b]) == (suffix[a][:64] < suffix[b][:64])
+    groups: dict = {}
+    for k in keys:
+        if by[k].need is not None:
+            groups.setdefault(tuple(suffix[k][: by[k].need]), []).append(k)
+    for members in groups.values():
+        want = {min(members)} if len(members) > 1 else {None}
+        assert {captured["first"].get(ranks[k]) for k in members} == want
+    assert len(order) == len(ranks)
