@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 
 
 
-from strataq.llm import hamming, language, line_dedup, mixing, packing, token_io, warc
+from strataq.llm import hamming, language, line_dedup, minhash, mixing, packing, token_io, warc
 from strataq.llm.common import Scratch
 
 SENTENCES = {
@@ -328,3 +328,34 @@ def test_suffix_array_and_its_intervals(spark):
         want = {min(members)} if len(members) > 1 else {None}
         assert {captured["first"].get(ranks[k]) for k in members} == want
     assert len(order) == len(ranks)
+
+
+def test_a_template_bucket_emits_true_links_only(spark):
+    """20,000 texts of one template, about 0.7 alike, in one bucket: a forest of the few true links comes out."""
+    rng = random.Random(4)
+    base = [f"t{i}" for i in range(120)]
+    rows = []
+    for i in range(20_000):
+        w = list(base)
+        for k in rng.sample(range(20, 100), 4):
+            w[k] = f"x{i}_{k}"
+        rows.append((i, " ".join(w)))
+    for i in range(0, 400, 2):  # true links among them
+        w = rows[i][1].split()
+        w[0] = "first"
+        rows[i + 1] = (i + 1, " ".join(w))
+    d = spark.createDataFrame(rows, "id long, text string").repartition(8)
+    with Scratch(spark) as s:
+        f = s.table(minhash.features(d).select(F.lit(1).alias("key"), F.col("id").alias("rep"), F.col("id").alias("comp"), "n", "sig"), "f")
+        sets = s.table(d.mapInArrow(minhash._sets, "id long, digest binary, shingles array<long>").select(F.col("id").alias("rep"), "shingles"), "sets")
+        own = f.join(sets, "rep").withColumn("block", F.pmod(F.xxhash64("rep"), F.lit(20)).cast("int"))
+        cols = ["key", "i", "j", "side", "rep", "comp", "n", "sig", "shingles"]
+        a = own.withColumn("j", F.explode(F.expr("sequence(block, 19)"))).withColumn("i", F.col("block")).withColumn("side", F.lit(0)).select(cols)
+        b = own.withColumn("i", F.explode(F.expr("sequence(0, block)"))).withColumn("j", F.col("block")).withColumn("side", F.lit(1)).select(cols)
+        sided = a.union(b).repartition(16, "key", "i", "j").sortWithinPartitions("key", "i", "j", "side")
+        got = {(r.u, r.v) for r in sided.mapInArrow(minhash._block_links(0.67, 85), "u long, v long").collect()}
+    planted, text = {(i, i + 1) for i in range(0, 400, 2)}, dict(rows)
+    assert planted <= got and len(got) < len(planted) + 20
+    for i, j in got:
+        x, y = (set(minhash.shingles(text[k].encode()).tolist()) for k in (i, j))
+        assert 100 * len(x & y) >= 85 * len(x | y)

@@ -101,14 +101,13 @@ def test_near_duplicates_equal_brute_force(spark, texts):
 
 
 def test_blocks_find_what_the_star_misses():
-    m = np.stack([minhash.minima(minhash.shingles(" ".join(f"a{i}" for i in range(k, k + 300)).encode())) for k in (0, 10, 200)])
-    sig = np.concatenate([minhash.packed(m)] * 2).view(np.uint64)
+    sets = [minhash.shingles(" ".join(f"a{i}" for i in range(k, k + 300)).encode()) for k in (0, 10, 200)] * 2
+    sig = minhash.packed(np.stack([minhash.minima(x) for x in sets])).view(np.uint64)
     rep = np.array([1, 2, 3] * 2)
-    got = minhash._compare(np.zeros(6, int), np.array([0] * 3 + [1] * 3), rep, rep, np.full(6, 296), sig, 0.7, 85, None)
-    assert got.values.tolist() == [[1, 2, 0, False]]
-    comp = np.array([1, 2, 1] * 2)
-    cut = minhash._compare(np.zeros(6, int), np.array([0] * 3 + [1] * 3), rep, comp, np.full(6, 296), sig[[0, 1, 0, 0, 1, 0]], 0.7, 85, 1)
-    assert len(cut) == 1 and cut["more"].all()
+    sides = np.arange(3), np.arange(3, 6)
+    assert minhash._links(*sides, rep, rep, np.full(6, 296), sig, sets, 0.7, 85) == [(1, 2)]
+    assert minhash._links(*sides, rep, np.array([1, 1, 3] * 2), np.full(6, 296), sig, sets, 0.7, 85) == []
+    assert minhash._common(*sides, sets).tolist() == [[len(np.intersect1d(a, b)) for b in sets[:3]] for a in sets[:3]]
 
 
 def test_near_duplicates_of_one_template(spark):
@@ -133,8 +132,9 @@ def test_near_duplicates_of_one_template(spark):
             if a < b and 100 * len(s[a] & s[b]) >= 85 * len(s[a] | s[b]):
                 x, y = find(a), find(b)
                 root[max(x, y)] = min(x, y)
-    got = {r.doc_id: r.component_id for r in minhash.near_duplicates(docs(spark, rows)).collect()}
-    assert got == {i: find(i) for i in s}
+    for small, block in ((48, 1024), (1, 1024), (1, 7)):
+        got = {r.doc_id: r.component_id for r in minhash.near_duplicates(docs(spark, rows), small=small, block=block).collect()}
+        assert got == {i: find(i) for i in s}
 
 
 def test_line_dedup_equals_brute_force(spark):
