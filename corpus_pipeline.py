@@ -6,11 +6,11 @@ writes each result as Parquet and reads it again as the next stage's input.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from strataq.llm import language, line_dedup, minhash, mixing, packing
-from strataq.llm.common import Scratch, checkpoint, documents
+from strataq.llm.common import WORD, Scratch, checkpoint, documents, fresh
 
 #: The stages hold learned models, hashes of shingles and seeded sampling, which SQL can't express.
 ORACLE_SQL = None
@@ -19,16 +19,18 @@ ORACLE_SQL = None
 def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents in no language (`und`: null, empty or without a letter) go; `lang` becomes the prediction where null."""
     keep = tuple(c for c in docs.columns if c != "doc_id")
-    found = language.identify(docs, language.learn(docs), keep=keep, out=("__lang_pred", "__lang_score"))
-    lang = F.coalesce("lang", "__lang_pred").alias("lang")
-    return found.where("__lang_pred <> 'und'").select(*(lang if c == "lang" else F.col(c) for c in docs.columns))
+    pred, score = fresh(docs.columns, "lang_pred", "lang_score")
+    found = language.identify(docs, language.learn(docs), keep=keep, out=(pred, score))
+    lang = F.coalesce("lang", pred).alias("lang")
+    return found.where(F.col(pred) != "und").select(*(lang if c == "lang" else F.col(c) for c in docs.columns))
 
 
 def without_repeated_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Later copies of repeated runs of lines go; a document of which nothing is left goes, n_chars follows the text."""
-    out = line_dedup.line_dedup(docs, gone_col="__gone")
-    out = out.where((F.size("__gone") == 0) | F.col("text").rlike(r"[^\x20\x09-\x0D]"))
-    return out.withColumn("n_chars", F.when(F.size("__gone") == 0, F.col("n_chars")).otherwise(F.length("text").cast("long"))).select(*docs.columns)
+    (gone,) = fresh(docs.columns, "gone")
+    out = line_dedup.line_dedup(docs, gone_col=gone)
+    out = out.where((F.size(gone) == 0) | F.col("text").rlike(r"[^\x20\x09-\x0D]"))
+    return out.withColumn("n_chars", F.when(F.size(gone) == 0, F.col("n_chars")).otherwise(F.length("text").cast("long"))).select(*docs.columns)
 
 
 def without_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -38,20 +40,31 @@ def without_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Da
 
 
 def mixed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Each document as many times as the mix takes it."""
-    nth = F.row_number().over(_same("doc_id"))
-    times = mixing.mix_sources(docs).select("doc_id", F.col("times").alias("__times")).withColumn("__row", nth).where("__times > 0").withColumnRenamed("doc_id", "__id")
-    own = docs.withColumn("__nth", nth)
-    out = own.join(times, F.col("doc_id").eqNullSafe(F.col("__id")) & (F.col("__nth") == F.col("__row"))).withColumn("__copy", F.explode(F.expr("sequence(1L, __times)")))
+    """Each document as many times as the mix takes it; of rows that repeat an id, the n-th by source and text gets the n-th
+    row of the mix for it."""
+    times = checkpoint(mixing.mix_sources(docs).select("doc_id", "source", "size", "times"))
+    repeated = checkpoint(times.groupBy("doc_id").agg(F.count("*").alias("c")).where("c > 1").select(F.col("doc_id").alias("r")))
+    some = not repeated.isEmpty()
+    key, nth, n = fresh(docs.columns, "key", "nth", "n_times")
+    # rows are numbered where ids repeat only, without their texts; all others are told apart by their id
+    taken, own = times.where("times > 0"), docs
+    on = F.col("doc_id").eqNullSafe(F.col(key))
+    if some:
+        order = [F.col("source").asc_nulls_last(), "size"]
+        number = F.row_number().over(Window.partitionBy("doc_id").orderBy(*order))
+        among = lambda df: df.join(repeated.withColumnRenamed("r", key), on, "left_semi")
+        size = F.coalesce(F.regexp_count("text", F.lit(WORD)), F.lit(0)).cast("long")
+        own = among(docs).withColumn(nth, F.row_number().over(Window.partitionBy("doc_id").orderBy(order[0], size, F.xxhash64("text"))))
+        own = own.unionByName(docs.join(repeated.withColumnRenamed("r", key), on, "left_anti").withColumn(nth, F.lit(1)))
+        taken = among(times).withColumn(nth, number).unionByName(times.join(repeated.withColumnRenamed("r", key), on, "left_anti").withColumn(nth, F.lit(1))).where("times > 0")
+        right = taken.select(F.col("doc_id").alias(key), F.col(nth).alias(f"{nth}_"), F.col("times").alias(n))
+        on = on & (F.col(nth) == F.col(f"{nth}_"))
+    else:
+        right = taken.select(F.col("doc_id").alias(key), F.col("times").alias(n))
+    out = own.join(right, on).withColumn(n, F.explode(F.sequence(F.lit(1).cast("long"), F.col(n))))
     return out.select(*docs.columns)
 
 
-def _same(col: str):
-    from pyspark.sql import Window
-
-    return Window.partitionBy(col).orderBy(col)
-
-
 def packed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Pieces of sequences: doc_id, start, length, doc_tokens, sequence_id, offset, ids (16 bit, little-endian)."""
     with Scratch(spark) as s:
