@@ -186,25 +186,24 @@ def displaced(nxt: list[dict[int, int]], width: int) -> Displaced:
             if full.sum() < step // 16:
                 low += step
         at += 1
-    for k in order[at:]:  # one edge or none: the first place that is free
-        s = edges[k][0] if edges[k] else 0
-        b = low
+    rest: dict[int, list[int]] = {}
+    for k in order[at:]:  # one edge or none: all rows of one symbol at once, at the first places that are free
+        rest.setdefault(edges[k][0] if edges[k] else -1, []).append(k)
+    for s, states in rest.items():
         while True:
-            while b + step + width > len(free):
-                free, unused = np.append(free, np.ones(len(free), bool)), np.append(unused, np.ones(len(unused), bool))
-            hit = np.flatnonzero(unused[b : b + step] & free[b + s : b + s + step]) if edges[k] else np.flatnonzero(unused[b : b + step])
-            if len(hit):
-                b += int(hit[0])
+            end = len(unused) - width
+            hit = low + np.flatnonzero(unused[low:end] & free[low + s : end + s] if s >= 0 else unused[low:end])[: len(states)]
+            if len(hit) == len(states):
                 break
-            b += step
-        shift[k], unused[b] = b, False
-        if edges[k]:
-            free[b + s] = False
+            free, unused = np.append(free, np.ones(len(free), bool)), np.append(unused, np.ones(len(unused), bool))
+        shift[states], unused[hit] = hit, False
+        if s >= 0:
+            free[hit + s] = False
     size = int(shift.max()) + width
     owner, to = np.full(size, -1, np.int32), np.zeros(size, np.int32)
-    for k, x in enumerate(nxt):
-        for s, t in x.items():
-            owner[shift[k] + s], to[shift[k] + s] = shift[k], shift[t]
+    source = np.repeat(shift, [len(x) for x in nxt])
+    place = source + np.fromiter((s for x in nxt for s in x), np.int64, total)
+    owner[place], to[place] = source, shift[np.fromiter((t for x in nxt for t in x.values()), np.int64, total)]
     root = np.full(width, shift[0], np.int32)
     for s, t in nxt[0].items():
         root[s] = shift[t]
