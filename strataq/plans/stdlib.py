@@ -19,6 +19,11 @@ def jq(f: Callable[..., list]) -> Callable[..., list]:
     return f
 
 
+def _or(v, other):
+    """`v // other`: only null and false give way, 0 and empty texts stay."""
+    return other if v is None or v is False else v
+
+
 def _iso(at: float) -> str:
     return datetime.fromtimestamp(at, UTC).strftime("%Y-%m-%dT%H:%M:%SZ")
 
@@ -112,9 +117,9 @@ def decode_html(text: str) -> str:
 def _conversation(v: dict) -> dict:
     def message(m: dict) -> dict:
         content = m.get("content")
-        return {"role": m.get("role") or "unknown", "content": decode_html("".join(content) if isinstance(content, list) else content or ""), "timestamp": m.get("timestamp") or None, "name": m.get("name") or None, "x-source": "openwebui"}
+        return {"role": _or(m.get("role"), "unknown"), "content": decode_html("".join(content) if isinstance(content, list) else content or ""), "timestamp": _or(m.get("timestamp"), None), "name": _or(m.get("name"), None), "x-source": "openwebui"}
 
-    return {"meta": {"schema_version": "v1", "normalizer": "openwebui_chat", "original_id": v.get("id") or None, "title": v.get("title") or None}, "messages": [message(m) for m in v["chat"]["messages"]]}
+    return {"meta": {"schema_version": "v1", "normalizer": "openwebui_chat", "original_id": _or(v.get("id"), None), "title": _or(v.get("title"), None)}, "messages": [message(m) for m in v["chat"]["messages"]]}
 
 
 @jq
@@ -131,12 +136,12 @@ def openwebui_to_chat(v) -> list:
 def cargo_to_artifact(v) -> list:
     if v.get("reason") != "compiler-message":
         return []
-    m = v.get("message") or {}
+    m = _or(v.get("message"), {})
     level = m.get("level")
-    at = next(iter(m.get("spans") or []), None) or {}
+    at = next(iter(_or(m.get("spans"), [])), None) or {}
     place = {"file": at.get("file_name"), "line": at.get("line_start"), "column": at.get("column_start"), "end_line": at.get("line_end"), "end_column": at.get("column_end")}
     kinds = {"error": "BUILD_ERROR", "warning": "COMPILATION_WARNING"}
-    return [{"type": kinds.get(level, "INFO"), "source": "cargo", "status": "FAILURE" if level == "error" else "WARNING", "summary": m.get("message"), "details": m.get("rendered"), "location": place, "check_name": (m.get("code") or {}).get("code")}]
+    return [{"type": kinds.get(level, "INFO"), "source": "cargo", "status": "FAILURE" if level == "error" else "WARNING", "summary": m.get("message"), "details": m.get("rendered"), "location": place, "check_name": (_or(m.get("code"), {})).get("code")}]
 
 
 _CHANGES = {"M": "MODIFIED", "A": "ADDED", "D": "DELETED", "R": "RENAMED"}
@@ -170,15 +175,15 @@ BONES = {"file", "module", "class", "structure", "interface"}
 
 
 def _graph(doc: dict) -> dict:
-    path = (doc.get("metadata") or {}).get("path") or "unknown"
+    path = (_or(doc.get("metadata"), {})).get("path") or "unknown"
     found = [(kind, e) for field, kind in _FIELDS.items() for e in doc.get(field) or []]
     nodes = {path: {"label": path, "metadata": {"type": "file"}}}
     edges = []
     for kind, e in found:
-        key = f"{path}::{e.get('name') or 'anon'}"
-        nodes[key] = {"label": e.get("name") or kind, "metadata": {"type": kind, "path": path, "line_start": e.get("line_start"), "line_end": e.get("line_end"), "visibility": (e.get("attributes") or {}).get("visibility") or "private"}}
+        key = f"{path}::{_or(e.get('name'), 'anon')}"
+        nodes[key] = {"label": _or(e.get("name"), kind), "metadata": {"type": kind, "path": path, "line_start": e.get("line_start"), "line_end": e.get("line_end"), "visibility": (_or(e.get("attributes"), {})).get("visibility") or "private"}}
         edges.append({"source": key, "target": path, "relation": "child-of"})
-    edges += [{"source": path, "target": e.get("name") or "unknown", "relation": "imports"} for e in doc.get("imports") or []]
+    edges += [{"source": path, "target": _or(e.get("name"), "unknown"), "relation": "imports"} for e in _or(doc.get("imports"), [])]
     return {"id": path, "nodes": nodes, "edges": edges}
 
 
@@ -219,9 +224,9 @@ def _safe(name: str) -> str:
 def graph_format(v) -> list:
     out = []
     for g in v["graphs"]:
-        nodes = "\n".join(f"- **{k}** ({n['metadata'].get('type') or 'node'})" for k, n in sorted(g["nodes"].items()))
+        nodes = "\n".join(f"- **{k}** ({_or(n['metadata'].get('type'), 'node')})" for k, n in sorted(g["nodes"].items()))
         edges = "\n".join(f"- {e['source']} --[{e['relation']}]--> {e['target']}" for e in g["edges"])
-        out.append(f"# Graph: {g.get('label') or g.get('id')}\n\n## Nodes\n{nodes}\n\n## Relationships\n{edges}\n")
+        out.append(f"# Graph: {_or(g.get('label'), g.get('id'))}\n\n## Nodes\n{nodes}\n\n## Relationships\n{edges}\n")
     return out
 
 
@@ -229,15 +234,15 @@ def graph_format(v) -> list:
 def graph_format_mermaid(v) -> list:
     out = []
     for g in v["graphs"]:
-        lines = ["graph TD", *(f'  {_safe(k)}["{n.get("label") or k}"]' for k, n in sorted(g["nodes"].items()))]
-        lines += [f"  {_safe(e['source'])} -- {e.get('relation') or 'related'} --> {_safe(e['target'])}" for e in g["edges"]]
+        lines = ["graph TD", *(f'  {_safe(k)}["{_or(n.get("label"), k)}"]' for k, n in sorted(g["nodes"].items()))]
+        lines += [f"  {_safe(e['source'])} -- {_or(e.get('relation'), 'related')} --> {_safe(e['target'])}" for e in g["edges"]]
         out.append("\n".join(lines) + "\n")
     return out
 
 
 @jq
 def architecture_format(v) -> list:
-    return [f"# Architecture: {g.get('label') or 'System'}\n\n" + "\n".join(f"- {n['label']}" for _, n in sorted(g["nodes"].items())) for g in v["graphs"]]
+    return [f"# Architecture: {_or(g.get('label'), 'System')}\n\n" + "\n".join(f"- {n['label']}" for _, n in sorted(g["nodes"].items())) for g in v["graphs"]]
 
 
 @jq
@@ -247,7 +252,7 @@ def architecture_format_mermaid(v) -> list:
     for g in v["graphs"]:
         groups: dict[str, list[str]] = {}
         for k, n in sorted(g["nodes"].items()):
-            top = re.sub(r"^\./", "", n["metadata"].get("path") or n.get("label") or "root").split("/")[0]
+            top = re.sub(r"^\./", "", n["metadata"].get("path") or _or(n.get("label"), "root")).split("/")[0]
             label = n["label"].replace('"', "'")
             kind = n["metadata"]["type"]
             style = {"file": ":::file", "module": ":::module", "class": ":::object", "structure": ":::object"}.get(kind, "")
@@ -259,19 +264,19 @@ def architecture_format_mermaid(v) -> list:
 
 
 def _log(v: dict) -> str:
-    return f"[{v.get('timestamp') or 'timestamp?'}] **{v.get('level') or 'INFO'}** ({v.get('source') or 'source?'}): {v.get('message') or 'no message'}"
+    return f"[{_or(v.get('timestamp'), 'timestamp?')}] **{_or(v.get('level'), 'INFO')}** ({_or(v.get('source'), 'source?')}): {_or(v.get('message'), 'no message')}"
 
 
 def _artifact(v: dict) -> str:
     sign = {"FAILURE": "❌", "WARNING": "⚠️"}.get(v.get("status"), "ℹ️")
-    at = v.get("location") or {}
+    at = _or(v.get("location"), {})
     details = f"  Details: {v['details']}" if v.get("details") else ""
-    return f"{sign} **{v.get('type') or 'Artifact'}**: {v.get('summary') or 'No summary'}\n  Location: {at.get('file') or '?'}:{at.get('line') or '?'}\n{details}"
+    return f"{sign} **{_or(v.get('type'), 'Artifact')}**: {_or(v.get('summary'), 'No summary')}\n  Location: {_or(at.get('file'), '?')}:{_or(at.get('line'), '?')}\n{details}"
 
 
 def _diff(v: dict) -> str:
-    head = f"### {v.get('file') or 'unknown'} ({v.get('change_type') or 'UNKNOWN'})\n```diff\n"
-    return "\n".join(head + x + "\n```" for x in [h["content"] for h in v.get("hunks") or [] if h.get("content")] or [""])
+    head = f"### {_or(v.get('file'), 'unknown')} ({_or(v.get('change_type'), 'UNKNOWN')})\n```diff\n"
+    return "\n".join(head + x + "\n```" for x in [h["content"] for h in _or(v.get("hunks"), []) if h.get("content")] or [""])
 
 
 @jq
@@ -292,14 +297,14 @@ def diff_format(v) -> list:
 def _message(m: dict) -> str:
     name = f" ({m['name']})" if m.get("name") else ""
     at = f" - {m['timestamp']}" if m.get("timestamp") else ""
-    return f"### {m.get('role') or 'unknown'}{name}{at}\n{m.get('content') or ''}\n\n---\n"
+    return f"### {_or(m.get('role'), 'unknown')}{name}{at}\n{_or(m.get('content'), '')}\n\n---\n"
 
 
 @jq
 def chat_format(v) -> list:
     if isinstance(v, dict) and v.get("messages"):
         meta = v.get("meta")
-        head = f"> **Schema**: {meta.get('schema_version') or '?'} | **Normalizer**: {meta.get('normalizer') or '?'}\n\n" if meta else ""
+        head = f"> **Schema**: {_or(meta.get('schema_version'), '?')} | **Normalizer**: {_or(meta.get('normalizer'), '?')}\n\n" if meta else ""
         return [head + "\n".join(map(_message, v["messages"]))]
     return ["\n".join(map(_message, v))]
 
@@ -332,20 +337,20 @@ def markdown(v) -> list:
     """Documentation of a parsed file: a heading per kind, its elements with signature and comment, children below them."""
 
     def element(e: dict, depth: int) -> list[str]:
-        a = e.get("attributes") or {}
-        out = [f"{'#' * min(6, depth)} {e.get('name') or e.get('type') or 'element'}", ""]
+        a = _or(e.get("attributes"), {})
+        out = [f"{'#' * min(6, depth)} {e.get('name') or _or(e.get('type'), 'element')}", ""]
         if a.get("signature"):
             out += ["```", a["signature"], "```", ""]
         if a.get("docstring"):
             out += [a["docstring"], ""]
-        for child in e.get("children") or []:
+        for child in _or(e.get("children"), []):
             out += element(child, depth + 1)
         return out
 
     lines = [f"# {(v.get('metadata') or {}).get('path') or 'unknown'}", ""]
     rank = {k: i for i, k in enumerate(_SECTIONS)}
     for field in sorted((k for k, x in v.items() if isinstance(x, list) and k not in ("elements", "file_type")), key=lambda k: (rank.get(k, 99), k)):
-        own = [e for e in v[field] if isinstance(e, dict) and not (e.get("attributes") or {}).get("crumbtrail")]
+        own = [e for e in v[field] if isinstance(e, dict) and not (_or(e.get("attributes"), {})).get("crumbtrail")]
         if own:
             lines += [f"## {field.replace('_', ' ').title()}", ""]
             for e in own:

@@ -2,34 +2,15 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
-
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .operators import assembly, catalog, chunking, facets, vector
 from .parsers import element_table
 from .plans import jq
+from .registry import ORACLES, QUERIES, query, table
 from .sources import detection
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
-ORACLES: dict[str, str] = {}
-
-
-def query(sql: str | None = None):
-    def add(f: Callable[[SparkSession, str], DataFrame]):
-        QUERIES[f.__name__] = f
-        if sql:
-            ORACLES[f.__name__] = sql
-        return f
-
-    return add
-
-
-def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
-
-
 def _first_vector(points: DataFrame) -> list[float]:
     return points.where("vec_id = 0").select("embedding").first()[0]
 
@@ -353,3 +334,8 @@ def token_estimates(spark, d):
     c = table(spark, d, "conversations")
     key = F.sha2(F.concat_ws("::", F.col("conv_id").cast("string"), F.col("turn").cast("string")).cast("binary"), 256)
     return c.select("conv_id", "turn", key.alias("key"), F.floor(F.length("text") / 4).cast("long").alias("tokens"))
+
+
+from . import queries_jq  # noqa: E402, F401  they register themselves
+
+__all__ = ["ORACLES", "QUERIES"]
