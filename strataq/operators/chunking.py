@@ -108,7 +108,47 @@ def code(text: str, size: int, most: int | None = None) -> Iterator[Piece]:
         yield from out(held, first, start)
 
 
-STRATEGIES: dict[str, Callable[..., Iterator[Piece]]] = {"simple": simple, "char": windows, "code_aware": code}
+def tokens_of(text: str) -> int:
+    """An estimate of a text's tokens: a word's every four characters, and each mark."""
+    return sum(-(-len(w) // 4) if w[0].isalnum() or w[0] == "_" else 1 for w in _PIECE.findall(text))
+
+
+_PIECE = re.compile(r"\w+|[^\w\s]")
+
+
+def placed(pieces: Iterator[str], text: str) -> Iterator[Piece]:
+    """Pieces of a text, in order, with their offsets and first lines."""
+    at, offset, line = 0, 0, 1
+    for p in pieces:
+        found = text.index(p, at)
+        gap = text[at:found]
+        offset, line = offset + len(gap.encode()), line + gap.count("\n")
+        yield p, offset, line
+        offset, line, at = offset + len(p.encode()), line + p.count("\n"), found + len(p)
+
+
+def by_size(text: str, size: int, sizer: Callable[[str], int] = len) -> Iterator[Piece]:
+    return placed(recursive(text, size, sizer), text)
+
+
+STRATEGIES: dict[str, Callable[..., Iterator[Piece]]] = {"simple": simple, "char": windows, "code_aware": code, "recursive": by_size, "semantic": by_size}
+
+
+def strategy_of(file_type: str, wanted: str = "recursive") -> str:
+    """The strategy for a file type: recursive and semantic cuts are for known structure; texts and unknown types get `simple`."""
+    if wanted not in STRATEGIES:
+        raise ValueError(f"a strategy is one of {sorted(STRATEGIES)}")
+    return "simple" if wanted in ("recursive", "semantic") and file_type in ("text", "unknown") else wanted
+
+
+def content_hash(text: Column) -> Column:
+    """SHA-256 of a text in UTF-8."""
+    return F.sha2(text.cast("binary"), 256)
+
+
+def token_estimate(text: Column) -> Column:
+    """A quarter of a text's characters."""
+    return F.floor(F.length(text) / 4).cast("long")
 
 
 def chunks(docs: DataFrame, strategy: str = "simple", id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:
@@ -148,7 +188,11 @@ def uuid5(namespace: uuid.UUID, name: Column) -> Column:
 
 def late_split(chunked: DataFrame, most: int = MAX_BYTES) -> DataFrame:
     """Chunks (chunk_id, content, …) above `most` bytes as parts with split_part and original_chunk_id."""
-    cut = F.udf(lambda t: [p for p, _, _ in simple(t or "", most)], "array<string>")
+
+    @F.pandas_udf("array<string>")
+    def cut(texts: pd.Series) -> pd.Series:
+        return texts.map(lambda t: [p for p, _, _ in simple(t or "", most)])
+
     big = F.octet_length("content") > most
     small = chunked.where(~F.coalesce(big, F.lit(False))).withColumn("split_part", F.lit(None).cast("int")).withColumn("original_chunk_id", F.lit(None).cast("string"))
     parts = chunked.where(big).select("*", F.posexplode(cut("content")).alias("split_part", "part")).withColumn("original_chunk_id", F.col("chunk_id"))

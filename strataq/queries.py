@@ -2,14 +2,12 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .operators import assembly, catalog, chunking, facets, vector
-from .parsers import element_table
 from .plans import jq
 from .registry import ORACLES, QUERIES, query, table
-from .sources import detection
 
 def _first_vector(points: DataFrame) -> list[float]:
     return points.where("vec_id = 0").select("embedding").first()[0]
@@ -30,44 +28,11 @@ def knn_filtered(spark, d):
     return vector.search(p, _first_vector(p), 10, {"label": 3}, "vec_id", "embedding").select("vec_id", "label", F.round("score", 6).alias("score"))
 
 
-@query(f"""WITH s AS (SELECT q.vec_id AS query_id, e.vec_id, {_COS} AS score FROM embeddings e, embeddings q WHERE q.vec_id % 100 = 0),
- r AS (SELECT *, (row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id))::INT AS rank FROM s)
- SELECT query_id, rank, vec_id, round(score, 6) AS score FROM r WHERE rank <= 5""")
-def knn_batch(spark, d):
-    p = table(spark, d, "embeddings")
-    q = p.where("vec_id % 100 = 0").select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("query"))
-    return vector.search_batch(p, q, 5, "vec_id", "embedding").withColumn("score", F.round("score", 6))
-
-
-@query(f"""WITH s AS (SELECT q.vec_id AS query_id, e.vec_id, {_COS} AS score FROM embeddings e, embeddings q WHERE q.vec_id % 50 = 0),
- r AS (SELECT *, (row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id))::INT AS rank FROM s)
- SELECT query_id, rank, vec_id, round(score, 6) AS score FROM r WHERE rank <= 5""")
-def knn_batch_whole(spark, d):
-    """`knn_batch` with the whole query set: every row whose id is divisible by 50, as in op2."""
-    p = table(spark, d, "embeddings")
-    q = p.where("vec_id % 50 = 0").select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("query"))
-    return vector.search_batch(p, q, 5, "vec_id", "embedding").withColumn("score", F.round("score", 6))
-
-
-@query("""WITH t AS (SELECT vec_id, list_slice(embedding::DOUBLE[], 1, 16) AS v FROM embeddings)
- SELECT vec_id, round(v[1] / sqrt(list_inner_product(v, v)), 6) AS first, round(v[16] / sqrt(list_inner_product(v, v)), 6) AS last FROM t""")
-def matryoshka_truncate(spark, d):
-    p = table(spark, d, "embeddings").select("vec_id", vector.truncate(F.col("embedding"), 16).alias("v"))
-    return p.select("vec_id", F.round(p.v[0], 6).alias("first"), F.round(p.v[15], 6).alias("last"))
-
-
 @query("SELECT vec_id, round(sqrt(list_inner_product(embedding::DOUBLE[], embedding::DOUBLE[])), 4) AS norm FROM embeddings")
 def l2_norm(spark, d):
     return table(spark, d, "embeddings").select("vec_id", F.round(vector.norm(F.col("embedding")), 4).alias("norm"))
 
 
-@query("""WITH m AS (SELECT vec_id, embedding::DOUBLE[] AS v, list_max(list_transform(embedding::DOUBLE[], lambda x: abs(x))) AS top FROM embeddings)
- SELECT vec_id, list_sum(list_transform(v, lambda x: floor(x * 127 / top + 0.5)))::BIGINT AS total, list_max(list_transform(v, lambda x: floor(x * 127 / top + 0.5)))::BIGINT AS most FROM m""")
-def quantize_int8(spark, d):
-    p = table(spark, d, "embeddings").select("vec_id", vector.quantize_int8(F.col("embedding")).alias("v"))
-    return p.select("vec_id", F.aggregate("v", F.lit(0).cast("long"), lambda s, x: s + x).alias("total"), F.array_max("v").cast("long").alias("most"))
-
-
 @query("""SELECT e.vec_id, list_sum(list_transform(range(1, 65), lambda i: ((e.embedding[i] > 0) <> (q.embedding[i] > 0))::INT))::INT AS distance
  FROM embeddings e, embeddings q WHERE q.vec_id = 0 ORDER BY 2, 1 LIMIT 20""")
 def quantize_binary_hamming(spark, d):
@@ -116,54 +81,12 @@ def _positions(events: DataFrame) -> DataFrame:
     return assembly.positions(events, at, "event_id").select("event_id", "pos")
 
 
-@query("SELECT event_id, (row_number() OVER (ORDER BY ts, event_id))::INT AS pos FROM events WHERE user_id < 50")
-def stream_sort(spark, d):
-    return _positions(table(spark, d, "events").where("user_id < 50")).withColumn("pos", F.col("pos").cast("int"))
-
-
-@query("SELECT event_id, row_number() OVER (ORDER BY ts, event_id) AS pos FROM events")
-def stream_sort_whole(spark, d):
-    """`stream_sort` over the whole table."""
-    return _positions(table(spark, d, "events"))
-
-
 @query("SELECT conv_id, turn, lag(text) OVER (PARTITION BY conv_id ORDER BY turn) AS before_text, md5(text) AS digest FROM conversations")
 def version_pairs(spark, d):
     c = table(spark, d, "conversations")
     return assembly.pairs(c, "conv_id", "turn", "text").select("conv_id", "turn", F.col("before").alias("before_text"), F.md5(F.col("text").cast("binary")).alias("digest"))
 
 
-@query()
-def version_events(spark, d):
-    c = table(spark, d, "conversations")
-    snaps = c.select(F.concat(F.lit("c"), "conv_id", F.lit(".resolved."), F.col("turn").cast("string")).alias("path"), F.col("text").alias("content"), F.col("turn").alias("in_pos"))
-    return assembly.events(assembly.versions(snaps))
-
-
-@query()
-def stitch_conversations(spark, d):
-    return assembly.stitch(table(spark, d, "conversations"), ["conv_id"], ["turn"], "text")
-
-
-@query("SELECT DISTINCT o_custkey AS id FROM orders WHERE o_custkey IN (SELECT c_custkey FROM customer WHERE c_custkey % 3 = 0)")
-def points_exists(spark, d):
-    stored = table(spark, d, "customer").where("c_custkey % 3 = 0").select(F.col("c_custkey").alias("id"))
-    return catalog.points_exist(stored, table(spark, d, "orders").select(F.col("o_custkey").alias("id")).distinct())
-
-
-@query("SELECT doc_id AS id FROM documents WHERE doc_id IN (SELECT doc_id FROM labels)")
-def points_exists_whole(spark, d):
-    """`points_exists` over two whole tables whose ids differ: the documents that are labelled."""
-    stored = table(spark, d, "labels").select(F.col("doc_id").alias("id"))
-    return catalog.points_exist(stored, table(spark, d, "documents").select(F.col("doc_id").alias("id")))
-
-
-@query("SELECT c_custkey AS id FROM customer WHERE c_custkey NOT IN (SELECT o_custkey FROM orders)")
-def anti_join_new(spark, d):
-    stored = table(spark, d, "orders").select(F.col("o_custkey").alias("id"))
-    return catalog.not_stored(stored, table(spark, d, "customer").select(F.col("c_custkey").alias("id")))
-
-
 @query("""WITH n AS (SELECT user_id, event_type, event_id FROM events QUALIFY row_number() OVER (PARTITION BY user_id ORDER BY event_id DESC) = 1)
  SELECT user_id, event_type, event_id FROM n""")
 def upsert_latest(spark, d):
@@ -180,114 +103,23 @@ def _batches(events: DataFrame) -> tuple[DataFrame, DataFrame]:
     return e.where(~F.col("late")).select(*cols), e.where("late").select(*cols)
 
 
-@query("SELECT doc_id, sha256(text) AS digest, length(text) AS chars, strlen(text) AS bytes FROM documents")
-def content_hash(spark, d):
-    return table(spark, d, "documents").select("doc_id", F.sha2(F.col("text").cast("binary"), 256).alias("digest"), F.length("text").cast("long").alias("chars"), F.octet_length("text").cast("long").alias("bytes"))
-
-
 @query("""SELECT doc_id, g AS chunk_index, md5(substring(text, g * 450 + 1, 512)) AS digest FROM (SELECT doc_id, text, unnest(range(CASE WHEN length(text) <= 512 THEN 1 ELSE ((length(text) - 512 + 449) // 450) + 1 END)) AS g FROM documents WHERE length(text) > 0)""")
 def chunk_char_windows(spark, d):
     t = table(spark, d, "documents")
     return t.select("doc_id", F.posexplode(chunking.char_windows(F.col("text"), 512, 62)).alias("pos", "c")).select("doc_id", F.col("pos").cast("long").alias("chunk_index"), F.md5(F.col("c").cast("binary")).alias("digest"))
 
 
-@query("SELECT doc_id, sum(strlen(text))::BIGINT AS bytes, true AS within FROM documents WHERE length(text) > 0 GROUP BY doc_id")
-def chunk_simple(spark, d):
-    """The chunks of a text add up to it, and none is above its size."""
-    c = chunking.chunks(table(spark, d, "documents"), "simple", most=2048)
-    return c.groupBy("doc_id").agg(F.sum(F.octet_length("content")).alias("bytes"), (F.max(F.octet_length("content")) <= 2048).alias("within"))
-
-
-@query()
-def chunk_late_split(spark, d):
-    c = chunking.chunks(table(spark, d, "documents"), "simple", most=6000)
-    return chunking.late_split(c, 2048).select("doc_id", "chunk_id", "split_part", "original_chunk_id", F.octet_length("content").alias("bytes"))
-
-
-@query("SELECT conv_id, turn, role, text FROM conversations WHERE role = 'user'")
-def chat_filter_role(spark, d):
-    return table(spark, d, "conversations").where("role = 'user'").select("conv_id", "turn", "role", "text")
-
-
-@query("SELECT conv_id, turn, role FROM conversations QUALIFY row_number() OVER (PARTITION BY conv_id ORDER BY turn DESC) <= 2")
-def chat_tail(spark, d):
-    w = Window.partitionBy("conv_id").orderBy(F.desc("turn"))
-    return table(spark, d, "conversations").withColumn("n", F.row_number().over(w)).where("n <= 2").select("conv_id", "turn", "role")
-
-
-@query("SELECT conv_id, turn FROM conversations WHERE contains(text, 'the ')")
-def chat_search(spark, d):
-    return table(spark, d, "conversations").where(F.contains("text", F.lit("the "))).select("conv_id", "turn")
-
-
-@query("SELECT conv_id, md5(string_agg('**' || role || '**: ' || text, chr(10) || chr(10) ORDER BY turn)) AS digest FROM conversations GROUP BY conv_id")
-def chat_format(spark, d):
-    c = table(spark, d, "conversations").groupBy("conv_id").agg(F.array_sort(F.collect_list(F.struct("turn", "role", "text"))).alias("m"))
-    text = F.array_join(F.transform("m", lambda x: F.concat(F.lit("**"), x["role"], F.lit("**: "), x["text"])), "\n\n")
-    return c.select("conv_id", F.md5(text.cast("binary")).alias("digest"))
-
-
-@query("SELECT event_id, (props->>'$.k')::BIGINT AS k FROM events")
-def json_fields(spark, d):
-    return table(spark, d, "events").select("event_id", F.try_variant_get(F.try_parse_json("props"), "$.k", "bigint").alias("k"))
-
-
-@query("SELECT unnest(json_keys(props)) AS key, count(*) AS n FROM events GROUP BY 1")
-def json_entries(spark, d):
-    return table(spark, d, "events").select(F.explode(F.json_object_keys("props")).alias("key")).groupBy("key").agg(F.count("*").alias("n"))
-
-
-@query("SELECT page_id, unnest(regexp_extract_all(html, '<a href=\"([^\"]*)\"', 1)) AS href FROM pages")
-def link_extract(spark, d):
-    return table(spark, d, "pages").select("page_id", F.explode(F.regexp_extract_all("html", F.lit('<a href="([^"]*)"'), F.lit(1))).alias("href"))
-
-
-@query("SELECT tag, count(*) AS n FROM (SELECT unnest(regexp_extract_all(html, '<([a-z][a-z0-9]*)[ >]', 1)) AS tag FROM pages) GROUP BY tag")
-def html_tag_counts(spark, d):
-    return table(spark, d, "pages").select(F.explode(F.regexp_extract_all("html", F.lit("<([a-z][a-z0-9]*)[ >]"), F.lit(1))).alias("tag")).groupBy("tag").agg(F.count("*").alias("n"))
-
-
 @query("SELECT page_id, regexp_extract(url, '^([a-z]+)://([^/]+)', 1) AS scheme, regexp_extract(url, '^([a-z]+)://([^/]+)', 2) AS host FROM pages")
 def regex_capture(spark, d):
     found = facets.path_metadata(F.col("url"), [r"^(?P<scheme>[a-z]+)://(?P<host>[^/]+)"])
     return table(spark, d, "pages").select("page_id", found["scheme"].alias("scheme"), found["host"].alias("host"))
 
 
-@query("SELECT doc_id, len(regexp_extract_all(text, '[0-9]+')) AS numbers FROM documents")
-def regex_scan(spark, d):
-    return table(spark, d, "documents").select("doc_id", F.size(F.regexp_extract_all("text", F.lit("[0-9]+"), F.lit(0))).cast("long").alias("numbers"))
-
-
-@query("SELECT page_id, unnest(string_split_regex(url, '[/:?&=]+')) AS part FROM pages")
-def regex_splits(spark, d):
-    return table(spark, d, "pages").select("page_id", F.explode(F.split("url", "[/:?&=]+", -1)).alias("part"))
-
-
-@query("SELECT doc_id, md5(regexp_replace(text, '[aeiou]+', '*', 'g')) AS digest FROM documents")
-def regex_gsub(spark, d):
-    return table(spark, d, "documents").select("doc_id", F.md5(F.regexp_replace("text", "[aeiou]+", "*").cast("binary")).alias("digest"))
-
-
-@query("SELECT lang, count(*) AS n, min(doc_id) AS first_id, max(n_chars) AS most FROM documents GROUP BY lang")
-def group_by_lang(spark, d):
-    return table(spark, d, "documents").groupBy("lang").agg(F.count("*").alias("n"), F.min("doc_id").alias("first_id"), F.max("n_chars").alias("most"))
-
-
-@query("SELECT doc_id, n_chars FROM documents ORDER BY n_chars DESC, doc_id LIMIT 25")
-def sort_topk(spark, d):
-    return table(spark, d, "documents").select("doc_id", "n_chars").orderBy(F.desc("n_chars"), "doc_id").limit(25)
-
-
 @query("SELECT source, lang, min(doc_id) AS doc_id FROM documents GROUP BY ALL")
 def unique_by(spark, d):
     return assembly.first_by(table(spark, d, "documents"), ["source", "lang"], ["doc_id"]).select("source", "lang", "doc_id")
 
 
-@query("SELECT DISTINCT page_id AS source, unnest(regexp_extract_all(html, 'href=\"(https?://[^\"/]+)', 1)) AS target FROM pages")
-def graph_edges(spark, d):
-    return table(spark, d, "pages").select(F.col("page_id").alias("source"), F.explode(F.regexp_extract_all("html", F.lit('href="(https?://[^"/]+)'), F.lit(1))).alias("target")).distinct()
-
-
 @query("SELECT event_id, 0 AS pos, props->'$.k' AS output FROM events")
 def jq_path(spark, d):
     return jq.query_table(table(spark, d, "events"), ".k", "event_id", "props").withColumn("pos", F.col("pos").cast("int"))
@@ -303,39 +135,6 @@ def jq_select(spark, d):
     return jq.query_table(table(spark, d, "events"), "select(.k % 10 == 3) | .k", "event_id", "props").select("event_id", "output")
 
 
-@query()
-def html_elements(spark, d):
-    p = table(spark, d, "pages").select("page_id", "html", F.lit("html").alias("kind"))
-    return element_table(p, "page_id", "html", "kind").select("doc", "elem_id", "parent_id", "depth", "name", "line_start", "line_end", F.md5(F.col("content").cast("binary")).alias("digest"))
-
-
-@query()
-def markdown_elements(spark, d):
-    p = table(spark, d, "documents").select("doc_id", "text", F.lit("markdown").alias("kind"))
-    return element_table(p, "doc_id", "text", "kind").groupBy("doc", "type").agg(F.count("*").alias("n"))
-
-
-@query("""SELECT page_id, CASE WHEN regexp_matches(lower(url), '[.]html?$') THEN 'html' WHEN regexp_matches(lower(url), '[.]json$') THEN 'json' ELSE 'other' END AS kind FROM pages""")
-def file_types(spark, d):
-    kind = detection.from_path(F.col("url"))
-    return table(spark, d, "pages").select("page_id", F.when(kind.isin("html", "json"), kind).otherwise("other").alias("kind"))
-
-
-@query("""WITH e AS (SELECT DISTINCT conv_id AS source, unnest(['user', 'assistant', 'system']) AS target FROM conversations),
- n AS (SELECT DISTINCT role AS id FROM conversations) SELECT source, target FROM e WHERE target IN (SELECT id FROM n)""")
-def architecture_prune(spark, d):
-    c = table(spark, d, "conversations")
-    edges = c.select(F.col("conv_id").alias("source"), F.explode(F.array(*[F.lit(x) for x in ("user", "assistant", "system")])).alias("target")).distinct()
-    return edges.join(c.select(F.col("role").alias("target")).distinct(), "target", "left_semi").select("source", "target")
-
-
-@query("""SELECT conv_id, turn, sha256(conv_id || '::' || turn) AS key, length(text) // 4 AS tokens FROM conversations""")
-def token_estimates(spark, d):
-    c = table(spark, d, "conversations")
-    key = F.sha2(F.concat_ws("::", F.col("conv_id").cast("string"), F.col("turn").cast("string")).cast("binary"), 256)
-    return c.select("conv_id", "turn", key.alias("key"), F.floor(F.length("text") / 4).cast("long").alias("tokens"))
-
-
-from . import queries_jq  # noqa: E402, F401  they register themselves
+from . import queries_jq, queries_texts  # noqa: E402, F401  they register themselves
 
 __all__ = ["ORACLES", "QUERIES"]
