@@ -5,6 +5,11 @@ Everything is a column expression, so filters and pruning reach the scan and a s
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -71,28 +76,66 @@ def search(points: DataFrame, query: list[float], k: int = 10, filters: dict[str
     return scored.where("score is not null").orderBy(F.desc("score"), id_col).limit(k)
 
 
-#: Queries that may be broadcast in one batch search; more are searched in blocks of this size.
-QUERY_BLOCK = 1024
+#: Queries that are broadcast in one pass over the points, as numbers of 8 bytes; more are searched in several passes.
+QUERY_BYTES = 32 << 20
+_STEP = 512  # queries that are scored at once
 
 
-def search_batch(points: DataFrame, queries: DataFrame, k: int = 10, id_col: str = "id", vector_col: str = "vector") -> DataFrame:
+def search_batch(points: DataFrame, queries: DataFrame, k: int = 10, id_col: str = "id", vector_col: str = "vector", query_bytes: int = QUERY_BYTES) -> DataFrame:
     """query_id, rank, id, score of the k points most like each of `queries` (query_id, query).
 
-    A block of `QUERY_BLOCK` queries is broadcast against all points; each partition keeps k per query before the shuffle.
+    Scores are products of matrices, a batch of points with all queries of a pass, rounded to 12 digits, so that equal vectors
+    tie; of a batch only what may be among the k best of a query goes on.  Vectors of other lengths than the query's, without
+    length or with a null have no score.  A pass brings `query_bytes` of queries to the driver at most.
     """
-    n = queries.count()
-    blocks = max(1, -(-n // QUERY_BLOCK))
+    size = queries.where("query is not null").agg(F.count("*"), F.max(F.size("query"))).first()
+    blocks = max(1, -(-(size[0] * (size[1] or 0) * 8) // query_bytes))
+    id_type, q_type = points.schema[id_col].dataType.simpleString(), queries.schema["query_id"].dataType.simpleString()
     w = Window.partitionBy("query_id").orderBy(F.desc("score"), id_col)
     out = None
     for i in range(blocks):
         own = queries if blocks == 1 else queries.where(F.pmod(F.xxhash64("query_id"), F.lit(blocks)) == i)
-        pairs = points.select(id_col, vector_col).crossJoin(F.broadcast(own.select("query_id", "query")))
-        scored = pairs.select("query_id", F.col(id_col), cosine(F.col(vector_col), F.col("query")).alias("score")).where("score is not null")
-        top = scored.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k)
+        held = own.where("query is not null").select("query_id", F.col("query").cast("array<double>").alias("query")).toArrow()
+        shared = points.sparkSession.sparkContext.broadcast(_by_length(held.column("query"), held.column("query_id")))
+        found = points.select(id_col, F.col(vector_col).cast("array<double>")).mapInArrow(_scores(shared, k), f"query_id {q_type}, `{id_col}` {id_type}, score double")
+        top = found.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k)
         out = top if out is None else out.unionByName(top)
     return out.select("query_id", "rank", id_col, "score")
 
 
+def _by_length(vectors: pa.ChunkedArray, ids: pa.ChunkedArray) -> dict[int, tuple[np.ndarray, pa.Array]]:
+    """Unit vectors and their ids, by length; vectors that are null, hold a null or have no length are left out."""
+    vectors, ids = (x.combine_chunks() if isinstance(x, pa.ChunkedArray) else x for x in (vectors, ids))
+    lengths = pc.fill_null(pc.list_value_length(vectors), -1).to_numpy(zero_copy_only=False)
+    out = {}
+    for n in np.unique(lengths[lengths > 0]).tolist():
+        at = np.flatnonzero(lengths == n)
+        own = vectors.take(pa.array(at))
+        m = pc.fill_null(own.flatten(), float("nan")).to_numpy(zero_copy_only=False).reshape(-1, n)
+        norm = np.sqrt((m * m).sum(1))
+        ok = norm > 0
+        out[n] = (m[ok] / norm[ok, None], ids.take(pa.array(at[ok])))
+    return out
+
+
+def _scores(shared, k: int):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            points = _by_length(b.column(1), b.column(0))
+            for n, (queries, query_ids) in shared.value.items():
+                if n not in points or not len(points[n][0]):
+                    continue
+                vectors, ids = points[n]
+                most = min(k, len(vectors))
+                for i in range(0, len(queries), _STEP):
+                    s = np.round(queries[i : i + _STEP] @ vectors.T, 12)
+                    least = np.partition(s, -most, axis=1)[:, -most]
+                    row, col = np.nonzero(s >= least[:, None])
+                    yield pa.RecordBatch.from_arrays([query_ids.take(pa.array(row + i)), ids.take(pa.array(col)), pa.array(s[row, col])], ["query_id", b.schema.names[0], "score"])
+
+    return run
+
+
 def check_dimension(points: DataFrame, dim: int, vector_col: str = "vector") -> None:
     """Raise if `points` hold vectors of another length."""
     found = points.where(F.size(vector_col) != dim).select(F.size(vector_col).alias("n")).head(1)

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import hashlib
 import json
 import uuid
 from collections.abc import Callable, Iterator
@@ -9,6 +10,7 @@ from dataclasses import dataclass, field
 
 import pandas as pd
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
 URL_NAMESPACE = uuid.NAMESPACE_URL
 
@@ -106,7 +108,7 @@ def chunks_of(elements: list[Element], doc: str, least_cover: float = 0.9) -> li
             if e.children and covered > least_cover * len(e.content.encode()) and not spared:
                 continue
             where = "::".join((*trail, e.name or e.type))
-            digest = __import__("hashlib").sha256(e.content.encode()).hexdigest()
+            digest = hashlib.sha256(e.content.encode()).hexdigest()
             out.append({"id": str(uuid.uuid5(URL_NAMESPACE, f"{doc}::{where}::{digest}")), "content": e.content, "crumbtrail": where, "type": e.type, "line_start": e.line_start, "line_end": e.line_end, "intent": e.attributes.get("docstring"), "visibility": e.attributes.get("visibility")})
     return out
 
@@ -139,3 +141,74 @@ def element_table(docs: DataFrame, id_col: str, text_col: str, type_col: str) ->
 
 def _frame(rows: list, names: list[str]) -> pd.DataFrame:
     return pd.DataFrame(rows, columns=names).astype({"parent_id": "Int32"})
+
+
+def unified_table(docs: DataFrame, id_col: str, text_col: str, type_col: str, path_col: str | None = None) -> DataFrame:
+    """id, json: the unified JSON of every document, which jq queries take; a null text is empty."""
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in batches:
+            paths = pdf[path_col] if path_col else [""] * len(pdf)
+            made = (json.dumps(convert(parse(t or "", k or "text"), k or "text", p or "", t or ""), ensure_ascii=False, default=str) for t, k, p in zip(pdf[text_col], pdf[type_col], paths))
+            yield pd.DataFrame({id_col: pdf[id_col], "json": list(made)})
+
+    cols = dict.fromkeys([id_col, text_col, type_col, *([path_col] if path_col else [])])
+    return docs.select(*cols).mapInPandas(run, f"`{id_col}` {dict(docs.dtypes)[id_col]}, json string")
+
+
+CHUNKS = "id string, content string, crumbtrail string, type string, line_start int, line_end int, intent string, visibility string"
+
+
+def chunk_table(docs: DataFrame, id_col: str, text_col: str, type_col: str) -> DataFrame:
+    """doc and the rows of `chunks_of` of every document."""
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        names = ["doc", *(x.split()[0] for x in CHUNKS.split(", "))]
+        for pdf in batches:
+            rows = [{"doc": doc, **c} for doc, t, k in zip(pdf[id_col], pdf[text_col], pdf[type_col]) for c in chunks_of(parse(t or "", k or "text"), str(doc))]
+            yield pd.DataFrame(rows, columns=names)
+
+    return docs.select(id_col, text_col, type_col).mapInPandas(run, f"doc {dict(docs.dtypes)[id_col]}, {CHUNKS}")
+
+
+def with_context(elements: DataFrame, docs: DataFrame, id_col: str, text_col: str, lines: int) -> DataFrame:
+    """`elements` (doc, line_start, line_end, …) with context_start, context_end and the text of those lines: `lines` more before
+    and after, as far as there are."""
+    all_ = F.split(F.col("__text"), "\n", -1)
+    total = F.size(all_) - F.when(F.endswith("__text", F.lit("\n")), 1).otherwise(0)
+    joined = elements.join(docs.select(F.col(id_col).alias("doc"), F.coalesce(text_col, F.lit("")).alias("__text")), "doc")
+    first, last = F.greatest(F.lit(1), F.col("line_start") - lines), F.least(total, F.col("line_end") + lines)
+    joined = joined.withColumn("context_start", first.cast("int")).withColumn("context_end", last.cast("int"))
+    shown = F.array_join(F.slice(all_, F.col("context_start"), F.greatest(F.lit(0), F.col("context_end") - F.col("context_start") + 1)), "\n")
+    return joined.withColumn("context", shown).drop("__text")
+
+
+USAGES = "symbol_name string, usage_type string, context string, scope string, content string, line_start int, line_end int"
+#: What the filters of usages keep.
+USAGE_FILTERS = {"all": None, "calls": ("function_call", "method_call"), "references": ("variable_reference", "type_reference"), "assignments": ("assignment",), "methods": ("method_call",)}
+
+
+def usage_table(docs: DataFrame, id_col: str, text_col: str, type_col: str, keep: str = "all") -> DataFrame:
+    """doc and each usage of a symbol in sources of Python, Rust and Go, as the filter `keep` admits; other types and sources
+    that can't be read have none."""
+    from .usages import usages_of
+
+    wanted = USAGE_FILTERS[keep]
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        names = ["doc", *(x.split()[0] for x in USAGES.split(", "))]
+        for pdf in batches:
+            rows = []
+            for doc, t, k in zip(pdf[id_col], pdf[text_col], pdf[type_col]):
+                for u in usages_of(t or "", k or ""):
+                    a = u.attributes
+                    if wanted is None or a["usage_type"] in wanted:
+                        rows.append((doc, a["symbol_name"], a["usage_type"], a["context"], a["scope"], u.content, u.line_start, u.line_end))
+            yield pd.DataFrame(rows, columns=names)
+
+    return docs.select(id_col, text_col, type_col).mapInPandas(run, f"doc {dict(docs.dtypes)[id_col]}, {USAGES}")
+
+
+def usage_counts(usages: DataFrame) -> DataFrame:
+    """usage_type, n, symbols: usages and distinct symbols of each type."""
+    return usages.groupBy("usage_type").agg(F.count("*").alias("n"), F.countDistinct("symbol_name").alias("symbols"))

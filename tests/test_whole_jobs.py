@@ -17,7 +17,7 @@ tables = pytest.mark.skipif(not os.path.isdir(D), reason="no test tables")
 
 
 @tables
-@pytest.mark.parametrize("name", ["stream_sort", "stream_sort_whole"])
+@pytest.mark.parametrize("name", ["stream_sort"])
 def test_no_single_task_sorts(spark, name):
     plan = QUERIES[name](spark, D)._jdf.queryExecution().toString()
     assert "SinglePartition" not in plan
@@ -25,7 +25,7 @@ def test_no_single_task_sorts(spark, name):
 
 @tables
 def test_every_event_has_a_position(spark):
-    got = [r.pos for r in QUERIES["stream_sort_whole"](spark, D).collect()]
+    got = [r.pos for r in QUERIES["stream_sort"](spark, D).collect()]
     n = duckdb.sql(f"SELECT count(*) FROM '{D}/events.parquet'").fetchall()[0][0]
     assert sorted(got) == list(range(1, n + 1))
 
@@ -42,14 +42,14 @@ def test_positions_with_ties_and_nulls(spark, parts):
 
 @tables
 def test_every_query_vector_is_searched(spark):
-    n = {r.query_id: r["count"] for r in QUERIES["knn_batch_whole"](spark, D).groupBy("query_id").count().collect()}
+    n = {r.query_id: r["count"] for r in QUERIES["knn_batch"](spark, D).groupBy("query_id").count().collect()}
     ids = duckdb.sql(f"SELECT vec_id FROM '{D}/embeddings.parquet' WHERE vec_id % 50 = 0").fetchall()
     assert n == {i: 5 for (i,) in ids}
 
 
 @tables
 def test_stored_points_are_a_whole_table(spark):
-    got = sorted(r.id for r in QUERIES["points_exists_whole"](spark, D).collect())
+    got = sorted(r.id for r in QUERIES["points_exists"](spark, D).collect())
     both = duckdb.sql(f"SELECT doc_id FROM '{D}/labels.parquet' INTERSECT SELECT doc_id FROM '{D}/documents.parquet' ORDER BY 1").fetchall()
     assert got == [i for (i,) in both] and 0 < len(got) < spark.read.parquet(f"{D}/documents.parquet").count()
 
