@@ -76,6 +76,19 @@ def search(points: DataFrame, query: list[float], k: int = 10, filters: dict[str
     return scored.where("score is not null").orderBy(F.desc("score"), id_col).limit(k)
 
 
+def search_quantized(points: DataFrame, query: list[float], k: int = 10, kind: str = "scalar", oversample: int = 4, filters: dict[str, object] | None = None, id_col: str = "id", vector_col: str = "vector", quantized_col: str = "quantized") -> DataFrame:
+    """Like `search`: `oversample` * k points by their quantised vectors, of which the k best by the vectors themselves.
+
+    Points without a quantised vector, such as those upserted since it was written, are quantised here.
+    """
+    make = {"scalar": quantize_int8, "binary": quantize_binary}[kind]
+    own = make(F.col(vector_col))
+    stored = F.coalesce(quantized_col, own) if quantized_col in points.columns else own
+    rough = cosine(stored, make(literal(query))) if kind == "scalar" else -hamming(stored, make(literal(query)))
+    near = points.where(equals(filters)).withColumn("__rough", rough).where("__rough is not null").orderBy(F.desc("__rough"), id_col).limit(oversample * k).drop("__rough")
+    return search(near, query, k, None, id_col, vector_col)
+
+
 #: Queries that are broadcast in one pass over the points, as numbers of 8 bytes; more are searched in several passes.
 QUERY_BYTES = 32 << 20
 _STEP = 512  # queries that are scored at once

@@ -166,3 +166,56 @@ def stitch_pairs(spark, d):
     both = c.select("conv_id", "turn", F.lit(0).alias("n"), "text").unionByName(c.select("conv_id", "turn", F.lit(1).alias("n"), tail.alias("text")))
     out = assembly.stitch(both, ["conv_id", "turn"], ["n"], "text").groupBy("conv_id").agg(F.array_sort(F.collect_list(F.struct("turn", "text"))).alias("x"))
     return out.select("conv_id", F.md5(F.array_join(F.transform("x", lambda x: x["text"]), "|").cast("binary")).alias("digest"), F.size("x").cast("long").alias("n"))
+
+
+_TOP = f"SELECT e.vec_id, round({_COS}, 6) AS score FROM embeddings e, embeddings q WHERE q.vec_id = 0 ORDER BY {_COS} DESC, e.vec_id LIMIT 10"
+
+
+@query(_TOP)
+def knn_rescored(spark, d):
+    """By int8 vectors, rescored by the vectors themselves: with four times as many candidates, the exact result."""
+    p = table(spark, d, "embeddings")
+    first = p.where("vec_id = 0").select("embedding").first()[0]
+    return vector.search_quantized(p, first, 10, "scalar", 4, None, "vec_id", "embedding").select("vec_id", F.round("score", 6).alias("score"))
+
+
+def _store(spark) -> catalog.Store:
+    """A store in the shared folder; one of the machine's own where that is unset and the master is local."""
+    import tempfile
+    import uuid
+
+    folder = spark.conf.get("spark.checkpoint.dir", None)
+    if not folder and not spark.sparkContext.master.startswith("local"):
+        raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
+    return catalog.Store(spark, f"{folder or 'file://' + tempfile.mkdtemp(prefix='strataq-')}/store-{uuid.uuid4().hex}")
+
+
+@query("""WITH l AS (SELECT user_id AS id, event_id, event_type, ts::DATE AS day FROM events), c AS (SELECT count(DISTINCT id) AS n FROM l)
+ SELECT id, event_type, event_id FROM l QUALIFY row_number() OVER (PARTITION BY id ORDER BY event_id DESC) = 1""")
+def catalog_upserts(spark, d):
+    """All events, user by user, in three upserts by time and a compaction."""
+    s = _store(spark)
+    s.create("events", 2)
+    e = table(spark, d, "events").select(F.col("user_id").alias("id"), "event_type", "event_id", F.array(F.lit(1.0), F.lit(0.0)).alias("vector"))
+    n = e.agg(F.max("event_id")).first()[0] or 0
+    for i in range(3):
+        s.upsert("events", e.where((F.col("event_id") * 3 >= n * i) & ((F.col("event_id") * 3 < n * (i + 1)) | F.lit(i == 2))), order="event_id")
+    s.compact("events")
+    return s.points("events").select("id", "event_type", "event_id")
+
+
+@query("""SELECT 'points' AS name, count(*) AS count, max(len(embedding))::INT AS dim, 'scalar' AS quantization, floor(count(*) * max(len(embedding)) * 1.2)::BIGINT AS bytes, true AS is_compatible FROM embeddings
+ UNION ALL SELECT 'empty', 0, 3, 'none', 0, false""")
+def catalog_status(spark, d):
+    """Collections with their figures; one is quantised and restored from a snapshot."""
+    p = table(spark, d, "embeddings").select(F.col("vec_id").alias("id"), F.col("embedding").alias("vector"))
+    s = _store(spark)
+    s.create("points", p.select(F.max(F.size("vector"))).first()[0])
+    s.create("empty", 3)
+    s.upsert("points", p)
+    label = s.snapshot("points")
+    s.set_quantization("points", "scalar")
+    s.optimize("points")
+    s.upsert("points", p.limit(5).withColumn("id", -F.col("id") - 1))
+    s.restore("points", label)
+    return s.status(p.select(F.max(F.size("vector"))).first()[0])

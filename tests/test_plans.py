@@ -22,6 +22,7 @@ def test_ingest_is_incremental(spark, tmp_path):
     o = ingest.Options(path_rules=[r"(?P<year>\d{4})/.*"])
     first = lib.ingest(str(src), "c", o)
     assert first["seen"] == first["processed"] == 2 and first["chunks"] >= 4
+    assert lib.store.snapshot("c", "first") == "first" == lib.store.snapshots("c")[0]
     assert lib.ingest(str(src), "c", o) == {"seen": 2, "processed": 0, "chunks": 0}
     time.sleep(1.1)
     (src / "a.py").write_text("def add(a, b):\n    return a + b\n\ndef linux():\n    pass\n")
@@ -37,7 +38,7 @@ def test_ingest_is_incremental(spark, tmp_path):
     assert "# Question" in ingest.assemble_context(lib.search("cats", "c"), "why?")
     with pytest.raises(PermissionError):
         lib.store.delete("c", "c")
-    lib.store.restore("c", lib.store.snapshots("c")[0])
+    lib.store.restore("c", "first")
     assert lib.store.points("c").count() == first["chunks"]
     lib.store.delete("c", "c-DELETE")
     assert not lib.store.exists("c")
