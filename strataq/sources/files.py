@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import json
 import os
+import re
 from collections.abc import Iterator
 
 import pandas as pd
@@ -125,12 +126,72 @@ def records(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.format("binaryFile").load(path).select("content").mapInPandas(run, "in_pos long, value string")
 
 
-def flatten_json(value, prefix: str = "", most: int = 100_000) -> list[str]:
-    """`path: value` lines of a JSON value; after `most` of them a mark that it was cut."""
+def segments(files: DataFrame, large: int = 50 << 20, size: int = 5 << 20, overlap: int = 512 << 10) -> DataFrame:
+    """`files` (…, content) with segment: -1 for a file of at most `large` bytes, else a row per `size` bytes, which begin `overlap`
+    bytes before the end of those before them."""
+    n = F.octet_length("content")
+    at = F.when(n > large, F.sequence(F.lit(0), F.greatest(F.lit(0), n - overlap - 1), F.lit(size - overlap))).otherwise(F.array(F.lit(-1)))
+    out = files.select("*", F.explode(at).alias("__at"))
+    out = out.withColumn("content", F.when(F.col("__at") < 0, F.col("content")).otherwise(F.substr("content", F.col("__at") + 1, F.lit(size))))
+    return out.withColumn("segment", F.when(F.col("__at") < 0, -1).otherwise((F.col("__at") / (size - overlap)).cast("int"))).drop("__at")
+
+
+def within_depth(files: DataFrame, depth: int | None) -> DataFrame:
+    """Files at most `depth` folders below the root: 0 is the root alone, None no bound."""
+    return files if depth is None else files.where(F.size(F.split("rel_path", "/")) <= depth + 1)
+
+
+def extension_counts(files: DataFrame, path_col: str = "path") -> DataFrame:
+    """extension, n of files by path; those without an extension don't count."""
+    return files.select(detection.extension(F.col(path_col)).alias("extension")).where("extension is not null").groupBy("extension").agg(F.count("*").alias("n"))
+
+
+def dominant_language(files: DataFrame, path_col: str = "path") -> DataFrame:
+    """language, n: the type of most files, ties by name; no row where no type is known."""
+    found = files.select(detection.from_path(F.col(path_col)).alias("language")).where("language <> 'unknown'")
+    return found.groupBy("language").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "language").limit(1)
+
+
+def lenient_json(text: str):
+    """A JSON value; failing that, one of JSON5: comments, trailing commas, bare keys, single quotes, signs, hexadecimals."""
+    try:
+        return json.loads(text)
+    except ValueError:
+        pass
+    out, at = [], 0
+    for m in _JSON5.finditer(text):
+        out.append(text[at : m.start()])
+        at = m.end()
+        if m["comment"] or m["comma"]:
+            continue
+        if m["single"]:
+            out.append(json.dumps(re.sub(r"\\(['\n])", lambda x: "" if x[1] == "\n" else x[1], m["single"][1:-1])))
+        elif m["hex"]:
+            out.append(str(int(m["hex"], 16)))
+        elif m["key"]:
+            out.append(json.dumps(m["key"]) + m["colon"])
+        elif m["point"]:
+            out.append(f"{m['sign'] or ''}0{m['point']}".replace("+", ""))
+        elif m["plus"]:
+            out.append(m["plus"][1:])
+        else:
+            out.append(m["double"])
+    return json.loads("".join([*out, text[at:]]))
+
+
+_JSON5 = re.compile(
+    r"""(?P<double>"(?:\\.|[^"\\])*")|(?P<single>'(?:\\.|[^'\\])*')|(?P<comment>//[^\n]*|/\*.*?\*/)|(?P<comma>,(?=(?:\s|//[^\n]*|/\*.*?\*/)*[}\]]))"""
+    r"""|(?P<key>[A-Za-z_$][\w$]*)(?P<colon>\s*:)|(?P<hex>0[xX][0-9a-fA-F]+)|(?P<sign>[+-])?(?<![\d.])(?P<point>\.\d+)|(?P<plus>\+\d)""",
+    re.S,
+)
+
+
+def flatten_json(value, prefix: str = "", most: int | None = 100_000) -> list[str]:
+    """`path: value` lines of a JSON value; after `most` of them, if that is given, a mark that it was cut."""
     out: list[str] = []
 
     def go(v, at: str) -> bool:
-        if len(out) >= most:
+        if most is not None and len(out) >= most:
             return False
         if isinstance(v, dict):
             return all(go(v[k], f"{at}.{k}" if at else k) for k in sorted(v))
@@ -156,7 +217,7 @@ def pack_lines(lines: list[str], size: int) -> list[str]:
     return [*out, "\n".join(held)] if held else out
 
 
-def flatten_yaml(text: str, most: int = 100_000) -> list[str]:
+def flatten_yaml(text: str, most: int | None = 100_000) -> list[str]:
     """`path: value` lines of a YAML text; of several documents each has the prefix `doc[i]`."""
     try:
         import yaml
