@@ -3,8 +3,11 @@
 from __future__ import annotations
 
 import hashlib
+import json
 import math
 import re
+import urllib.error
+import urllib.request
 from collections.abc import Iterator
 from typing import Protocol
 
@@ -50,6 +53,46 @@ class Hashed:
         return out
 
 
+class Http:
+    """Vectors of a server that takes {model, input: [texts]} and gives {embeddings: [...]} or {data: [{embedding}]}.
+
+    A text that is refused alone is an error; a batch that is refused is sent text by text.
+    """
+
+    def __init__(self, url: str, model: str, dimension: int, batch: int = 8, timeout: float = 60.0, key: str | None = None):
+        self.url, self.model_name, self.dimension, self.batch, self.timeout, self.key = url, model, dimension, batch, timeout, key
+
+    def _ask(self, texts: list[str]) -> list[list[float]]:
+        head = {"Content-Type": "application/json"} | ({"Authorization": f"Bearer {self.key}"} if self.key else {})
+        request = urllib.request.Request(self.url, json.dumps({"model": self.model_name, "input": texts}).encode(), head)
+        with urllib.request.urlopen(request, timeout=self.timeout) as r:
+            got = json.load(r)
+        out = got["embeddings"] if "embeddings" in got else [x["embedding"] for x in got["data"]]
+        if len(out) != len(texts):
+            raise ValueError(f"{len(out)} vectors for {len(texts)} texts")
+        return out
+
+    def embed_batch(self, texts: list[str]) -> list[list[float]]:
+        out: list[list[float]] = []
+        for i in range(0, len(texts), self.batch):
+            part = texts[i : i + self.batch]
+            try:
+                out += self._ask(part)
+            except urllib.error.HTTPError:
+                if len(part) == 1:
+                    raise
+                for t in part:
+                    out += self._ask([t])
+        return out
+
+
+def probe(embedder: Embedder) -> None:
+    """Embed one text, and raise if the vector is not as long as the embedder says."""
+    (v,) = embedder.embed_batch(["probe"])
+    if len(v) != embedder.dimension:
+        raise ValueError(f"{embedder.model_name} gives {len(v)} numbers, not {embedder.dimension}")
+
+
 def embed(df: DataFrame, embedder: Embedder, text_col: str = "content", vector_col: str = "vector", dim: int | None = None, batch: int = 64) -> DataFrame:
     """`df` with a vector per text (null text: null), truncated to `dim`; the embedder is made once per Python worker."""
 

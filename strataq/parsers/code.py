@@ -234,7 +234,7 @@ def cuda(source: str) -> list[Element]:
 
 _GO = [
     ("package", re.compile(r"^package\s+(\w+)", re.M), False), ("function", re.compile(r"^func\s+(\([^)]*\)\s*)?(\w+)", re.M), True), ("type", re.compile(r"^type\s+(\w+)\s+(struct|interface)\b", re.M), True),
-    ("import", re.compile(r"^import\s+(\([^)]*\)|[^\n]+)", re.M), False),
+    ("import", re.compile(r"^import\b[ \t]*(\([^)]*\)|[^\n]*)", re.M), False),
 ]
 
 

@@ -94,10 +94,11 @@ def convert(elements: list[Element], file_type: str, path: str = "", text: str =
     return out
 
 
-def chunks_of(elements: list[Element], doc: str, least_cover: float = 0.9) -> list[dict]:
-    """Rows to embed: content with its trail and visibility, `intent` from the comment, id by content.
+def chunks_of(elements: list[Element], doc: str, least_cover: float | None = 0.9, by_line: bool = False) -> list[dict]:
+    """Rows to embed: content with its trail and visibility, `intent` from the comment, id by content, or with `by_line` by the
+    first line and trail.
 
-    Containers that their children cover by more than `least_cover` go, unless they are documented or a function, class,
+    Without `least_cover` all elements stay.  Containers that their children cover by more than `least_cover` go, unless they are documented or a function, class,
     struct, interface or trait.
     """
     out = []
@@ -105,11 +106,11 @@ def chunks_of(elements: list[Element], doc: str, least_cover: float = 0.9) -> li
         for e, _, trail in top.walk():
             covered = sum(len(c.content.encode()) for c in e.children)
             spared = e.type in ("function", "method", "class", "struct", "interface", "trait") or e.attributes.get("docstring")
-            if e.children and covered > least_cover * len(e.content.encode()) and not spared:
+            if least_cover is not None and e.children and covered > least_cover * len(e.content.encode()) and not spared:
                 continue
             where = "::".join((*trail, e.name or e.type))
-            digest = hashlib.sha256(e.content.encode()).hexdigest()
-            out.append({"id": str(uuid.uuid5(URL_NAMESPACE, f"{doc}::{where}::{digest}")), "content": e.content, "crumbtrail": where, "type": e.type, "line_start": e.line_start, "line_end": e.line_end, "intent": e.attributes.get("docstring"), "visibility": e.attributes.get("visibility")})
+            key = f"{doc}::{e.line_start}::{where}" if by_line else f"{doc}::{where}::{hashlib.sha256(e.content.encode()).hexdigest()}"
+            out.append({"id": str(uuid.uuid5(URL_NAMESPACE, key)), "content": e.content, "crumbtrail": where, "type": e.type, "line_start": e.line_start, "line_end": e.line_end, "intent": e.attributes.get("docstring"), "visibility": e.attributes.get("visibility")})
     return out
 
 
