@@ -116,6 +116,11 @@ def line_diff(before: str, after: str) -> tuple[str, float, float]:
     return "\n".join(text), 1 - kept / n if a else 0.0, kept / n
 
 
+def load_snapshots(records: DataFrame, files: DataFrame) -> DataFrame:
+    """path, content, in_pos of `records` (path, in_pos) with the text of `files` (path, content); a missing file is empty."""
+    return records.join(files.select("path", F.col("content").cast("string").alias("__text")), "path", "left").select("path", F.coalesce("__text", F.lit("")).alias("content"), "in_pos")
+
+
 def versions(snapshots: DataFrame) -> DataFrame:
     """artifact, version, content of `snapshots` (path, content, in_pos): `name.resolved.N` is version N of `name`, any
     other path version 0; of one version the last row counts."""

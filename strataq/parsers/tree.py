@@ -160,13 +160,13 @@ def unified_table(docs: DataFrame, id_col: str, text_col: str, type_col: str, pa
 CHUNKS = "id string, content string, crumbtrail string, type string, line_start int, line_end int, intent string, visibility string"
 
 
-def chunk_table(docs: DataFrame, id_col: str, text_col: str, type_col: str) -> DataFrame:
+def chunk_table(docs: DataFrame, id_col: str, text_col: str, type_col: str, least_cover: float | None = 0.9, by_line: bool = False) -> DataFrame:
     """doc and the rows of `chunks_of` of every document."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         names = ["doc", *(x.split()[0] for x in CHUNKS.split(", "))]
         for pdf in batches:
-            rows = [{"doc": doc, **c} for doc, t, k in zip(pdf[id_col], pdf[text_col], pdf[type_col]) for c in chunks_of(parse(t or "", k or "text"), str(doc))]
+            rows = [{"doc": doc, **c} for doc, t, k in zip(pdf[id_col], pdf[text_col], pdf[type_col]) for c in chunks_of(parse(t or "", k or "text"), str(doc), least_cover, by_line)]
             yield pd.DataFrame(rows, columns=names)
 
     return docs.select(id_col, text_col, type_col).mapInPandas(run, f"doc {dict(docs.dtypes)[id_col]}, {CHUNKS}")

@@ -135,6 +135,6 @@ def jq_select(spark, d):
     return jq.query_table(table(spark, d, "events"), "select(.k % 10 == 3) | .k", "event_id", "props").select("event_id", "output")
 
 
-from . import queries_jq, queries_texts, queries_trees  # noqa: E402, F401  they register themselves
+from . import queries_files, queries_jq, queries_texts, queries_trees  # noqa: E402, F401  they register themselves
 
 __all__ = ["ORACLES", "QUERIES"]

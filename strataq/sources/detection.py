@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import re
 
+import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -47,14 +48,28 @@ def content_scores(text: Column) -> dict[str, Column]:
     return out
 
 
-def detect(path: Column, text: Column) -> Column:
-    """struct(file_type, confidence): the surest of extension (.9), shebang (.8) and content (.6 * score); `unknown` below
-    `LEAST`.  On equal confidence content comes before shebang, and that before extension."""
+#: Media types and the file types they stand for.
+MIMES = {
+    "text/x-rust": "rust", "text/x-python": "python", "text/x-script.python": "python", "text/markdown": "markdown", "text/x-c": "c", "text/x-c++": "cpp", "text/x-go": "go", "text/x-shellscript": "bash",
+    "application/x-sh": "bash", "text/plain": "text", "application/toml": "toml", "text/html": "html", "application/xhtml+xml": "html", "text/xml": "html", "application/json": "json",
+}
+
+
+def detect(path: Column, text: Column, mime: Column | None = None, custom: dict[str, str] | None = None) -> Column:
+    """struct(file_type, confidence): the surest of a `custom` extension (1), extension (.9), shebang (.8), media type (.7) and
+    content (.6 * score); `unknown` below `LEAST`.  On equal confidence content comes before shebang, and that before extension."""
     ext = from_path(path)
     shebang = F.regexp_extract(text, r"^#!\s*\S*?/?(?:env\s+)?(python|bash|sh)[\d.]*\b", 1)
     found = F.try_element_at(F.create_map(*[F.lit(x) for kv in SHEBANGS.items() for x in kv]), shebang)
     candidates = [F.struct(F.when(ext != "unknown", 0.9).otherwise(0.0).alias("confidence"), F.lit(0).alias("rank"), ext.alias("file_type"))]
     candidates.append(F.struct(F.when(found.isNotNull(), 0.8).otherwise(0.0).alias("confidence"), F.lit(1).alias("rank"), F.coalesce(found, F.lit("unknown")).alias("file_type")))
+    if mime is not None:
+        kinds = F.create_map(*[F.lit(x) for kv in MIMES.items() for x in kv])
+        known = F.try_element_at(kinds, F.trim(F.split(F.lower(mime), ";", 2)[0]))
+        candidates.append(F.struct(F.when(known.isNotNull(), 0.7).otherwise(0.0).alias("confidence"), F.lit(-1).alias("rank"), F.coalesce(known, F.lit("unknown")).alias("file_type")))
+    if custom:
+        own = F.try_element_at(F.create_map(*[F.lit(x) for kv in custom.items() for x in kv]), extension(path))
+        candidates.append(F.struct(F.when(own.isNotNull(), 1.0).otherwise(0.0).alias("confidence"), F.lit(9).alias("rank"), F.coalesce(own, F.lit("unknown")).alias("file_type")))
     for k, (lang, score) in enumerate(content_scores(text).items()):
         candidates.append(F.struct((F.coalesce(score, F.lit(0.0)) * 0.6).alias("confidence"), F.lit(2 + k).alias("rank"), F.lit(lang).alias("file_type")))
     best = F.array_max(F.array(*candidates))
@@ -67,6 +82,16 @@ def is_binary(content: Column) -> Column:
     return F.contains(F.hex(F.substring(content, 1, 8192)).cast("string"), F.lit("00")) & F.regexp_like(F.hex(F.substring(content, 1, 8192)), F.lit("^(?:..)*?00"))
 
 
+def is_likely_text(content: Column) -> Column:
+    """`likely_text` of a binary column; only the first KiB goes to Python."""
+
+    @F.pandas_udf("boolean")
+    def run(heads: pd.Series) -> pd.Series:
+        return heads.map(lambda x: likely_text(bytes(x or b"")))
+
+    return run(F.substring(content, 1, 1024))
+
+
 def likely_text(content: bytes) -> bool:
     """No zero byte and over 85 % printable among the first 1 KiB; nothing is text."""
     head = content[:1024]

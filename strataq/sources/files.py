@@ -238,3 +238,27 @@ def json_items(docs: DataFrame, id_col: str, json_col: str) -> DataFrame:
     items = F.from_json(F.col(json_col), "array<string>")
     out = docs.where(F.regexp_like(F.col(json_col), F.lit(r"^\s*\["))).select(id_col, F.posexplode(items).alias("stream_index", "item"))
     return out.withColumn("timestamp", F.coalesce(*[F.get_json_object("item", f"$.{k}") for k in ("timestamp", "time", "created_at")]))
+
+
+def values(spark: SparkSession, path: str) -> DataFrame:
+    """in_pos, value (JSON text) of files with one value a line, which are split among tasks; bad lines are left out."""
+    lines = spark.read.text(path).where(F.try_parse_json("value").isNotNull())
+    return lines.select(F.monotonically_increasing_id().alias("in_pos"), "value")
+
+
+def flat_table(docs: DataFrame, id_col: str, text_col: str, kind: str = "json", size: int | None = None, most: int | None = None) -> DataFrame:
+    """id, pos, line of the `path: value` lines of JSON or YAML texts, or with `size` their blocks; bad texts have none."""
+    lines = {"json": lambda t: flatten_json(lenient_json(t), "", most), "yaml": lambda t: flatten_yaml(t, most)}[kind]
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in batches:
+            rows = []
+            for key, text in zip(pdf[id_col], pdf[text_col]):
+                try:
+                    found = lines(text) if isinstance(text, str) else []
+                except ValueError:
+                    continue
+                rows += [(key, i, x) for i, x in enumerate(pack_lines(found, size) if size else found)]
+            yield pd.DataFrame(rows, columns=[id_col, "pos", "line"])
+
+    return docs.select(id_col, text_col).mapInPandas(run, f"`{id_col}` {dict(docs.dtypes)[id_col]}, pos int, line string")
