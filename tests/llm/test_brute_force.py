@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 
 
 
-from strataq.llm import hamming, language, line_dedup, minhash, mixing, packing, token_io, warc
+from strataq.llm import hamming, language, line_dedup, minhash, mixing, packing, quality, token_io, warc
 from strataq.llm.common import Scratch
 
 SENTENCES = {
@@ -359,3 +359,33 @@ def test_a_template_bucket_emits_true_links_only(spark):
     for i, j in got:
         x, y = (set(minhash.shingles(text[k].encode()).tolist()) for k in (i, j))
         assert 100 * len(x & y) >= 85 * len(x | y)
+
+
+def test_quality_equals_a_dense_fit(spark):
+    """Ridge on all rows at once, and the rising fit by its min-max formula, in place of sums by partition and pooling."""
+    rng = np.random.RandomState(5)
+    x = rng.normal(size=(600, quality.STATS)) * rng.uniform(0.1, 9, quality.STATS) + rng.uniform(-3, 3, quality.STATS)
+    y = (x[:, 0] / 4 + np.sin(x[:, 1]) + rng.normal(size=600) > 0).astype(float)
+    calibrate = np.arange(600) % 3 == 0
+    rows = [(i, [float(v) for v in x[i]], float(y[i]), bool(calibrate[i])) for i in range(600)]
+    d = spark.createDataFrame(rows, "id long, x array<double>, y double, calibrate boolean").repartition(5)
+    model = quality.fit(d.select("x", "y", "calibrate"))
+    z = np.clip((x - x.mean(0)) / x.std(0), -8, 8)
+    phi = np.concatenate([np.sqrt(2 / quality.FEATURES) * np.cos(z @ model.w + model.b), np.ones((600, 1))], 1)
+    own = phi[~calibrate]
+    beta = np.linalg.solve(own.T @ own + 1e-3 * len(own) / quality.FEATURES * np.eye(own.shape[1]), own.T @ y[~calibrate])
+    assert np.allclose(model.beta, beta, atol=1e-6)
+    raw, kernel = phi @ beta, np.exp(-((z[:, None] - z[None]) ** 2).sum(2) / (2 * 3.0**2))
+    assert np.abs(phi[:, :-1] @ phi[:, :-1].T - kernel).mean() < 0.07
+    bins = np.clip((raw + 0.5) * quality.BINS / 2, 0, quality.BINS - 1).astype(int)
+    ks = np.unique(bins[calibrate])
+    n = np.array([(bins[calibrate] == k).sum() for k in ks], float)
+    p = np.array([y[calibrate][bins[calibrate] == k].sum() for k in ks])
+    cn, cp = np.concatenate([[0], np.cumsum(n)]), np.concatenate([[0], np.cumsum(p)])
+    rising = np.array([max(min((cp[b + 1] - cp[a]) / (cn[b + 1] - cn[a]) for b in range(i, len(ks))) for a in range(i + 1)) for i in range(len(ks))])
+    at = (ks + 0.5) * 2 / quality.BINS - 0.5
+    levels = np.unique(rising)
+    centre = [np.average(at[rising == v], weights=n[rising == v]) for v in levels]
+    want = np.clip(np.interp(raw, centre, levels), 0, 1)
+    got = {r.id: r.score for r in quality.score(d.select("id", "x"), model).collect()}
+    assert np.allclose([got[i] for i in range(600)], want, atol=1e-6)
