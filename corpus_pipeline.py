@@ -45,7 +45,7 @@ def mixed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     times = checkpoint(mixing.mix_sources(docs).select("doc_id", "source", "size", "times"))
     repeated = checkpoint(times.groupBy("doc_id").agg(F.count("*").alias("c")).where("c > 1").select(F.col("doc_id").alias("r")))
     some = not repeated.isEmpty()
-    key, nth, n = fresh(docs.columns, "key", "nth", "n_times")
+    key, nth, other, n = fresh(docs.columns, "key", "nth", "nth_of_mix", "n_times")
     # rows are numbered where ids repeat only, without their texts; all others are told apart by their id
     taken, own = times.where("times > 0"), docs
     on = F.col("doc_id").eqNullSafe(F.col(key))
@@ -57,8 +57,8 @@ def mixed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
         own = among(docs).withColumn(nth, F.row_number().over(Window.partitionBy("doc_id").orderBy(order[0], size, F.xxhash64("text"))))
         own = own.unionByName(docs.join(repeated.withColumnRenamed("r", key), on, "left_anti").withColumn(nth, F.lit(1)))
         taken = among(times).withColumn(nth, number).unionByName(times.join(repeated.withColumnRenamed("r", key), on, "left_anti").withColumn(nth, F.lit(1))).where("times > 0")
-        right = taken.select(F.col("doc_id").alias(key), F.col(nth).alias(f"{nth}_"), F.col("times").alias(n))
-        on = on & (F.col(nth) == F.col(f"{nth}_"))
+        right = taken.select(F.col("doc_id").alias(key), F.col(nth).alias(other), F.col("times").alias(n))
+        on = on & (F.col(nth) == F.col(other))
     else:
         right = taken.select(F.col("doc_id").alias(key), F.col("times").alias(n))
     out = own.join(right, on).withColumn(n, F.explode(F.sequence(F.lit(1).cast("long"), F.col(n))))
