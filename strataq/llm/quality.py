@@ -5,7 +5,9 @@ Fourier features approximate a Gaussian kernel over them.  Each partition sums i
 are combined by cell, and the driver solves one system of fixed size.  Scores of rows kept apart for it are counted in
 `BINS` bins, and pool-adjacent-violators turns those counts into a rising map from raw score to probability.
 
-`max_rows` bounds the labelled rows that are fitted on (a share of them by hash of the id); scoring covers all rows.
+`max_rows` bounds the labelled rows that are fitted on (a share of them by hash of the id); scoring covers all rows.  Rows that
+repeat an id are rows each, scored and, where labelled, learned from as often; a null id is scored like any other.  Other columns
+of the documents are ignored, whatever their names.
 """
 
 from __future__ import annotations
