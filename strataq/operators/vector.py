@@ -5,6 +5,7 @@ Everything is a column expression, so filters and pruning reach the scan and a s
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -41,8 +42,10 @@ def truncate(a: Column, dim: int) -> Column:
 
 def quantize_int8(a: Column) -> Column:
     """Numbers scaled by the largest magnitude to -127..127; a zero vector gives zeros."""
-    top = F.array_max(F.transform(a.cast("array<double>"), lambda x: F.abs(x)))
-    return F.transform(a.cast("array<double>"), lambda x: F.when(top > 0, F.floor(x * 127 / top + 0.5)).otherwise(0).cast("tinyint"))
+    a = a.cast("array<double>")
+    # the magnitude is bound as a variable, so it is found once per vector
+    scaled = lambda top: F.transform(a, lambda x: F.when(top > 0, F.floor(x * 127 / top + 0.5)).otherwise(0).cast("tinyint"))
+    return F.element_at(F.transform(F.array(F.array_max(F.transform(a, lambda x: F.abs(x)))), scaled), 1)
 
 
 def quantize_binary(a: Column) -> Column:
@@ -84,8 +87,11 @@ def search_quantized(points: DataFrame, query: list[float], k: int = 10, kind: s
     make = {"scalar": quantize_int8, "binary": quantize_binary}[kind]
     own = make(F.col(vector_col))
     stored = F.coalesce(quantized_col, own) if quantized_col in points.columns else own
-    rough = cosine(stored, make(literal(query))) if kind == "scalar" else -hamming(stored, make(literal(query)))
-    near = points.where(equals(filters)).withColumn("__rough", rough).where("__rough is not null").orderBy(F.desc("__rough"), id_col).limit(oversample * k).drop("__rough")
+    top = max((abs(x) for x in query), default=0.0) or 1.0
+    asked = literal([math.floor(x * 127 / top + 0.5) if kind == "scalar" else float(x > 0) for x in query])
+    # the direction of the query is fixed, so its length doesn't matter
+    rough = (lambda v: F.when(norm(v) > 0, dot(v, asked) / norm(v)))(F.col("__q")) if kind == "scalar" else -hamming(F.col("__q"), asked.cast("array<tinyint>"))
+    near = points.where(equals(filters)).withColumn("__q", stored).withColumn("__rough", rough).drop("__q").where("__rough is not null").orderBy(F.desc("__rough"), id_col).limit(oversample * k).drop("__rough")
     return search(near, query, k, None, id_col, vector_col)
 
 
