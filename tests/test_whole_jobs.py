@@ -8,7 +8,6 @@ import duckdb
 import pytest
 from pyspark.sql import functions as F
 
-from strataq.llm import warc
 from strataq.operators import assembly, catalog
 from strataq.queries import QUERIES
 
@@ -62,25 +61,3 @@ def test_upsert_merges_all_events_and_keeps_old_rows(spark, monkeypatch):
     old, new = calls[-1]
     kept = {r.user_id: r.event_id for r in old.join(new, "user_id", "left_anti").collect()}
     assert kept and all(got[u] == e for u, e in kept.items())
-
-
-CAPTURES = "record_id string, type string, url string, ts long, status int, headers map<string,string>"
-
-
-def test_revisits_and_responses_without_a_record_id(spark):
-    rows = [
-        (None, "response", "http://a/x", 10, 200, {"ETag": "1"}), (None, "revisit", "http://a/x", 20, 304, {"ETag": "1", "Age": "5"}), (None, "revisit", "http://a/x", 20, 304, {"ETag": "1", "Age": "5"}),
-        (None, "revisit", "http://a/x", 20, 304, {"ETag": "2"}), ("v", "revisit", "http://a/x", 30, 304, {"ETag": "1"}), (None, "revisit", "http://b/", 40, 304, None), (None, "revisit", None, None, 304, None),
-    ]
-    got = warc.resolve(spark.createDataFrame(rows, CAPTURES)).collect()
-    assert sorted((r.record_id or "", r.canonical or "", r.ts or 0, r.outcome, r.response_id) for r in got) == [
-        ("", "", 0, "no_response", None), ("", "a/x", 20, "mismatch", None), ("", "a/x", 20, "resolved", None), ("", "b", 40, "no_response", None), ("v", "a/x", 30, "resolved", None),
-    ]
-    assert {r.ts: r.headers for r in got if r.outcome == "resolved"} == {20: {"etag": "1", "age": "5"}, 30: {"etag": "1"}}
-
-
-def test_revisit_without_http_block(spark):
-    at = "http://netpreserve.org/warc/1.1/revisit/"
-    rows = [("r", "response", "http://a/x", 10, 200, {"ETag": "1"}, None), ("v", "revisit", "http://a/x", 20, None, {}, at + "server-not-modified"), ("i", "revisit", "http://a/x", 20, None, {}, at + "identical-payload-digest")]
-    got = warc.resolve(spark.createDataFrame(rows, CAPTURES + ", profile string")).collect()
-    assert [(r.record_id, r.outcome, r.response_id) for r in got] == [("v", "no_validator", "r")]
