@@ -9,8 +9,8 @@ whatever its script; a letter that no sample holds continues no phrase.  Parsing
 many segments advance in step; whole texts are parsed, whatever their length.
 
 The automata are stored sparsely, by row displacement: the edges of all states lie in one array, each state's row shifted so
-that rows interleave, with the owner of each cell beside it.  A sample of 30,000 characters takes about 0.9 MB, whatever the
-number of letters, so 200 languages take under 200 MB in a Python worker.
+that rows interleave, with the owner of each cell beside it.  A sample of 30,000 characters takes about 0.6 MB, whatever the
+number of letters, so 200 languages take about 120 MB in a Python worker.
 
 The sample: per language, whole texts in order of a hash of their rows, up to `MAX_ROWS` rows and `MAX_CHARS` characters in
 all.  A text above `MAX_CHARS` is passed over, unless its language has no shorter one: then its shortest text is the sample.
