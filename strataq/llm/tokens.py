@@ -23,6 +23,8 @@ WORD_BPE = "word_bpe_49k.json"
 END_ID = 1
 #: Texts are encoded in groups of about so many bytes; a longer text is a group of its own.
 GROUP_BYTES = 16 << 20
+#: Words of a group whose ids are gathered at a time, and texts of a call of the library: what lies beside the group's own arrays.
+STEP_WORDS, CALL_TEXTS = 1 << 18, 1 << 13
 
 _MARKS = "!\"#$%&()*+,-./:;<=>?@[\\]^_`{|}~"
 _PLAIN = r"^[A-Za-zÀ-ÖØ-öø-įı-ɏ]+$"  # Latin letters but for the one whose lower case is two characters
@@ -71,16 +73,22 @@ class Encoder:
 
     def _each(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
         """ids and their number for each text, by the library alone."""
-        ids = [x.ids for x in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
-        n = np.fromiter(map(len, ids), np.int64, len(ids))
-        return np.fromiter(chain.from_iterable(ids), self.dtype, int(n.sum())), n
+        flat, counts = [np.zeros(0, self.dtype)], [np.zeros(0, np.int64)]
+        for i in range(0, len(texts), CALL_TEXTS):
+            ids = [x.ids for x in self.tokenizer.encode_batch_fast(texts[i : i + CALL_TEXTS], add_special_tokens=False)]
+            n = np.fromiter(map(len, ids), np.int64, len(ids))
+            flat.append(np.fromiter(chain.from_iterable(ids), self.dtype, int(n.sum())))
+            counts.append(n)
+        return np.concatenate(flat), np.concatenate(counts)
 
     def _runs(self, runs: list[str], step: int = 200) -> tuple[np.ndarray, np.ndarray]:
         """ids and their number for each run of letters (for a spaced vocabulary, with the blank before it)."""
         groups = [runs[i : i + step] for i in range(0, len(runs), step)]
         between = " "
         flat, counts = [], []
-        for own, e in zip(groups, self.letters.encode_batch_fast([(between if self.spaced else "") + between.join(x) for x in groups], add_special_tokens=False)):
+        several = max(1, CALL_TEXTS // step)
+        calls = (groups[i : i + several] for i in range(0, len(groups), several))
+        for own, e in chain.from_iterable(zip(x, self.letters.encode_batch_fast([(between if self.spaced else "") + between.join(y) for y in x], add_special_tokens=False)) for x in calls):
             ids = np.array(e.ids, self.dtype)
             marked = np.flatnonzero(self.edge[ids])
             cuts = np.append(marked, len(ids)) if self.spaced else np.append(0, marked + 1)
@@ -140,22 +148,27 @@ class Encoder:
             fast = pc.if_else(pa.array(slow), "", fast)
         parts = pc.split_pattern(fast, " ")
         counts = pc.list_value_length(parts).to_numpy(zero_copy_only=False).astype(np.int64)
-        ends = np.cumsum(counts)
+        heads = np.cumsum(counts) - counts
         words = parts.flatten()
         coded = pc.dictionary_encode(words)
         ids, n = self._units(coded.dictionary)
         index = coded.indices.to_numpy(zero_copy_only=False)
-        starts = np.cumsum(n) - n
-        take, length = starts[index], n[index]
         if self.spaced and len(texts):  # the first unit of a text has no blank before it
-            heads = ends - counts
             head_ids, head_n = self._each(pc.take(words, pa.array(heads)).to_pylist())
-            take[heads], length[heads] = len(ids) + np.cumsum(head_n) - head_n, head_n
-            ids = np.concatenate([ids, head_ids])
-        flat = ids[_spread(length, take)]
-        total = np.cumsum(length)
-        cuts = np.concatenate([[0], total[ends - 1]]) if len(texts) else np.zeros(1, np.int64)
-        raw, width = flat.tobytes(), self.dtype.itemsize
+            index = index.copy()
+            index[heads] = len(n) + np.arange(len(texts))
+            ids, n = np.concatenate([ids, head_ids]), np.concatenate([n, head_n])
+        del fast, parts, words, coded
+        starts = np.cumsum(n) - n
+        flat = [np.zeros(0, self.dtype)]
+        for i in range(0, len(index), STEP_WORDS):
+            own = index[i : i + STEP_WORDS]
+            flat.append(ids[_spread(n[own], starts[own])])
+        total = np.add.reduceat(n.astype(np.int32)[index], heads, dtype=np.int64) if len(texts) else np.zeros(0, np.int64)
+        cuts = np.concatenate([[0], np.cumsum(total)])
+        del index
+        raw, width = np.concatenate(flat).tobytes(), self.dtype.itemsize
+        del flat
         for k in range(len(texts)):
             if slow[k]:
                 yield self._slow(texts[k].as_py())

@@ -4,13 +4,15 @@ from __future__ import annotations
 
 import random
 import re
+import tracemalloc
 from collections import Counter
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
-from strataq.llm import exact_dedup, hamming, language, line_dedup, minhash, mixing, packing, quality, token_io, warc
+from strataq.llm import exact_dedup, hamming, language, line_dedup, minhash, mixing, packing, quality, token_io, tokens, warc
 from strataq.llm.common import Scratch
 from strataq.llm.tokens import BYTE_BPE, WORD_BPE, Encoder
 
@@ -47,6 +49,30 @@ def test_encoder_equals_the_library(name):
     assert list(e.encode([None, ""])) == [b"", b""] and list(e.encode([])) == []
 
 
+@pytest.mark.parametrize("name", [BYTE_BPE, WORD_BPE])
+def test_encoder_in_small_steps_equals_the_library(name, texts, monkeypatch):
+    monkeypatch.setattr(tokens, "STEP_WORDS", 7)
+    monkeypatch.setattr(tokens, "CALL_TEXTS", 3)
+    e = Encoder(name)
+    some = [*texts[:-1], "a  b\tc " * 20, "naïve-Äö ... №5 <eos>, 語 語x " * 9, "one", ""]
+    got = [np.frombuffer(x, e.dtype).tolist() for x in e.encode(some)]
+    assert got == [e.tokenizer.encode(t or "", add_special_tokens=False).ids for t in some]
+
+
+@pytest.mark.parametrize("name", [BYTE_BPE, WORD_BPE])
+def test_encoder_holds_a_few_times_a_group(name):
+    e = Encoder(name)
+    text = "of it 12 be, " * 500 + "or"
+    column = pa.array([text] * 2400)
+    assert 15 << 20 > column.nbytes > 14 << 20  # one group
+    tracemalloc.start()  # counts arrays and bytes, not what Arrow and the library hold
+    n = sum(len(x) for x in e.encode(column))
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert n == 2400 * e.dtype.itemsize * len(e.tokenizer.encode(text, add_special_tokens=False).ids)
+    assert peak < 8 * column.nbytes
+
+
 def test_exact_dedup_with_collisions(spark, texts):
     rows = [(i, t, "s") for i, t in enumerate(texts)] + [(None, "lost", "s"), (3, texts[3], "s")]
     norm = lambda t: re.sub(r"[\x20\x09-\x0D]+", " ", t or "")
