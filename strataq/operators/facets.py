@@ -34,13 +34,23 @@ def route(query: str, points: DataFrame, keys: list[str], limit: int = 10_000) -
     return out
 
 
-def route_table(queries: DataFrame, points: DataFrame, key: str) -> DataFrame:
+def route_table(queries: DataFrame, points: DataFrame, key: str, most_bytes: int = 4 << 20) -> DataFrame:
     """query_id, value: `route` for many queries (query_id, query); words of the query are joined with the values, so a
-    value of several words is found by its first word."""
+    value of several words is found by its first word, and one without any word is held against every query.
+
+    Values of at most `most_bytes` together are sent to the tasks, which then drop words as they cut them.  More values meet the
+    words in a shuffle, to which the queries' texts don't go along; they come back to the pairs that are left.
+    """
     word = r"[^\p{L}\p{N}_]+"
-    v = values(points, key).select("value", F.element_at(F.filter(F.split(F.lower("value"), word), lambda x: x != ""), 1).alias("first")).where("first is not null")
-    q = queries.select("query_id", "query", F.explode(F.array_distinct(F.split(F.lower("query"), word))).alias("first"))
-    hit = q.join(v, "first").where(matches(F.col("query"), F.col("value")))
+    v = values(points, key).select("value", F.coalesce(F.get(F.filter(F.split(F.lower("value"), word), lambda x: x != ""), 0), F.lit("")).alias("first"))
+    words = F.explode(F.array_union(F.split(F.lower("query"), word), F.array(F.lit(""))))
+    if (v.agg(F.sum(F.octet_length("value") + 64)).first()[0] or 0) <= most_bytes:
+        hit = queries.select("query_id", "query", words.alias("first")).join(F.broadcast(v), "first")
+    else:
+        pair = queries.select("query_id", words.alias("first")).hint("merge").join(v, "first").select("query_id", "value").distinct()
+        pair = pair.withColumnRenamed("query_id", "__id")
+        hit = queries.select("query_id", "query").hint("merge").join(pair, F.col("query_id").eqNullSafe(F.col("__id")))
+    hit = hit.where(matches(F.col("query"), F.col("value")))
     return hit.groupBy("query_id").agg(F.min(F.struct((-F.length("value")).alias("n"), "value")).alias("b")).select("query_id", F.col("b.value").alias("value"))
 
 

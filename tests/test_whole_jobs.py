@@ -8,7 +8,7 @@ import duckdb
 import pytest
 from pyspark.sql import functions as F
 
-from strataq.operators import assembly, catalog
+from strataq.operators import assembly, catalog, facets
 from strataq.queries import QUERIES
 
 D = "/root/testdata/sf0.001"
@@ -61,3 +61,32 @@ def test_upsert_merges_all_events_and_keeps_old_rows(spark, monkeypatch):
     old, new = calls[-1]
     kept = {r.user_id: r.event_id for r in old.join(new, "user_id", "left_anti").collect()}
     assert kept and all(got[u] == e for u, e in kept.items())
+
+
+@tables
+def test_texts_of_routed_queries_stay_where_they_are(spark):
+    def sent(df) -> list[str]:
+        """What the plan moves between tasks or to the driver, a row as its columns' types."""
+        out, todo = [], [df._jdf.queryExecution().executedPlan().executedPlan()]
+        while todo:
+            p = todo.pop()
+            out += [p.schema().simpleString()] if "Exchange" in p.nodeName() else []
+            todo += [p.children().apply(i) for i in range(p.children().size())]
+        return out
+
+    plan = QUERIES["facet_route_table"](spark, D)
+    assert not any("query:" in x for x in sent(plan)), sent(plan)
+    c = spark.read.parquet(f"{D}/conversations.parquet")
+    q = c.select(F.struct("conv_id", "turn").alias("query_id"), F.concat("text", F.lit(" "), "role").alias("query"))
+    got = {(r.query_id, r.value) for r in facets.route_table(q, c, "role", most_bytes=0).collect()}
+    assert got == {((r.conv_id, r.turn), r.value) for r in plan.collect()}
+
+
+@pytest.mark.parametrize("most_bytes", [4 << 20, 0])
+def test_routing_many_queries_is_routing_each(spark, most_bytes):
+    p = spark.createDataFrame([(x,) for x in ("c", "c++", "Visual C++", "++", "windows", "win", None)], "lang string")
+    asked = ["How do I build C++ on Windows", "visual c++", "c", "x ++ y", "win++", "cat", "", None]
+    q = spark.createDataFrame([(i if i else None, x) for i, x in enumerate(asked)], "query_id long, query string")
+    got = {r.query_id or 0: r.value for r in facets.route_table(q, p, "lang", most_bytes).collect()}
+    want = {i: facets.route(x, p, ["lang"]).get("lang") for i, x in enumerate(asked) if x is not None}
+    assert got == {i: v for i, v in want.items() if v}
