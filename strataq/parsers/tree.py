@@ -9,6 +9,7 @@ from collections.abc import Callable, Iterator
 from dataclasses import dataclass, field
 
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -25,10 +26,15 @@ class Element:
     attributes: dict = field(default_factory=dict)
     children: list[Element] = field(default_factory=list)
 
-    def walk(self, depth: int = 0, trail: tuple[str, ...] = ()) -> Iterator[tuple[Element, int, tuple[str, ...]]]:
-        yield self, depth, trail
-        for c in self.children:
-            yield from c.walk(depth + 1, (*trail, self.name or self.type))
+    def walk(self) -> Iterator[tuple[Element, int, tuple[str, ...]]]:
+        """The element and all below it in reading order, with their depth and trail; trees may be of any depth."""
+        todo: list[tuple[Element, int, tuple[str, ...]]] = [(self, 0, ())]
+        while todo:
+            e, depth, trail = todo.pop()
+            yield e, depth, trail
+            if e.children:
+                inner = (*trail, e.name or e.type)
+                todo += [(c, depth + 1, inner) for c in reversed(e.children)]
 
 
 #: Field of the unified JSON per element type; * in REQUIRED: present even when empty.
@@ -84,13 +90,14 @@ def convert(elements: list[Element], file_type: str, path: str = "", text: str =
     out: dict = {"metadata": {"path": path, "file_type": file_type, "size": len(text.encode()), "line_count": len(text.splitlines())}}
     out |= {k: [] for k in (*REQUIRED.get(file_type, []), "elements", "file_type")}
 
-    def put(e: Element, trail: tuple[str, ...]) -> None:
-        for c in e.children:
-            put(c, (*trail, e.name or e.type))
-        out.setdefault(fields.get(e.type, e.type), []).append(_shown(e, trail, True))
-
-    for e in elements:
-        put(e, ())
+    todo: list[tuple[Element, tuple[str, ...], bool]] = [(e, (), False) for e in reversed(elements)]
+    while todo:
+        e, trail, over = todo.pop()
+        if e.children and not over:
+            inner = (*trail, e.name or e.type)
+            todo += [(e, trail, True), *((c, inner, False) for c in reversed(e.children))]
+        else:
+            out.setdefault(fields.get(e.type, e.type), []).append(_shown(e, trail, True))
     return out
 
 
@@ -115,33 +122,52 @@ def chunks_of(elements: list[Element], doc: str, least_cover: float | None = 0.9
 
 
 ELEMENTS = "elem_id int, parent_id int, depth int, ordinal int, path array<string>, type string, name string, content string, line_start int, line_end int, attributes string"
-
-
-def element_table(docs: DataFrame, id_col: str, text_col: str, type_col: str) -> DataFrame:
-    """The elements of every document as rows, numbered in reading order; attributes as JSON text."""
-
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        names = ["doc", *(x.split()[0] for x in ELEMENTS.split(", "))]
-        for pdf in batches:
-            rows = []
-            for doc, text, kind in zip(pdf[id_col], pdf[text_col], pdf[type_col]):
-                n = 0
-                stack: list[tuple[Element, int, tuple[str, ...], int, int | None]] = [(e, 0, (), i, None) for i, e in reversed(list(enumerate(parse(text or "", kind or "text"))))]
-                while stack:
-                    e, depth, trail, ordinal, parent = stack.pop()
-                    rows.append((doc, n, parent, depth, ordinal, [*trail, e.name or e.type], e.type, e.name, e.content, e.line_start, e.line_end, json.dumps(e.attributes, sort_keys=True)))
-                    stack += [(c, depth + 1, (*trail, e.name or e.type), i, n) for i, c in reversed(list(enumerate(e.children)))]
-                    n += 1
-                if len(rows) > 20_000:
-                    yield _frame(rows, names)
-                    rows = []
-            yield _frame(rows, names)
-
-    return docs.select(id_col, text_col, type_col).mapInPandas(run, f"doc {dict(docs.dtypes)[id_col]}, {ELEMENTS}")
-
-
-def _frame(rows: list, names: list[str]) -> pd.DataFrame:
-    return pd.DataFrame(rows, columns=names).astype({"parent_id": "Int32"})
+#: A column's Arrow type and its value for (element, number, parent's number, depth, ordinal, trail).
+_COLUMNS: dict[str, tuple[pa.DataType, Callable]] = {
+    "elem_id": (pa.int32(), lambda x: x[1]), "parent_id": (pa.int32(), lambda x: x[2]), "depth": (pa.int32(), lambda x: x[3]), "ordinal": (pa.int32(), lambda x: x[4]), "path": (pa.list_(pa.string()), lambda x: [*x[5], x[0].name or x[0].type]),
+    "type": (pa.string(), lambda x: x[0].type), "name": (pa.string(), lambda x: x[0].name), "content": (pa.string(), lambda x: x[0].content), "line_start": (pa.int32(), lambda x: x[0].line_start), "line_end": (pa.int32(), lambda x: x[0].line_end),
+    "attributes": (pa.string(), lambda x: json.dumps(x[0].attributes, sort_keys=True)),
+}
+BATCH_ROWS, BATCH_CHARS = 20_000, 4 << 20
+
+
+def _numbered(elements: list[Element], trails: bool) -> Iterator[tuple]:
+    """(element, number, parent's number, depth, ordinal, trail) in reading order."""
+    n, todo = 0, [(e, None, 0, i, ()) for i, e in reversed(list(enumerate(elements)))]
+    while todo:
+        e, parent, depth, ordinal, trail = todo.pop()
+        yield e, n, parent, depth, ordinal, trail
+        if e.children:
+            inner = (*trail, e.name or e.type) if trails else ()
+            todo += [(c, n, depth + 1, i, inner) for i, c in reversed(list(enumerate(e.children)))]
+        n += 1
+
+
+def element_table(docs: DataFrame, id_col: str, text_col: str, type_col: str, columns: list[str] | None = None) -> DataFrame:
+    """The elements of every document as rows, numbered in reading order; attributes as JSON text.  Of the columns beside doc
+    only those of `columns` are made, all of them without it."""
+    wanted = [c for c in _COLUMNS if columns is None or c in columns]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        kinds, makers = [_COLUMNS[c][0] for c in wanted], [_COLUMNS[c][1] for c in wanted]
+        sized = [i for i, c in enumerate(wanted) if c in ("content", "path")]
+        for batch in batches:
+            key = batch.schema.field(0).type
+            doc, made, chars = [], [[] for _ in wanted], 0
+            for k, text, kind in zip(*(c.to_pylist() for c in batch.columns)):
+                for x in _numbered(parse(text or "", kind or "text"), "path" in wanted):
+                    doc.append(k)
+                    for out, maker in zip(made, makers):
+                        out.append(maker(x))
+                    for i in sized:
+                        chars += len(made[i][-1])
+                    if len(doc) == BATCH_ROWS or chars > BATCH_CHARS:
+                        yield pa.RecordBatch.from_arrays([pa.array(doc, key), *map(pa.array, made, kinds)], names=["doc", *wanted])
+                        doc, made, chars = [], [[] for _ in wanted], 0
+            yield pa.RecordBatch.from_arrays([pa.array(doc, key), *map(pa.array, made, kinds)], names=["doc", *wanted])
+
+    kept = [x for x in ELEMENTS.split(", ") if x.split()[0] in wanted]
+    return docs.select(id_col, text_col, type_col).mapInArrow(run, ", ".join([f"doc {dict(docs.dtypes)[id_col]}", *kept]))
 
 
 def unified_table(docs: DataFrame, id_col: str, text_col: str, type_col: str, path_col: str | None = None) -> DataFrame:

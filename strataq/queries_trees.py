@@ -79,13 +79,13 @@ _TAG = "<([a-z][a-z0-9]*)(?:[ >])"
 def html_elements(spark, d):
     """Elements by name of every page."""
     p = table(spark, d, "pages").select("page_id", "html", F.lit("html").alias("kind"))
-    return element_table(p, "page_id", "html", "kind").groupBy("doc", "name").agg(F.count("*").alias("n"))
+    return element_table(p, "page_id", "html", "kind", ["name"]).groupBy("doc", "name").agg(F.count("*").alias("n"))
 
 
 @query("SELECT page_id AS doc, unnest(regexp_extract_all(html, '<a href=\"([^\"]*)\"', 1)) AS href FROM pages")
 def link_extract(spark, d):
     p = table(spark, d, "pages").select("page_id", "html", F.lit("html").alias("kind"))
-    return element_table(p, "page_id", "html", "kind").where("name = 'a'").select("doc", F.get_json_object("attributes", "$.href").alias("href"))
+    return element_table(p, "page_id", "html", "kind", ["name", "attributes"]).where("name = 'a'").select("doc", F.get_json_object("attributes", "$.href").alias("href"))
 
 
 @query("""SELECT doc_id AS doc, '1' AS level, 1::BIGINT AS n FROM documents WHERE text IS NOT NULL

@@ -107,3 +107,25 @@ def test_history_yaml_and_items(spark, tmp_path):
     assert files.flatten_yaml("a: [1, x]\n---\nb: 2\n") == ["doc[0].a[0]: 1", "doc[0].a[1]: x", "doc[1].b: 2"]
     df = spark.createDataFrame([(1, '[{"id": 1, "time": "t"}, {"id": 2}]'), (2, '{"a": 1}')], "id long, j string")
     assert [(r.id, r.stream_index, r.timestamp) for r in files.json_items(df, "id", "j").collect()] == [(1, 0, "t"), (1, 1, None)]
+
+
+def test_tags_that_are_never_closed(spark, tmp_path):
+    from strataq.queries import QUERIES
+
+    deep = "<p>" + "<b>x<i>" * 1500 + '<a href="/end">' + "</p><u>"
+    wide = "<p>x</p>" * 100_010
+    spark.createDataFrame([(1, deep), (2, wide), (3, None)], "page_id long, html string").write.parquet(str(tmp_path / "pages.parquet"))
+    got = {(r.doc, r.name): r.n for r in QUERIES["html_elements"](spark, str(tmp_path)).collect()}
+    assert got == {(1, "p"): 1, (1, "b"): 1500, (1, "i"): 1500, (1, "a"): 1, (1, "u"): 1, (2, "p"): 100_010}
+    assert [tuple(r) for r in QUERIES["link_extract"](spark, str(tmp_path)).collect()] == [(1, "/end")]
+    top = parse(deep, "html")
+    assert [e.name for e in top] == ["p", "u"] and [e.line_start for e, depth, _ in top[0].walk() if depth == 3001] == [1]
+    assert [e["name"] for e in convert(top, "html")["elements"]][:2] == ["a", "i"] and top[0].children[0].content.startswith("x<i><b>x")
+
+
+def test_element_table_by_columns(spark):
+    docs = spark.createDataFrame([(1, "<p>a<b>c</b></p><p>d</p>", "html"), (None, "x = 1", "python"), (3, None, None)], "id long, text string, kind string")
+    every = element_table(docs, "id", "text", "kind")
+    for columns in (["name"], ["parent_id", "path"], ["content", "line_end"]):
+        some = element_table(docs, "id", "text", "kind", columns)
+        assert set(some.columns) == {"doc", *columns} and sorted(map(str, some.collect())) == sorted(map(str, every.select(*some.columns).collect()))
