@@ -215,25 +215,37 @@ USAGES = "symbol_name string, usage_type string, context string, scope string, c
 USAGE_FILTERS = {"all": None, "calls": ("function_call", "method_call"), "references": ("variable_reference", "type_reference"), "assignments": ("assignment",), "methods": ("method_call",)}
 
 
-def usage_table(docs: DataFrame, id_col: str, text_col: str, type_col: str, keep: str = "all") -> DataFrame:
+def usage_table(docs: DataFrame, id_col: str, text_col: str, type_col: str, keep: str = "all", columns: list[str] | None = None) -> DataFrame:
     """doc and each usage of a symbol in sources of Python, Rust and Go, as the filter `keep` admits; other types and sources
-    that can't be read have none."""
+    that can't be read have none.  Of the columns beside doc only those of `columns` are made, all of them without it."""
     from .usages import usages_of
 
-    wanted = USAGE_FILTERS[keep]
+    admitted = USAGE_FILTERS[keep]
+    makers = {
+        "symbol_name": lambda u: u.attributes["symbol_name"], "usage_type": lambda u: u.attributes["usage_type"], "context": lambda u: u.attributes["context"], "scope": lambda u: u.attributes["scope"],
+        "content": lambda u: u.content, "line_start": lambda u: u.line_start, "line_end": lambda u: u.line_end,
+    }
+    kept = [x for x in USAGES.split(", ") if columns is None or x.split()[0] in columns]
+    wanted = [x.split()[0] for x in kept]
+    kinds = [pa.int32() if x.endswith(" int") else pa.string() for x in kept]
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        names = ["doc", *(x.split()[0] for x in USAGES.split(", "))]
-        for pdf in batches:
-            rows = []
-            for doc, t, k in zip(pdf[id_col], pdf[text_col], pdf[type_col]):
-                for u in usages_of(t or "", k or ""):
-                    a = u.attributes
-                    if wanted is None or a["usage_type"] in wanted:
-                        rows.append((doc, a["symbol_name"], a["usage_type"], a["context"], a["scope"], u.content, u.line_start, u.line_end))
-            yield pd.DataFrame(rows, columns=names)
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            key = batch.schema.field(0).type
+            doc, made = [], [[] for _ in wanted]
+            for k, text, kind in zip(*(c.to_pylist() for c in batch.columns)):
+                found = usages_of(text or "", kind or "", "content" in wanted)
+                if admitted is not None:
+                    found = [u for u in found if u.attributes["usage_type"] in admitted]
+                doc += [k] * len(found)
+                for out, name in zip(made, wanted):
+                    out += map(makers[name], found)
+                if len(doc) >= BATCH_ROWS:
+                    yield pa.RecordBatch.from_arrays([pa.array(doc, key), *map(pa.array, made, kinds)], names=["doc", *wanted])
+                    doc, made = [], [[] for _ in wanted]
+            yield pa.RecordBatch.from_arrays([pa.array(doc, key), *map(pa.array, made, kinds)], names=["doc", *wanted])
 
-    return docs.select(id_col, text_col, type_col).mapInPandas(run, f"doc {dict(docs.dtypes)[id_col]}, {USAGES}")
+    return docs.select(id_col, text_col, type_col).mapInArrow(run, ", ".join([f"doc {dict(docs.dtypes)[id_col]}", *kept]))
 
 
 def usage_counts(usages: DataFrame) -> DataFrame:

@@ -263,7 +263,7 @@ def schema_fields(spark, d):
 @query("SELECT 'function_call' AS usage_type, sum(p_size % 4)::BIGINT AS n, (max(p_size % 4) > 0)::BIGINT AS symbols FROM part HAVING sum(p_size % 4) > 0")
 def usage_calls(spark, d):
     """Calls that Python sources make, counted."""
-    return tree.usage_counts(tree.usage_table(sources(spark, d, "python"), "doc", "text", "kind", "calls"))
+    return tree.usage_counts(tree.usage_table(sources(spark, d, "python"), "doc", "text", "kind", "calls", ["symbol_name", "usage_type"]))
 
 
 @query("SELECT event_id, CASE WHEN k >= 90 THEN 'ERROR' WHEN k >= 50 THEN 'WARN' ELSE 'INFO' END AS level, 'GET /' || event_type || ' ' || s AS message, k AS bytes FROM (SELECT *, (props->>'$.k')::BIGINT AS k, CASE WHEN (props->>'$.k')::BIGINT >= 90 THEN 500 WHEN (props->>'$.k')::BIGINT >= 50 THEN 404 ELSE 200 END AS s FROM events)")

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .functions.spread import spread
 from .parsers import element_table
 from .parsers import tree
 from .plans import jq
@@ -46,7 +47,7 @@ def sources(spark, d, kind: str) -> DataFrame:
     for line in _SOURCES[kind].splitlines(keepends=True):
         own = F.replace(F.lit(line.removeprefix("~")), F.lit("{k}"), F.col("p_partkey").cast("string"))
         out = F.concat(out, F.repeat(own, F.col("p_size") % 4) if line.startswith("~") else own)
-    return table(spark, d, "part").select(F.col("p_partkey").alias("doc"), out.alias("text"), F.lit(kind).alias("kind"))
+    return spread(table(spark, d, "part").select("p_partkey", "p_size")).select(F.col("p_partkey").alias("doc"), out.alias("text"), F.lit(kind).alias("kind"))
 
 
 def _line(x: str) -> str:
@@ -124,4 +125,4 @@ def element_context(spark, d):
 @query("""SELECT p_partkey AS doc, symbol, usage FROM part, (VALUES ('g', 'function_call'), ('g', 'variable_reference'), ('Base', 'variable_reference'), ('int', 'variable_reference'), ('int', 'variable_reference'), ('x', 'variable_reference'), ('V', 'assignment'), ('os', 'import_usage'), ('c', 'import_usage')) t(symbol, usage), range(CASE WHEN symbol = 'g' THEN p_size % 4 ELSE 1 END)""")
 def usages(spark, d):
     """Symbols that Python sources use."""
-    return tree.usage_table(sources(spark, d, "python"), "doc", "text", "kind").select("doc", F.col("symbol_name").alias("symbol"), F.col("usage_type").alias("usage"))
+    return tree.usage_table(sources(spark, d, "python"), "doc", "text", "kind", columns=["symbol_name", "usage_type"]).select("doc", F.col("symbol_name").alias("symbol"), F.col("usage_type").alias("usage"))
