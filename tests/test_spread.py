@@ -14,7 +14,7 @@ from strataq.queries import QUERIES
 
 D = "/root/testdata/sf0.001"
 SPREAD = [
-    "usages",
+    "usages", "usage_calls",
 ]
 
 
