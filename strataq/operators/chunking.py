@@ -59,9 +59,13 @@ def windows(text: str, size: int, overlap: int = 0) -> Iterator[Piece]:
 _LEVELS = [re.compile(x) for x in (r"\n{2,}", r"\n", r"(?<=[.!?])\s+", r"\s+")]
 
 
-def recursive(text: str, size: int, sizer: Callable[[str], int] = len, level: int = 0) -> Iterator[str]:
-    """Pieces of at most `size` by `sizer`, cut at the coarsest of paragraphs, lines, sentences, words, characters; trimmed."""
-    if sizer(text) <= size:
+def recursive(text: str, size: int, sizer: Callable[[str], int] = len, level: int = 0, known: int | None = None) -> Iterator[str]:
+    """Pieces of at most `size` by `sizer`, cut at the coarsest of paragraphs, lines, sentences, words, characters; trimmed.
+
+    By a sizer of `ADDITIVE` a piece grows by the sizes of its parts, which end in white space; by any other one it is measured
+    with each part that is added.  `known`: the text's size.
+    """
+    if (sizer(text) if known is None else known) <= size:
         if text.strip():
             yield text.strip()
         return
@@ -70,16 +74,17 @@ def recursive(text: str, size: int, sizer: Callable[[str], int] = len, level: in
         for part in (text[:half], text[half:]) if len(text) > 1 else ():
             yield from recursive(part, size, sizer, level)
         return
-    cuts = [0, *(m.end() for m in _LEVELS[level].finditer(text)), len(text)]
-    held = ""
-    for a, b in zip(cuts, cuts[1:]):
-        part = text[a:b]
-        if held and sizer(held + part) > size:
-            yield from recursive(held, size, sizer, level + 1)
-            held = ""
-        held += part
-    if held:
-        yield from recursive(held, size, sizer, level + 1)
+    cuts = [*(m.end() for m in _LEVELS[level].finditer(text)), len(text)]
+    additive = sizer in ADDITIVE
+    first = at = held = 0
+    for end in cuts:
+        grown = held + sizer(text[at:end]) if additive else sizer(text[first:end])
+        if at > first and grown > size:
+            yield from recursive(text[first:at], size, sizer, level + 1, held)
+            first, grown = at, grown - held if additive else sizer(text[at:end])
+        at, held = end, grown
+    if at > first:
+        yield from recursive(text[first:at], size, sizer, level + 1, held)
 
 
 def code(text: str, size: int, most: int | None = None) -> Iterator[Piece]:
@@ -110,10 +115,12 @@ def code(text: str, size: int, most: int | None = None) -> Iterator[Piece]:
 
 def tokens_of(text: str) -> int:
     """An estimate of a text's tokens: a word's every four characters, and each mark."""
-    return sum(-(-len(w) // 4) if w[0].isalnum() or w[0] == "_" else 1 for w in _PIECE.findall(text))
+    return len(_PIECE.findall(text))
 
 
-_PIECE = re.compile(r"\w+|[^\w\s]")
+_PIECE = re.compile(r"\w{1,4}|[^\w\s]")
+#: Sizers by which a text is as large as its parts together, if these end in white space.
+ADDITIVE = {len, tokens_of}
 
 
 def placed(pieces: Iterator[str], text: str) -> Iterator[Piece]:

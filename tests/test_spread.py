@@ -8,6 +8,7 @@ import os
 import pytest
 
 from strataq.functions.spread import LEAST_PARTS
+from strataq.operators import chunking
 from strataq.parsers import code
 from strataq.parsers.tree import usage_table
 from strataq.queries import QUERIES
@@ -39,3 +40,23 @@ def test_usages_by_columns(spark):
     for columns in (["symbol_name", "usage_type"], ["content", "line_end"]):
         some = usage_table(docs, "id", "text", "kind", columns=columns)
         assert set(some.columns) == {"doc", *columns} and sorted(map(str, some.collect())) == sorted(map(str, every.select(*some.columns).collect()))
+
+
+def test_recursive_chunks_measure_a_text_a_few_times():
+    measured = []
+
+    def sizer(text: str) -> int:
+        measured.append(len(text))
+        return chunking.tokens_of(text)
+
+    text = "".join(f"word{i} and, some more. " + ("\n" if i % 7 == 0 else "") + ("\n\n" if i % 50 == 0 else "") for i in range(2000))
+    plain = list(chunking.recursive(text, 64, sizer))
+    every = sum(measured)  # any other sizer is given each piece again with every part
+    measured.clear()
+    try:
+        chunking.ADDITIVE.add(sizer)
+        assert list(chunking.recursive(text, 64, sizer)) == plain == list(chunking.recursive(text, 64, chunking.tokens_of))
+    finally:
+        chunking.ADDITIVE.discard(sizer)
+    assert sum(measured) <= 4 * len(text) < every
+    assert [chunking.tokens_of(x) for x in ("", "a", "abcd", "abcde", "é_9x1 !?", "\x85 a.b")] == [0, 1, 1, 2, 4, 3]
