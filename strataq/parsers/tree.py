@@ -101,9 +101,9 @@ def convert(elements: list[Element], file_type: str, path: str = "", text: str =
     return out
 
 
-def chunks_of(elements: list[Element], doc: str, least_cover: float | None = 0.9, by_line: bool = False) -> list[dict]:
+def chunks_of(elements: list[Element], doc: str, least_cover: float | None = 0.9, by_line: bool = False, ids: bool = True) -> list[dict]:
     """Rows to embed: content with its trail and visibility, `intent` from the comment, id by content, or with `by_line` by the
-    first line and trail.
+    first line and trail; without `ids` the id is None.
 
     Without `least_cover` all elements stay.  Containers that their children cover by more than `least_cover` go, unless they are documented or a function, class,
     struct, interface or trait.
@@ -111,13 +111,12 @@ def chunks_of(elements: list[Element], doc: str, least_cover: float | None = 0.9
     out = []
     for top in elements:
         for e, _, trail in top.walk():
-            covered = sum(len(c.content.encode()) for c in e.children)
             spared = e.type in ("function", "method", "class", "struct", "interface", "trait") or e.attributes.get("docstring")
-            if least_cover is not None and e.children and covered > least_cover * len(e.content.encode()) and not spared:
+            if least_cover is not None and e.children and not spared and sum(len(c.content.encode()) for c in e.children) > least_cover * len(e.content.encode()):
                 continue
             where = "::".join((*trail, e.name or e.type))
-            key = f"{doc}::{e.line_start}::{where}" if by_line else f"{doc}::{where}::{hashlib.sha256(e.content.encode()).hexdigest()}"
-            out.append({"id": str(uuid.uuid5(URL_NAMESPACE, key)), "content": e.content, "crumbtrail": where, "type": e.type, "line_start": e.line_start, "line_end": e.line_end, "intent": e.attributes.get("docstring"), "visibility": e.attributes.get("visibility")})
+            key = f"{doc}::{e.line_start}::{where}" if by_line or not ids else f"{doc}::{where}::{hashlib.sha256(e.content.encode()).hexdigest()}"
+            out.append({"id": str(uuid.uuid5(URL_NAMESPACE, key)) if ids else None, "content": e.content, "crumbtrail": where, "type": e.type, "line_start": e.line_start, "line_end": e.line_end, "intent": e.attributes.get("docstring"), "visibility": e.attributes.get("visibility")})
     return out
 
 
@@ -186,16 +185,29 @@ def unified_table(docs: DataFrame, id_col: str, text_col: str, type_col: str, pa
 CHUNKS = "id string, content string, crumbtrail string, type string, line_start int, line_end int, intent string, visibility string"
 
 
-def chunk_table(docs: DataFrame, id_col: str, text_col: str, type_col: str, least_cover: float | None = 0.9, by_line: bool = False) -> DataFrame:
-    """doc and the rows of `chunks_of` of every document."""
+def chunk_table(docs: DataFrame, id_col: str, text_col: str, type_col: str, least_cover: float | None = 0.9, by_line: bool = False, columns: list[str] | None = None) -> DataFrame:
+    """doc and the rows of `chunks_of` of every document.  Of the columns beside doc only those of `columns` are made, all of
+    them without it."""
+    kept = [x for x in CHUNKS.split(", ") if columns is None or x.split()[0] in columns]
+    wanted = [x.split()[0] for x in kept]
+    kinds = [pa.int32() if x.endswith(" int") else pa.string() for x in kept]
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        names = ["doc", *(x.split()[0] for x in CHUNKS.split(", "))]
-        for pdf in batches:
-            rows = [{"doc": doc, **c} for doc, t, k in zip(pdf[id_col], pdf[text_col], pdf[type_col]) for c in chunks_of(parse(t or "", k or "text"), str(doc), least_cover, by_line)]
-            yield pd.DataFrame(rows, columns=names)
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            key = batch.schema.field(0).type
+            doc, made, chars = [], [[] for _ in wanted], 0
+            for k, text, kind in zip(*(c.to_pylist() for c in batch.columns)):
+                found = chunks_of(parse(text or "", kind or "text"), str(k), least_cover, by_line, "id" in wanted)
+                doc += [k] * len(found)
+                for out, name in zip(made, wanted):
+                    out += [c[name] for c in found]
+                chars += sum(len(c["content"]) for c in found) if "content" in wanted else 0
+                if len(doc) >= BATCH_ROWS or chars > BATCH_CHARS:
+                    yield pa.RecordBatch.from_arrays([pa.array(doc, key), *map(pa.array, made, kinds)], names=["doc", *wanted])
+                    doc, made, chars = [], [[] for _ in wanted], 0
+            yield pa.RecordBatch.from_arrays([pa.array(doc, key), *map(pa.array, made, kinds)], names=["doc", *wanted])
 
-    return docs.select(id_col, text_col, type_col).mapInPandas(run, f"doc {dict(docs.dtypes)[id_col]}, {CHUNKS}")
+    return docs.select(id_col, text_col, type_col).mapInArrow(run, ", ".join([f"doc {dict(docs.dtypes)[id_col]}", *kept]))
 
 
 def with_context(elements: DataFrame, docs: DataFrame, id_col: str, text_col: str, lines: int) -> DataFrame:
@@ -203,7 +215,8 @@ def with_context(elements: DataFrame, docs: DataFrame, id_col: str, text_col: st
     and after, as far as there are."""
     all_ = F.split(F.col("__text"), "\n", -1)
     total = F.size(all_) - F.when(F.endswith("__text", F.lit("\n")), 1).otherwise(0)
-    joined = elements.join(docs.select(F.col(id_col).alias("doc"), F.coalesce(text_col, F.lit("")).alias("__text")), "doc")
+    # texts may be larger than a plan thinks that makes them: they are never sent whole to every task
+    joined = elements.join(docs.select(F.col(id_col).alias("doc"), F.coalesce(text_col, F.lit("")).alias("__text")).hint("merge"), "doc")
     first, last = F.greatest(F.lit(1), F.col("line_start") - lines), F.least(total, F.col("line_end") + lines)
     joined = joined.withColumn("context_start", first.cast("int")).withColumn("context_end", last.cast("int"))
     shown = F.array_join(F.slice(all_, F.col("context_start"), F.greatest(F.lit(0), F.col("context_end") - F.col("context_start") + 1)), "\n")

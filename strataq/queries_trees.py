@@ -66,7 +66,7 @@ def _rows(kind: str) -> str:
 def _register(kind: str) -> None:
     @query(_rows(kind), f"parse_{kind}")
     def run(spark, d):
-        out = element_table(sources(spark, d, kind), "doc", "text", "kind")
+        out = element_table(sources(spark, d, kind), "doc", "text", "kind", ["depth", "type", "name", "line_start", "line_end"])
         return out.select("doc", "depth", "type", F.nullif("name", F.lit("")).alias("name"), "line_start", "line_end")
 
 
@@ -95,7 +95,7 @@ def markdown_elements(spark, d):
     """Every line of every text as a header, the first of level 1."""
     text = F.concat(F.lit("# "), F.replace("text", F.lit("\n"), F.lit("\n## ")))
     p = table(spark, d, "documents").where("text is not null").select("doc_id", text.alias("text"), F.lit("markdown").alias("kind"))
-    e = element_table(p, "doc_id", "text", "kind").where("type = 'header'")
+    e = element_table(p, "doc_id", "text", "kind", ["type", "attributes"]).where("type = 'header'")
     return e.groupBy("doc", F.get_json_object("attributes", "$.level").alias("level")).agg(F.count("*").alias("n"))
 
 
@@ -111,13 +111,13 @@ def structural_query(spark, d):
  UNION ALL SELECT p_partkey, 'f' || p_partkey, 'function' FROM part UNION ALL SELECT p_partkey, 'V', 'variable' FROM part UNION ALL SELECT p_partkey, unnest(['os', 'c']), 'import' FROM part""")
 def element_chunks(spark, d):
     """Chunks of elements with their trails."""
-    return tree.chunk_table(sources(spark, d, "python"), "doc", "text", "kind").select("doc", "crumbtrail", F.col("type").alias("name"))
+    return tree.chunk_table(sources(spark, d, "python"), "doc", "text", "kind", columns=["crumbtrail", "type"]).select("doc", "crumbtrail", F.col("type").alias("name"))
 
 
 @query("""SELECT p_partkey AS doc, 10 AS line_start, 9::INT AS first, (12 + p_size % 4)::INT AS last, 1 AS before FROM part""")
 def element_context(spark, d):
     """A function with one line of context."""
-    e = element_table(sources(spark, d, "python"), "doc", "text", "kind").where(F.startswith("name", F.lit("f")) & (F.col("type") == "function"))
+    e = element_table(sources(spark, d, "python"), "doc", "text", "kind", ["type", "name", "line_start", "line_end"]).where(F.startswith("name", F.lit("f")) & (F.col("type") == "function"))
     out = tree.with_context(e, sources(spark, d, "python"), "doc", "text", 1)
     return out.select("doc", "line_start", F.col("context_start").alias("first"), F.col("context_end").alias("last"), (F.col("line_start") - F.col("context_start")).alias("before"))
 
