@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from .functions import normalize, output
 from .functions.embed import Constant, Hashed, embed
+from .functions.spread import spread
 from .operators import assembly, chunking, vector
 from .parsers import element_table, schema, tree
 from .parsers.tree import FIELDS, REQUIRED
@@ -112,13 +113,13 @@ def json_array_items(spark, d):
 def json_flatten(spark, d):
     """Values with comments, bare keys and trailing commas as lines."""
     j = F.concat(F.lit("{ // note\n k: "), F.get_json_object("props", "$.k"), F.lit(", a: {b: ["), F.col("user_id").cast("string"), F.lit(", '"), F.col("event_type"), F.lit("',],}, n: null}"))
-    return files.flat_table(table(spark, d, "events").select("event_id", j.alias("j")), "event_id", "j").select("event_id", "pos", "line")
+    return files.flat_table(spread(table(spark, d, "events").select("event_id", "user_id", "event_type", "props")).select("event_id", j.alias("j")), "event_id", "j").select("event_id", "pos", "line")
 
 
 @query("""SELECT p_partkey, pos::INT AS pos, CASE pos WHEN 0 THEN 'doc[0].name: p' || p_partkey WHEN 1 THEN 'doc[0].sizes[0]: ' || p_size ELSE 'doc[1].z: true' END AS line FROM part, range(3) t(pos)""")
 def yaml_flatten(spark, d):
     y = F.concat(F.lit("name: p"), F.col("p_partkey").cast("string"), F.lit("\nsizes:\n  - "), F.col("p_size").cast("string"), F.lit("\n---\nz: true\n"))
-    return files.flat_table(table(spark, d, "part").select("p_partkey", y.alias("y")), "p_partkey", "y", "yaml")
+    return files.flat_table(spread(table(spark, d, "part").select("p_partkey", "p_size")).select("p_partkey", y.alias("y")), "p_partkey", "y", "yaml")
 
 
 @query("SELECT user_id, count(*) AS n, sum((props->>'$.k')::BIGINT)::BIGINT AS k FROM events GROUP BY user_id")
@@ -220,28 +221,28 @@ def dimension_guard(spark, d):
 
 @query("SELECT p_partkey AS doc, 'src/' || p_partkey || '.py:' || line || ':' || first AS shown FROM part, (VALUES (10, 'async def f')) t(line, x), LATERAL (SELECT x || p_partkey || '():' AS first)")
 def grep_output(spark, d):
-    e = element_table(sources(spark, d, "python"), "doc", "text", "kind").where((F.col("type") == "function") & F.startswith("name", F.lit("f")))
+    e = element_table(sources(spark, d, "python"), "doc", "text", "kind", ["type", "name", "line_start", "content"]).where((F.col("type") == "function") & F.startswith("name", F.lit("f")))
     return e.select("doc", output.grep_line(F.concat(F.lit("src/"), F.col("doc").cast("string"), F.lit(".py")), F.col("line_start"), F.col("content")).alias("shown"))
 
 
 @query("SELECT p_partkey AS doc, '{\"doc\":' || p_partkey || ',\"name\":\"C' || p_partkey || '\",\"parent_id\":null}' AS shown FROM part")
 def json_output(spark, d):
-    e = element_table(sources(spark, d, "python"), "doc", "text", "kind").where("type = 'class'").select("doc", "name", "parent_id")
+    e = element_table(sources(spark, d, "python"), "doc", "text", "kind", ["type", "name", "parent_id"]).where("type = 'class'").select("doc", "name", "parent_id")
     return e.select("doc", output.json_line(e).alias("shown"))
 
 
 @query("SELECT p_partkey AS doc, unnest(['class', 'function']) AS type, unnest(['C' || p_partkey, 'm']) AS name FROM part")
 def elements_at_line(spark, d):
     """Elements that line 7 of every source lies in."""
-    e = element_table(sources(spark, d, "python"), "doc", "text", "kind")
+    e = element_table(sources(spark, d, "python"), "doc", "text", "kind", ["type", "name", "line_start", "line_end"])
     return e.where("7 between line_start and line_end").select("doc", "type", "name")
 
 
 @query("SELECT p_partkey AS doc, 2::BIGINT AS n, true AS distinct FROM part")
 def server_chunks(spark, d):
     """Chunks without the filter of covered containers, named by line and trail."""
-    t = table(spark, d, "part").select("p_partkey", F.concat(F.lit("impl S"), F.col("p_partkey").cast("string"), F.lit(" {\n    fn m(&self) {}\n}\n")).alias("text"), F.lit("rust").alias("kind"))
-    return tree.chunk_table(t, "p_partkey", "text", "kind", None, True).groupBy("doc").agg(F.count("*").alias("n"), (F.countDistinct("id") == F.count("*")).alias("distinct"))
+    t = spread(table(spark, d, "part").select("p_partkey")).select("p_partkey", F.concat(F.lit("impl S"), F.col("p_partkey").cast("string"), F.lit(" {\n    fn m(&self) {}\n}\n")).alias("text"), F.lit("rust").alias("kind"))
+    return tree.chunk_table(t, "p_partkey", "text", "kind", None, True, ["id"]).groupBy("doc").agg(F.count("*").alias("n"), (F.countDistinct("id") == F.count("*")).alias("distinct"))
 
 
 @query("SELECT p_partkey AS doc, CASE WHEN p_partkey % 2 = 0 THEN '' ELSE 'enums' END AS missing FROM part")
