@@ -15,7 +15,7 @@ from strataq.queries import QUERIES
 
 D = "/root/testdata/sf0.001"
 SPREAD = [
-    "usages", "usage_calls", "schema_validation", "element_context", "yaml_flatten", "parse_python", "parse_markdown", "structural_query", "grep_output", "json_output",
+    "usages", "usage_calls", "schema_validation", "element_context", "yaml_flatten", "parse_python", "elements_at_line", "parse_markdown", "structural_query", "grep_output", "json_output",
 ]
 
 
