@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from .functions.spread import spread
 from .plans import jq
 from .registry import query, table
 
@@ -17,7 +18,10 @@ def _asked(name: str, source: str, key: str, code: str, sql: str, columns: str,
 
     @query(sql, name)
     def run(spark, d):
-        t = table(spark, d, source).select(key, F.to_json(F.struct(*columns.split()), _PLAIN).alias("j"))
+        t = table(spark, d, source).select(*columns.split())
+        if source == "events" and jq.explain(code)["path"] == "evaluator":
+            t = spread(t)
+        t = t.select(key, F.to_json(F.struct(*columns.split()), _PLAIN).alias("j"))
         out = jq.query_table(t, code, key, "j").select(key, "output")
         return out.withColumn("output", F.md5(F.col("output").cast("binary"))) if digest else out
 
