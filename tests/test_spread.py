@@ -15,7 +15,7 @@ from strataq.queries import QUERIES
 
 D = "/root/testdata/sf0.001"
 SPREAD = [
-    "usages", "usage_calls", "schema_validation", "element_context", "yaml_flatten", "parse_python", "jq_architecture_formats", "jq_aggregates", "parse_c", "parse_rust", "element_chunks", "parse_cuda", "parse_cpp", "elements_at_line", "parse_markdown", "structural_query", "grep_output", "json_output",
+    "usages", "usage_calls", "schema_validation", "element_context", "yaml_flatten", "parse_python", "jq_architecture_formats", "jq_aggregates", "jq_entries", "parse_c", "parse_rust", "element_chunks", "parse_cuda", "parse_cpp", "elements_at_line", "parse_markdown", "structural_query", "grep_output", "json_output",
 ]
 
 
