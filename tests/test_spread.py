@@ -7,7 +7,7 @@ import os
 
 import pytest
 
-from strataq.functions.spread import LEAST_PARTS
+from strataq.functions.spread import LEAST_PARTS, MOST_PARTS, spread
 from strataq.operators import chunking
 from strataq.parsers import code
 from strataq.parsers.tree import usage_table
@@ -60,3 +60,12 @@ def test_recursive_chunks_measure_a_text_a_few_times():
         chunking.ADDITIVE.discard(sizer)
     assert sum(measured) <= 4 * len(text) < every
     assert [chunking.tokens_of(x) for x in ("", "a", "abcd", "abcde", "é_9x1 !?", "\x85 a.b")] == [0, 1, 1, 2, 4, 3]
+
+
+def test_parts_follow_the_size(spark):
+    rows = spark.sparkContext.parallelize([(1,), (2,)], 1).toDF(["a"])
+    assert spread(rows).rdd.getNumPartitions() == LEAST_PARTS  # of unknown size
+    some = spark.range(0, 1_000_000, 1, 1)
+    assert spread(some).rdd.getNumPartitions() == LEAST_PARTS
+    assert spread(some, 80_000).rdd.getNumPartitions() == 100
+    assert spread(some, 1).where("id < 0")._jdf.queryExecution().toString().count(f"RoundRobinPartitioning({MOST_PARTS})")
